@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -74,6 +75,41 @@ def valid_emails(addresses: Column | str) -> Column:
     return F.filter(F.array_distinct(cleaned), is_valid_email)
 
 
+def _prefix_tree_pattern(words: list[str]) -> str:
+    """Regex that matches the longest of ``words`` at a position, sharing common prefixes."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        kids = [re.escape(ch) + build(node[ch]) for ch in sorted(k for k in node if k)]
+        if not kids:
+            return ""
+        body = kids[0] if len(kids) == 1 and "" not in node else "(?:" + "|".join(kids) + ")"
+        return body + ("?" if "" in node else "")
+
+    return build(tree)
+
+
+def _hits_by_prefix_tree(text_lower: Column, words: list[str]) -> Column:
+    # One pass however many words there are: a zero-width look-ahead reports the longest word
+    # at every position, and the other words that start there are prefixes of it.
+    longest = F.array_distinct(
+        F.regexp_extract_all(text_lower, F.lit(f"(?=({_prefix_tree_pattern(words)}))"), 1)
+    )
+    shorter = {w: [v for v in words if w.startswith(v)] for w in words}
+    nested = [w for w in words if len(shorter[w]) > 1]
+    if not nested:
+        return F.array_sort(longest)
+    widen = F.create_map(*[x for w in nested for x in (F.lit(w), F.lit(shorter[w]))])
+    return F.array_sort(F.array_distinct(F.flatten(
+        F.transform(longest, lambda m: F.coalesce(widen[m], F.array(m)))
+    )))
+
+
 def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
                  word_boundary: bool = False) -> Column:
     """Sorted distinct keywords that occur in the lower-cased text.
@@ -81,6 +117,8 @@ def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
     Substrings count by default ("go" in "google"); ``word_boundary=True`` wants whole words.
     """
     t = _as_col(text_lower)
+    if isinstance(lexicon, list) and not word_boundary and len(set(lexicon)) > 8:
+        return _hits_by_prefix_tree(t, sorted(set(lexicon)))
     words = strings(sorted(set(lexicon))) if isinstance(lexicon, list) else \
         F.array_sort(F.array_distinct(lexicon))
     if word_boundary:

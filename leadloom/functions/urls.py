@@ -93,14 +93,9 @@ def normalise_domain(value: Column | str, prefixes: list[str] = lx.HOST_PREFIXES
 
 def extract_root_domain(value: Column | str) -> Column:
     """Registrable part: two labels, or three when the second last is short (co.uk)."""
-    domain = normalise_domain(value)
-    parts = F.split(domain, r"\.")
-    n = F.size(parts)
-    short_second = F.length(F.get(parts, n - 2)) <= 3
-    return (
-        F.when((n >= 3) & short_second, F.substring_index(domain, ".", -3))
-        .when(n >= 2, F.substring_index(domain, ".", -2))
-        .otherwise(domain)
+    # leftmost alternative wins: three labels if the middle one is short, else two, else all
+    return F.regexp_extract(
+        normalise_domain(value), r"([^.]*\.[^.]{0,3}\.[^.]*|[^.]*\.[^.]*|[^.]*)$", 0
     )
 
 
