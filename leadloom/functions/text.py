@@ -119,11 +119,18 @@ def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
     t = _as_col(text_lower)
     if isinstance(lexicon, list) and not word_boundary and len(set(lexicon)) > 8:
         return _hits_by_prefix_tree(t, sorted(set(lexicon)))
+    if isinstance(lexicon, list) and word_boundary:
+        # constant patterns are compiled once; the cheap test goes first
+        return F.array_compact(F.array(*[
+            F.when(
+                F.contains(t, F.lit(w)) & t.rlike(rf"(?U)(?<!\w)\Q{w}\E(?!\w)"), w
+            ) for w in sorted(set(lexicon))
+        ]))
     words = strings(sorted(set(lexicon))) if isinstance(lexicon, list) else \
         F.array_sort(F.array_distinct(lexicon))
     if word_boundary:
         def whole(k: Column) -> Column:
-            quoted = F.concat(F.lit(r"(?<!\w)\Q"), k, F.lit(r"\E(?!\w)"))
+            quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), k, F.lit(r"\E(?!\w)"))
             return F.contains(t, k) & F.rlike(t, quoted)
         return F.filter(words, whole)
     return F.filter(words, lambda k: F.contains(t, k))
