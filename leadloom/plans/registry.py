@@ -13,7 +13,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 MODULES = [
-    "text_queries", "page_queries", "scoring_queries", "search_queries",
+    "text_queries", "page_queries", "scoring_queries", "search_queries", "crawl_queries",
+    "profile_queries", "match_queries",
 ]
 LATER = [
     "text_queries", "page_queries", "scoring_queries", "search_queries", "crawl_queries",
