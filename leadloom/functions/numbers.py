@@ -11,9 +11,10 @@ def exact_sum(c: Column | str) -> Column:
     return F.sum(c.cast("decimal(18,6)")).cast("double")
 
 
-def exact_avg(c: Column | str) -> Column:
+def rounded_avg(c: Column | str, digits: int) -> Column:
+    """Mean rounded half up, divided in decimals so that ties round the same way each time."""
     c = F.col(c) if isinstance(c, str) else c
-    return exact_sum(c) / F.count(c)
+    return F.round(F.sum(c.cast("decimal(18,6)")) / F.count(c), digits).cast("double")
 
 
 def rounded_sum(c: Column | str, digits: int) -> Column:

@@ -20,6 +20,14 @@ def sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+def sql_avg(c: str, digits: int) -> str:
+    """Mean rounded half up, in whole numbers (sums of millionths)."""
+    unit = 10 ** (6 - digits)
+    micros = f"CAST(sum(CAST({c} AS DECIMAL(18, 6))) * 1000000 AS HUGEINT)"
+    return (f"CAST((({micros} * 2 + count({c}) * {unit}) // (2 * count({c}) * {unit})) AS DOUBLE)"
+            f" / {10 ** digits}")
+
+
 AS_OF = "2024-07-01 00:00:00+00:00"
 
 
