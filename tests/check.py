@@ -48,14 +48,14 @@ def compare(df, con, sql) -> str:
     if got_cols != want_cols:
         return f"columns {got_cols} / {want_cols}"
     if len(got) != len(want):
-        return f"rows {len(got)} / {len(want)}; first {got[:2]} / {want[:2]}"
+        return f"rows {len(got)} / {len(want)}; first {str(got[:1])[:300]} / {str(want[:1])[:300]}"
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     types = {(type(a).__name__, type(b).__name__) for g, w in zip(got, want)
              for a, b in zip(g, w) if type(a) is not type(b) and a is not None and b is not None}
     if bad:
         g, w = bad[0]
         diff = [(c, a, b) for c, a, b in zip(got_cols, g, w) if a != b]
-        return f"{len(bad)} of {len(got)} rows differ: {str(diff)[:1500]}"
+        return f"{len(bad)} of {len(got)} rows differ: {str(diff)[:700]}"
     return f"types {types}" if types else ""
 
 
@@ -88,7 +88,7 @@ def main() -> int:
             df = queries[n](spark, args.d)
             said = compare(df, con, sql[n]) if n in sql else f"rows only: {df.count()}"
         except Exception as e:  # keep going, report at the end
-            said = f"{type(e).__name__}: {str(e)[:1500]}"
+            said = f"{type(e).__name__}: {str(e)[:700]}"
         ok = not said or said.startswith("rows only")
         failed += [] if ok else [n]
         print(f"{'ok  ' if ok else 'FAIL'} {n} {time.time() - t:.1f}s {said}", flush=True)
