@@ -147,12 +147,15 @@ def _score_one_pass(signals: DataFrame, profiles: Column, as_of: Column, min_sco
 def enrich(pages: DataFrame, icps: DataFrame, as_of: Column,
            min_score: float = lx.MIN_LEAD_SCORE, tech: list[str] = lx.TECH_KEYWORDS,
            max_snippets: int = 5, window: int = 120,
-           profiles_per_pass: int = PROFILES_PER_PASS) -> DataFrame:
+           profiles_per_pass: int = PROFILES_PER_PASS,
+           results: DataFrame | None = None) -> DataFrame:
     """Leads: every usable page scored against every profile, low scores dropped.
 
-    ``pages`` has ``text_content`` and ``published_date`` next to its identifying columns,
-    all of which are carried along. No shuffle: profiles reach the tasks as one small value,
-    and above ``profiles_per_pass`` of them the pages are read in several passes.
+    ``pages`` has ``text_content`` next to its identifying columns, all of which are carried
+    along, and ``published_date`` unless ``results`` (url, published_date, ...) brings it.
+    Results are joined after the text has been reduced to its signals, so page texts never
+    move; without them nothing is shuffled at all. Profiles reach the tasks as one small
+    value, and above ``profiles_per_pass`` of them the pages are read in several passes.
     """
     n = icps.count()
     passes = max(1, ceil(n / profiles_per_pass))
@@ -165,8 +168,11 @@ def enrich(pages: DataFrame, icps: DataFrame, as_of: Column,
         terms = [r.t for r in profiles.select(F.explode(F.concat(
             "techs", "industries", "locations", "titles")).alias("t")).distinct().collect()]
         packed = profiles.agg(F.collect_list(F.struct("*"))).scalar()
-        out.append(_score_one_pass(page_signals(pages, terms, tech, window), packed, as_of,
-                                   min_score, tech, max_snippets, window))
+        signals = page_signals(pages, terms, tech, window)
+        if results is not None:
+            signals = signals.join(results, "url")
+        out.append(_score_one_pass(signals, packed, as_of, min_score, tech, max_snippets,
+                                   window))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -15,12 +15,6 @@ _SQL: dict[str, str] = {}
 MODULES = [
     "text_queries", "page_queries", "scoring_queries", "search_queries", "crawl_queries",
     "profile_queries", "match_queries", "company_queries", "store_queries",
-    "conversation_queries", "event_queries",
-]
-LATER = [
-    "text_queries", "page_queries", "scoring_queries", "search_queries", "crawl_queries",
-    "profile_queries", "match_queries", "company_queries", "store_queries",
-    "conversation_queries", "event_queries",
     "conversation_queries", "event_queries", "hook_queries",
 ]
 
