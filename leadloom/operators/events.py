@@ -98,31 +98,29 @@ def metrics(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def _bucket(seconds: Column) -> Column:
-    out = F.lit("+Inf")
-    for bound in reversed(LATENCY_BUCKETS):
-        out = F.when(seconds <= bound, str(bound)).otherwise(out)
-    return out
+    """Upper bound of the latency bucket as text."""
+    below = F.size(F.filter(F.lit(LATENCY_BUCKETS), lambda b: b < seconds))
+    return F.get(F.lit([*map(str, LATENCY_BUCKETS), "+Inf"]), below)
 
 
 def histograms(events: DataFrame) -> DataFrame:
     """Counter and histogram rows (metric, label, bucket, count)."""
-    p = lambda c: F.col("p")[c]
-    sec = p("latency_ms") / 1000
-    none = F.lit("")
-    rows = [
-        ("LeadScored", "leads_total", p("tier"), none, F.lit(True)),
-        ("CrawlCompleted", "crawl_latency_seconds", none, _bucket(sec),
-         ~F.coalesce(p("from_cache"), F.lit(False))),
-        ("SearchCompleted", "search_latency_seconds", p("provider"), _bucket(sec), F.lit(True)),
-        ("PipelineCompleted", "pipeline_runs_total", none, none, F.lit(True)),
-        ("CacheHit", "cache_hits_total", p("cache_type"), none, F.lit(True)),
-    ]
-    point = F.coalesce(*[
-        F.when((F.col("event_type") == t) & cond, F.struct(
-            F.lit(m).alias("metric"), label.alias("label"), bucket.alias("bucket")))
-        for t, m, label, bucket, cond in rows])
-    return _counted(events).select(point.alias("x")).filter("x IS NOT NULL").select(
-        "x.*").groupBy("metric", "label", "bucket").agg(F.count("*").alias("count"))
+    names = {
+        "LeadScored": "leads_total", "CrawlCompleted": "crawl_latency_seconds",
+        "SearchCompleted": "search_latency_seconds", "PipelineCompleted": "pipeline_runs_total",
+        "CacheHit": "cache_hits_total",
+    }
+    kind = F.col("event_type")
+    metric = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind]
+    label = F.when(kind == "LeadScored", F.col("p.tier")).when(
+        kind == "SearchCompleted", F.col("p.provider")).when(
+        kind == "CacheHit", F.col("p.cache_type")).otherwise("")
+    timed = kind.isin("CrawlCompleted", "SearchCompleted")
+    from_cache = (kind == "CrawlCompleted") & F.coalesce(F.col("p.from_cache"), F.lit(False))
+    return _counted(of_types(events, list(names))).filter(~from_cache).groupBy(
+        metric.alias("metric"), label.alias("label"),
+        F.when(timed, _bucket(F.col("p.latency_ms") / 1000)).otherwise("").alias("bucket"),
+    ).agg(F.count("*").alias("count"))
 
 
 def cache_hit_rate(events: DataFrame) -> DataFrame:
