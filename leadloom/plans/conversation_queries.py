@@ -113,20 +113,12 @@ def stats(spark, d):
 
 
 def _streamed(spark, d) -> DataFrame:
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, jobs.ROCKSDB)
-    try:
-        source = jobs.read_files(spark, d, "conversations.parquet").select(
-            F.col("conv_id").cast("string").alias("session_id"), "turn", "role",
-            F.col("text").alias("content"))
+    source = jobs.read_files(spark, d, "conversations.parquet").select(
+        F.col("conv_id").cast("string").alias("session_id"), "turn", "role",
+        F.col("text").alias("content"))
+    with jobs.rocksdb(spark):
         return jobs.drain(spark, SC.compact_stream(spark, source, **_LIMITS), "compaction",
                           "update")
-    finally:
-        if before is None:
-            spark.conf.unset(conf)
-        else:
-            spark.conf.set(conf, before)
 
 
 @query("r06_compaction_stream", _SQL_EVENTS)

@@ -240,12 +240,19 @@ def funnel_stream(spark, d):
     return jobs.latest_rows(out, "session_id")
 
 
-@query("r10_first_seen_stream", with_ctes(_SQL_EVENTS, select="""
-SELECT DISTINCT session_id || '/' || (k % 5) AS url FROM e"""))
+@query("r10_first_seen_stream", """
+WITH RECURSIVE keyed AS (SELECT user_id || '/'
+    || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 5) AS url,
+  epoch_us(ts) // 1000 AS ms FROM events),
+seen(url, ms) AS (SELECT url, min(ms) FROM keyed GROUP BY url
+  UNION ALL SELECT s.url, (SELECT min(k.ms) FROM keyed k WHERE k.url = s.url
+    AND k.ms > s.ms + 86400000) AS nxt FROM seen s WHERE s.ms IS NOT NULL)
+SELECT url, ms FROM seen WHERE ms IS NOT NULL""")
 def first_seen_stream(spark, d):
-    # all files in one batch: the watermark has not moved, so each key passes once
     e = jobs.read_files(spark, d, "events.parquet")
     keyed = e.select(
         F.concat("user_id", F.lit("/"), event_k() % 5).alias("url"),
         F.col("ts").cast("timestamp").alias("timestamp"))
-    return jobs.drain(spark, jobs.first_seen(keyed), "first-seen").select("url")
+    with jobs.rocksdb(spark):
+        out = jobs.drain(spark, jobs.first_seen(keyed), "first-seen")
+    return out.select("url", F.unix_millis("timestamp").alias("ms"))

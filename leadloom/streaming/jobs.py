@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from leadloom.operators import events as E
 from leadloom.operators.crawl import CRAWL_TTL_SECONDS
@@ -20,13 +24,64 @@ def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
+class _Seen(StatefulProcessor):
+    """Per key the time of the last row let through; forgotten when its time to live is over."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        last = self._last.get()[0] if self._last.exists() else None
+        passed = []
+        for at in sorted(t for b in rows for t in b["ms"].tolist()):
+            if last is None or at > last + self._ttl:
+                last = at
+                passed.append((*key, at))
+        if passed:
+            self._last.update((last,))
+            self._handle.registerTimer(last + self._ttl + 1)
+        yield pd.DataFrame(passed, columns=["key", "ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a later row may have renewed the key since this timer was set
+        if self._last.exists() and \
+                self._last.get()[0] + self._ttl < expiredTimerInfo.getExpiryTimeInMs():
+            self._last.clear()
+        yield pd.DataFrame(columns=["key", "ms"])
+
+    def close(self) -> None:
+        pass
+
+
 def first_seen(events: DataFrame, key: str = "url", at: str = "timestamp",
-               ttl_seconds: int = CRAWL_TTL_SECONDS) -> DataFrame:
-    """Drop a row whose key was seen within the time to live (state expires by watermark).
+               ttl_seconds: int = CRAWL_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
+    """Rows (key, at) whose key was not let through within the time to live before.
 
-    The watermark is this engine's addition: without one the state would grow for ever.
+    The watermark is this engine's addition: state that it has passed is dropped. Needs the
+    RocksDB state store.
     """
-    return events.withWatermark(at, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
+    slim = events.select(F.col(key).alias("key"), F.col(at).alias("at"),
+                         F.unix_millis(at).alias("ms")).withWatermark("at", lateness)
+    return slim.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Seen(ttl_seconds * 1000), outputStructType="key string, ms long",
+        outputMode="Append", timeMode="EventTime",
+    ).select(F.col("key").alias(key), F.timestamp_millis("ms").alias(at))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State store for jobs with their own state, the session's setting put back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def start(stream: DataFrame, path: str, mode: str = "append", **trigger) -> StreamingQuery:
