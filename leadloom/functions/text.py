@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions import lexicons as lx
@@ -14,9 +16,19 @@ def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_SEP = "\x01"
+
+
 def strings(values: list[str]) -> Column:
-    """A constant array<string>; empty lists keep their element type."""
-    return F.lit(values) if values else F.array().cast("array<string>")
+    """A constant array<string>. Split from one literal: lists of words stay cheap to plan."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit(_SEP.join(values)), _SEP)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, also where lambdas use it many times."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def emails(text: Column | str, limit: int | None = 10) -> Column:
@@ -48,12 +60,11 @@ def social_links(text: Column | str, patterns: dict[str, str] = lx.SOCIAL_PATTER
         for name, pattern in patterns.items()
     ]
     hits = F.filter(F.array(*entries), lambda e: e["value"] != "")
-    return F.map_from_entries(
-        F.transform(
-            hits,
-            lambda e: F.struct(e["key"], F.concat(F.lit("https://"), e["value"])),
-        )
-    )
+    found = F.map_from_entries(F.transform(
+        hits, lambda e: F.struct(e["key"], F.concat(F.lit("https://"), e["value"]))))
+    # every pattern has a literal ".com/" or ".co/"; texts without one skip the regexes
+    return F.when(F.lower(t).rlike(r"\.com?/"), found).otherwise(
+        F.create_map().cast("map<string,string>"))
 
 
 def social_links_from_hrefs(links: Column) -> Column:
@@ -75,8 +86,11 @@ def valid_emails(addresses: Column | str) -> Column:
     return F.filter(F.array_distinct(cleaned), is_valid_email)
 
 
-def _prefix_tree_pattern(words: list[str]) -> str:
-    """Regex that matches the longest of ``words`` at a position, sharing common prefixes."""
+def _prefix_tree_pattern(words: list[str], end: str = "") -> str:
+    """Regex for the longest of ``words`` at a position, common prefixes shared.
+
+    ``end`` must match after a word; where it does not, a shorter word may.
+    """
     tree: dict = {}
     for w in words:
         node = tree
@@ -86,28 +100,41 @@ def _prefix_tree_pattern(words: list[str]) -> str:
 
     def build(node: dict) -> str:
         kids = [re.escape(ch) + build(node[ch]) for ch in sorted(k for k in node if k)]
-        if not kids:
-            return ""
-        body = kids[0] if len(kids) == 1 and "" not in node else "(?:" + "|".join(kids) + ")"
-        return body + ("?" if "" in node else "")
+        if "" in node:  # longer words first, then the word that ends here
+            kids.append(end)
+        return kids[0] if len(kids) == 1 else "(?:" + "|".join(kids) + ")"
 
     return build(tree)
 
 
-def _hits_by_prefix_tree(text_lower: Column, words: list[str]) -> Column:
-    # One pass however many words there are: a zero-width look-ahead reports the longest word
-    # at every position, and the other words that start there are prefixes of it.
-    longest = F.array_distinct(
-        F.regexp_extract_all(text_lower, F.lit(f"(?=({_prefix_tree_pattern(words)}))"), 1)
-    )
-    shorter = {w: [v for v in words if w.startswith(v)] for w in words}
+def _widened(longest: Column, words: list[str], also: Callable[[str, str], bool]) -> Column:
+    """Found words and the words that are found wherever they are, sorted."""
+    shorter = {w: [v for v in words if also(w, v)] for w in words}
     nested = [w for w in words if len(shorter[w]) > 1]
     if not nested:
         return F.array_sort(longest)
-    widen = F.create_map(*[x for w in nested for x in (F.lit(w), F.lit(shorter[w]))])
+    widen = F.create_map(*[x for w in nested for x in (F.lit(w), strings(shorter[w]))])
     return F.array_sort(F.array_distinct(F.flatten(
-        F.transform(longest, lambda m: F.coalesce(widen[m], F.array(m)))
-    )))
+        F.transform(longest, lambda m: F.coalesce(widen[m], F.array(m))))))
+
+
+def _hits_by_prefix_tree(text_lower: Column, words: list[str]) -> Column:
+    # One pass however many words there are: a zero-width look-ahead reports the longest word
+    # at every position, and the other words that start there are prefixes of it.
+    pattern = f"(?=({_prefix_tree_pattern(words)}))"
+    longest = F.array_distinct(F.regexp_extract_all(text_lower, F.lit(pattern), 1))
+    return _widened(longest, words, lambda w, v: w.startswith(v))
+
+
+NOT_INSIDE = r"(?!\w)"
+
+
+def _whole_words(text_lower: Column, words: list[str]) -> Column:
+    # the same pass, only between word edges; a prefix counts if it ends at an edge inside
+    pattern = rf"(?U)(?<!\w)(?=({_prefix_tree_pattern(words, end=NOT_INSIDE)}))"
+    longest = F.array_distinct(F.regexp_extract_all(text_lower, F.lit(pattern), 1))
+    return _widened(longest, words, lambda w, v: w == v or (
+        w.startswith(v) and not re.match(r"\w", w[len(v)])))
 
 
 def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
@@ -117,23 +144,45 @@ def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
     Substrings count by default ("go" in "google"); ``word_boundary=True`` wants whole words.
     """
     t = _as_col(text_lower)
-    if isinstance(lexicon, list) and not word_boundary and len(set(lexicon)) > 8:
-        return _hits_by_prefix_tree(t, sorted(set(lexicon)))
-    if isinstance(lexicon, list) and word_boundary:
-        # constant patterns are compiled once; the cheap test goes first
-        return F.array_compact(F.array(*[
-            F.when(
-                F.contains(t, F.lit(w)) & t.rlike(rf"(?U)(?<!\w)\Q{w}\E(?!\w)"), w
-            ) for w in sorted(set(lexicon))
-        ]))
-    words = strings(sorted(set(lexicon))) if isinstance(lexicon, list) else \
-        F.array_sort(F.array_distinct(lexicon))
+    if isinstance(lexicon, list):
+        words = sorted(set(lexicon))
+        if word_boundary:
+            return _whole_words(t, words)
+        if len(words) > 8:
+            return _hits_by_prefix_tree(t, words)
+        return bound(t, lambda x: F.filter(strings(words), lambda k: F.contains(x, k)))
+    words = F.array_sort(F.array_distinct(lexicon))
     if word_boundary:
-        def whole(k: Column) -> Column:
-            quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), k, F.lit(r"\E(?!\w)"))
-            return F.contains(t, k) & F.rlike(t, quoted)
-        return F.filter(words, whole)
-    return F.filter(words, lambda k: F.contains(t, k))
+        edged = lambda k: F.concat(
+            F.lit(r"(?U)(?<!\w)\Q"), k, F.lit(r"\E(?!\w)"))
+        return bound(t, lambda x: F.filter(
+            words, lambda k: F.contains(x, k) & F.rlike(x, edged(k))))
+    return bound(t, lambda x: F.filter(words, lambda k: F.contains(x, k)))
+
+
+def bulk_keyword_hits(text_lower: Column, words: list[str]) -> Column:
+    """``keyword_hits`` for large lexicons: one automaton pass per text, Arrow-batched.
+
+    Without the automaton library the JVM expression gives the same answer.
+    """
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return keyword_hits(text_lower, words)
+    lexicon = sorted(set(words))
+
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        import ahocorasick as ac
+
+        automaton = ac.Automaton()
+        for w in lexicon:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        return texts.map(
+            lambda t: None if t is None else sorted({w for _, w in automaton.iter(t)}))
+
+    return scan(text_lower)
 
 
 def any_keyword(text_lower: Column | str, words: list[str]) -> Column:
@@ -316,7 +365,8 @@ def locate(text: Column, text_lower: Column, keywords: Column, window: int = 120
 def extract_evidence(text: Column | str, keywords: Column, window: int = 120,
                      max_snippets: int = 5) -> Column:
     t = _as_col(text)
-    return pick_evidence(locate(t, F.lower(t), keywords, window), window, max_snippets)
+    return bound(F.lower(t), lambda low: pick_evidence(
+        locate(t, low, keywords, window), window, max_snippets))
 
 
 # -- query text -----------------------------------------------------------------

@@ -1,47 +1,80 @@
 """Match queries with company directories and job postings, and domains with companies.
 
-Queries meet texts through their words: a map-side scan finds which query words a text holds,
-and only those few (text, word) rows are joined with the queries. Nothing compares every text
-with every query.
+Which words a text holds is found by one scan. A popular word then stands for very many
+(text, query) pairs, so pairs are never written out: each task scores its texts against the
+queries it was sent and keeps only its own best or its own counts, which are then merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.functions import text as X, urls as U
-from leadloom.operators.scoring import bulk_hits, top_n
+from leadloom.operators.scoring import top_n
 
-# Words looked up in one pass over the texts. More words make more passes.
-WORDS_PER_PASS = 20_000
+# Queries that are sent to the tasks at a time. More queries make more passes.
+QUERIES_PER_PASS = 2_000
 
 
-def query_words(queries: DataFrame, key: str, column: str, min_length: int = 1) -> DataFrame:
+def _query_passes(queries: DataFrame, key: str, column: str, min_length: int, per_pass: int
+                  ) -> list[tuple[list, dict[str, np.ndarray]]]:
+    """Per pass: query keys and, for each word, the places of the queries that have it."""
     words = F.array_distinct(F.split(X.strip(F.lower(column)), r"(?U)\s+"))
-    return queries.select(key, F.explode(F.filter(
-        words, lambda w: F.length(w) >= min_length)).alias("word"))
-
-
-def _passes(words: DataFrame, per_pass: int) -> list[list[str]]:
-    """Distinct words in lists of bounded size."""
-    distinct = words.select("word").distinct()
-    n = max(1, ceil(distinct.count() / per_pass))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(n))
-    return [[r.word for r in distinct.filter(bucket == i).collect()] for i in range(n)]
+    held = queries.select(F.col(key).alias("k"), F.filter(
+        words, lambda w: F.length(w) >= min_length).alias("ws"))
+    n = max(1, -(-held.count() // per_pass))
+    bucket = F.pmod(F.xxhash64(F.col("k")), F.lit(n))
+    out = []
+    for i in range(n):
+        rows = held.filter(bucket == i).collect()
+        places: dict[str, list[int]] = {}
+        for j, r in enumerate(rows):
+            for w in r.ws:
+                places.setdefault(w, []).append(j)
+        out.append(([r.k for r in rows],
+                    {w: np.array(js, dtype=np.int32) for w, js in places.items()}))
+    return out
+
+
+def _best_per_task(keys: list, places: dict[str, np.ndarray], k: int):
+    """Task function: rows (_c, _base, _name, _one, _hits) to the task's k best per query."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_score = np.zeros((0, len(keys)), dtype=np.int32)
+        best_id = np.zeros((0, len(keys)), dtype=object)
+        for b in batches:
+            b = b.sort_values("_c")
+            score = np.repeat(b["_base"].to_numpy(np.int32)[:, None], len(keys), axis=1)
+            for row, (name, one, hits) in enumerate(zip(b["_name"], b["_one"], b["_hits"])):
+                for w in hits:
+                    score[row, places[w]] += 4 if w in name else 2 if w in one else 1
+            ids = np.repeat(b["_c"].to_numpy(object)[:, None], len(keys), axis=1)
+            score, ids = np.vstack([best_score, score]), np.vstack([best_id, ids])
+            # by id, then (stable) by score: ties go to the smaller id
+            order = np.argsort(ids, axis=0, kind="stable")
+            score, ids = np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
+            order = np.argsort(-score, axis=0, kind="stable")[:k]
+            best_score = np.take_along_axis(score, order, 0)
+            best_id = np.take_along_axis(ids, order, 0)
+        at, q = np.nonzero(best_score > 0)
+        yield pd.DataFrame({"_q": q, "_c": best_id[at, q], "score": best_score[at, q]})
+
+    return run
 
 
 def directory_match(companies: DataFrame, queries: DataFrame, k: int, company_key: str = "slug",
                     key: str = "query_id", column: str = "query",
-                    words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+                    queries_per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """Best ``k`` directory companies per query, rank 1 = best.
 
     Each query word of three letters or more gives 4 points when it is in the name, else 2 in
     the one-liner, else 1 anywhere; a hiring company and an active one get one point more.
+    Every task hands on at most ``k`` companies per query.
     """
-    words = query_words(queries, key, column, 3)
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     base = F.coalesce(F.col("is_hiring").cast("int"), F.lit(0)) + F.coalesce(
         (F.col("status") == "Active").cast("int"), F.lit(0))
@@ -50,26 +83,26 @@ def directory_match(companies: DataFrame, queries: DataFrame, k: int, company_ke
         low("one_liner").alias("_one"),
         F.concat_ws(" ", low("name"), low("one_liner"), low("long_description"),
                     F.lower(F.array_join(F.coalesce("tags", F.array()), " "))).alias("_all"))
-    points = F.when(F.contains("_name", F.col("word")), 4).when(
-        F.contains("_one", F.col("word")), 2).otherwise(1)
-    found = reduce(DataFrame.unionByName, [
-        texts.withColumn("word", F.explode(bulk_hits(F.col("_all"), lexicon))).select(
-            "_c", "_base", "word", points.alias("_points"))
-        for lexicon in _passes(words, words_per_pass)
-    ])
-    matched = found.join(words, "word").groupBy(key, "_c").agg(
-        (F.sum("_points") + F.first("_base")).alias("score"))
-    # A company without a word hit can only be placed by its base points, and only if it is
-    # among the k best by those: any better one ranks before it for every query.
-    best_base = texts.filter("_base > 0").select("_c", "_base").orderBy(
-        F.desc("_base"), "_c").limit(k).agg(F.collect_list(F.struct("_c", "_base"))).scalar()
-    by_base = queries.select(key, F.explode(best_base).alias("b")).select(
-        key, "b._c", F.col("b._base").cast("long").alias("score"))
-    scored = matched.unionByName(by_base).groupBy(key, "_c").agg(F.max("score").alias("score"))
-    best = top_n(scored, [key], [F.desc("score"), F.asc("_c")], k, "rank")
+    parts = []
+    for keys, places in _query_passes(queries, key, column, 3, queries_per_pass):
+        rows = texts.withColumn("_hits", X.bulk_keyword_hits(F.col("_all"), list(places))
+                                if places else X.strings([])).drop("_all")
+        found = rows.mapInPandas(_best_per_task(keys, places, k),
+                                 "_q int, _c string, score int")
+        parts.append(found.select(
+            _named(queries, key, keys), "_c", F.col("score").cast("long").alias("score")))
+    best = top_n(reduce(DataFrame.unionByName, parts), [key], [F.desc("score"), F.asc("_c")], k,
+                 "rank")
     return best.join(companies, best["_c"] == companies[company_key]).drop("_c")
 
 
+def _named(queries: DataFrame, key: str, keys: list) -> Column:
+    """The query key for its place in the pass."""
+    kind = queries.schema[key].dataType
+    names = X.strings([str(k) for k in keys])
+    return F.get(names, F.col("_q")).cast(kind).alias(key)
+
+
 def directory_result(matched: DataFrame) -> DataFrame:
     """Search-result fields of matched directory companies."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -88,36 +121,73 @@ def directory_result(matched: DataFrame) -> DataFrame:
     })
 
 
+def _count_per_task(n_queries: int, places: dict[str, np.ndarray], most_roles: int,
+                    flush: int = 256):
+    """Task function: sorted rows (slug, _p, _role, _hits) to counts and first roles.
+
+    Holds one line of counts per slug seen, and hands lines on after ``flush`` slugs.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, np.ndarray] = {}
+        roles: dict[tuple[str, int], list] = {}
+
+        def lines() -> pd.DataFrame:
+            rows = [(s, int(q), int(c[q]), roles.get((s, int(q)), []))
+                    for s, c in counts.items() for q in np.nonzero(c)[0]]
+            counts.clear()
+            roles.clear()
+            return pd.DataFrame(rows, columns=["slug", "_q", "relevant", "roles"])
+
+        for b in batches:
+            for slug, p, role, hits in zip(b["slug"], b["_p"].tolist(), b["_role"], b["_hits"]):
+                if not len(hits):
+                    continue
+                if slug not in counts:
+                    if len(counts) >= flush:
+                        yield lines()
+                    counts[slug] = np.zeros(n_queries, dtype=np.int64)
+                c = counts[slug]
+                q = np.unique(np.concatenate([places[w] for w in hits]))
+                for j in q[c[q] < most_roles]:
+                    roles.setdefault((slug, int(j)), []).append({"p": p, "role": role})
+                c[q] += 1
+        yield lines()
+
+    return run
+
+
 def job_match(postings: DataFrame, queries: DataFrame, text: Column, role: str,
               label: str = "open engineering roles", posting_key: str = "posting_id",
               key: str = "query_id", column: str = "query", roles: int = 5,
               max_slugs: int | None = None,
-              words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+              queries_per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """Companies (slugs) with postings that share a whole word with the query.
 
-    Per query and slug: number of relevant postings, all postings, first roles.
+    Per query and slug: number of relevant postings, all postings, first roles. A task hands
+    on one line per query and slug, not one per posting.
     """
-    words = query_words(queries, key, column)
-    held = postings.select(
-        "slug", F.col(posting_key).alias("_p"), F.col(role).alias("_role"),
-        F.split(X.strip(F.lower(text)), r"(?U)\s+").alias("_words"))
-    hits = reduce(DataFrame.unionByName, [
-        held.select("slug", "_p", "_role", F.explode(
-            F.array_intersect("_words", X.strings(lexicon))).alias("word"))
-        for lexicon in _passes(words, words_per_pass)
-    ])
-    relevant = hits.join(words, "word").groupBy(key, "slug", "_p").agg(
-        F.first("_role").alias("_role"))
-    counts = relevant.groupBy(key, "slug").agg(F.count("*").alias("relevant"))
-    named = top_n(relevant, [key, "slug"], [F.asc("_p")], roles).groupBy(key, "slug").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_role"))),
-                    lambda x: x["_role"]).alias("hiring_roles"))
+    words = F.array_distinct(F.split(X.strip(F.lower(text)), r"(?U)\s+"))
+    held = postings.select("slug", F.col(posting_key).alias("_p"), F.col(role).alias("_role"),
+                           words.alias("_words"))
+    kind = postings.schema[posting_key].dataType.simpleString()
+    parts = []
+    for keys, places in _query_passes(queries, key, column, 1, queries_per_pass):
+        rows = held.select("slug", "_p", "_role", F.array_intersect(
+            "_words", X.strings(sorted(places))).alias("_hits"))
+        # sorted within the task, so the first roles of a slug are its smallest postings
+        counted = rows.sortWithinPartitions("slug", "_p").mapInPandas(
+            _count_per_task(len(keys), places, roles),
+            f"slug string, _q int, relevant long, roles array<struct<p:{kind},role:string>>")
+        parts.append(counted.select(_named(queries, key, keys), "slug", "relevant", "roles"))
+    merged = reduce(DataFrame.unionByName, parts).groupBy(key, "slug").agg(
+        F.sum("relevant").alias("relevant"), F.slice(F.array_sort(F.flatten(
+            F.collect_list("roles"))), 1, roles).alias("roles"))
     totals = postings.groupBy("slug").agg(F.count("*").alias("total_postings"))
-    out = counts.join(named, [key, "slug"]).join(totals, "slug").select(
-        key, "slug", "relevant", "total_postings", "hiring_roles",
+    out = merged.join(totals, "slug").select(
+        key, "slug", "relevant", "total_postings", F.col("roles.role").alias("hiring_roles"),
         F.concat("slug", F.lit(" — "), "relevant", F.lit(f" {label}")).alias("title"),
         F.concat(F.lit("https://"), "slug", F.lit(".com")).alias("href"),
-        F.array_join(F.slice("hiring_roles", 1, 3), ", ").alias("body"))
+        F.array_join(F.slice("roles.role", 1, 3), ", ").alias("body"))
     return top_n(out, [key], [F.asc("slug")], max_slugs, "rank") if max_slugs else out
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom.functions import lexicons as lx, scores as SC, text as X
@@ -48,38 +47,12 @@ def profile_terms(icps: DataFrame) -> DataFrame:
     )
 
 
-def bulk_hits(text_lower: Column, words: list[str]) -> Column:
-    """``keyword_hits`` for large lexicons: one automaton pass per text, Arrow-batched.
-
-    Without the automaton library the JVM expression gives the same answer.
-    """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return X.keyword_hits(text_lower, words)
-    lexicon = sorted(set(words))
-
-    @F.pandas_udf("array<string>")
-    def scan(batches: "pd.Series") -> "pd.Series":
-        import ahocorasick as ac
-
-        automaton = ac.Automaton()
-        for w in lexicon:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        return batches.map(
-            lambda t: None if t is None else sorted({w for _, w in automaton.iter(t)})
-        )
-
-    return scan(text_lower)
-
-
 def page_signals(pages: DataFrame, terms: list[str], tech: list[str] = lx.TECH_KEYWORDS,
                  window: int = 120) -> DataFrame:
     """Replace the text by what scoring needs: the terms found and a snippet for each."""
     lexicon = sorted({*terms, *tech, *_FIXED_TERMS})
     found = pages.withColumn("_lower", F.lower("text_content")).withColumn(
-        "hits", bulk_hits(F.col("_lower"), lexicon)
+        "hits", X.bulk_keyword_hits(F.col("_lower"), lexicon)
     )
     # evidence is only ever drawn from profile terms and hiring words
     quoted = F.array_intersect("hits", X.strings(sorted({*terms, *lx.HIRING_KEYWORDS})))
@@ -157,16 +130,18 @@ def enrich(pages: DataFrame, icps: DataFrame, as_of: Column,
     move; without them nothing is shuffled at all. Profiles reach the tasks as one small
     value, and above ``profiles_per_pass`` of them the pages are read in several passes.
     """
-    n = icps.count()
-    passes = max(1, ceil(n / profiles_per_pass))
+    # one small job tells whether the profiles fit one pass, and gives their terms if so
+    terms_of = F.concat("techs", "industries", "locations", "titles")
+    head = profile_terms(icps).select(terms_of.alias("t")).limit(profiles_per_pass + 1).collect()
+    passes = 1 if len(head) <= profiles_per_pass else ceil(icps.count() / profiles_per_pass)
     out = []
     for i in range(passes):
         part = icps if passes == 1 else icps.filter(
             F.pmod(F.xxhash64("icp_id"), F.lit(passes)) == i
         )
         profiles = profile_terms(part)
-        terms = [r.t for r in profiles.select(F.explode(F.concat(
-            "techs", "industries", "locations", "titles")).alias("t")).distinct().collect()]
+        rows = head if passes == 1 else profiles.select(terms_of.alias("t")).collect()
+        terms = sorted({t for r in rows for t in r.t})
         packed = profiles.agg(F.collect_list(F.struct("*"))).scalar()
         signals = page_signals(pages, terms, tech, window)
         if results is not None:

@@ -149,7 +149,7 @@ def test_directory_match_by_hand(spark, per_pass):
     asked = ["Data cloud", "zzz", "pay health robot", "ai", "of"]
     q = spark.createDataFrame([(x,) for x in asked], "query string")
     for k in (3, 12):
-        got = M.directory_match(df, q, k, key="query", words_per_pass=per_pass)
+        got = M.directory_match(df, q, k, key="query", queries_per_pass=per_pass)
         by_query = {}
         for r in got.orderBy("rank").collect():
             by_query.setdefault(r.query, []).append((r.slug, r.score))
@@ -164,7 +164,7 @@ def test_job_match_passes_agree(spark):
     q = spark.createDataFrame([(1, "data ENGINEER"), (2, "pilot")], "query_id int, query string")
     text = F.concat("title", F.lit(" "), "content")
     rows = [{r.slug: (r.relevant, r.total_postings, r.hiring_roles, r.body) for r in
-             M.job_match(posts, q, text, "title", words_per_pass=n).collect()} for n in (1, 99)]
+             M.job_match(posts, q, text, "title", queries_per_pass=n).collect()} for n in (1, 99)]
     assert rows[0] == rows[1] == {
         "a": (2, 2, ["Data engineer", "Chef"], "Data engineer, Chef"),
         "c": (1, 1, ["SRE"], "SRE")}

@@ -1,8 +1,9 @@
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from leadloom.functions import lexicons as lx, scores as SC, text as X
-from leadloom.operators import scoring as S
 from pyspark.sql import functions as F
 
 
@@ -42,11 +43,15 @@ def test_keyword_matchers_agree(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select(
         "t", X.keyword_hits("t", WORDS).alias("tree"),
-        S.bulk_hits(F.col("t"), WORDS).alias("bulk"),
-        X.keyword_hits("t", F.lit(WORDS)).alias("plain")).collect()
+        X.bulk_keyword_hits(F.col("t"), WORDS).alias("bulk"),
+        X.keyword_hits("t", F.lit(WORDS)).alias("plain"),
+        X.keyword_hits("t", WORDS, True).alias("whole"),
+        X.keyword_hits("t", F.lit(WORDS), True).alias("whole_plain")).collect()
     for r in rows:
         want = sorted(w for w in WORDS if w in r.t)
         assert r.tree == want and r.bulk == want and r.plain == want
+        edged = lambda w: re.search(rf"(?<!\w){re.escape(w)}(?!\w)", r.t)
+        assert r.whole == r.whole_plain == [w for w in want if edged(w)]
 
 
 def test_whole_words(one):
