@@ -9,7 +9,7 @@ chained, and each block is then replayed from its known start.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,16 +98,37 @@ def safe_summarizer(fn: Callable[[str], str]) -> Callable[[Column], Column]:
 
 # -- compaction ----------------------------------------------------------------------
 
-def _walk(tokens: np.ndarray, first_own: int, held: np.ndarray, max_tokens: int, max_turns: int,
-          chunk: int):
-    """Step all start states through a block; yields (index, held, total, compacts) per turn."""
+def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[dict]:
+    """Whole (session, block) groups out of sorted batches, as arrays by column."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        new = (b[KEY] != b[KEY].shift()) | (b["b"] != b["b"].shift())
+        starts = new.to_numpy().nonzero()[0]
+        arrays = {c: b[c].to_numpy() for c in columns}
+        for low, high in zip(starts[:-1], starts[1:]):
+            yield {c: a[low:high] for c, a in arrays.items()}
+        rest = b.iloc[starts[-1]:]
+    if rest is not None:
+        yield {c: rest[c].to_numpy() for c in columns}
+
+
+def _in_blocks(shared: DataFrame) -> DataFrame:
+    return shared.repartition(KEY, "b").sortWithinPartitions(KEY, "b", "pos")
+
+
+def _block_table(tokens: np.ndarray, first_own: int, max_tokens: int, max_turns: int,
+                 chunk: int) -> np.ndarray:
+    """Turns held after the block, for every number held before it."""
     run = np.concatenate([[0], np.cumsum(tokens)])
+    held = np.arange(max_turns + 1)
     for i in range(first_own, len(tokens)):
         now = np.minimum(held + 1, max_turns)
         low = np.maximum(i + 1 - now, 0)
-        compacts = (run[i + 1] - run[low] > max_tokens) & (now >= chunk)
-        held = now - chunk * compacts
-        yield i, held, run[i + 1] - run[np.maximum(i + 1 - held, 0)], compacts
+        held = now - chunk * ((run[i + 1] - run[low] > max_tokens) & (now >= chunk))
+    return held
 
 
 def _chained(tables: DataFrame, keys: list[str], index: str, start: Column) -> DataFrame:
@@ -138,59 +159,63 @@ def _composed(tables: DataFrame, keys: list[str], index: str, max_turns: int) ->
 
 def compaction_steps(turns: DataFrame, max_tokens: int = MAX_TOKENS, max_turns: int = MAX_TURNS,
                      chunk: int = CHUNK, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(compactions, last states) of all sessions, as positions and counts only.
+    """(compactions, last states) of all sessions, as numbers only.
 
-    Compactions: session_id, pos (turn that set it off), first (first compacted position).
-    Last states: session_id, pos (last turn), held, held_tokens.
+    Compactions: session_id, pos (place of the turn that set it off), compacted (turn numbers).
+    Last states: session_id, pos (last place), held, held_tokens.
     """
     block = max(block, max_turns)  # a block looks back on the one before it only
     slim = dense_positions(
-        turns.select(KEY, "turn", X.estimate_tokens("content").alias("tokens")), [KEY], "turn")
+        turns.select(KEY, "turn", X.estimate_tokens("content").alias("tokens")), [KEY], "turn",
+        total="n")
     own = F.floor(F.col("pos") / block)
     # the last max_turns turns of a block are also what the next block looks back on
     shared = slim.withColumn("b", F.explode(F.when(
-        F.col("pos") % block >= block - max_turns, F.array(own, own + 1)).otherwise(F.array(own))))
-
-    def arrange(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
-        pdf = pdf.sort_values("pos")
-        return pdf, int((pdf["pos"] // block < pdf["b"]).sum())
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, first = arrange(pdf)
-        if first == len(pdf):  # a block that would hold only looked-back turns
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in (KEY, "b", "moves")})
-        held = np.arange(max_turns + 1)
-        for _, held, _, _ in _walk(pdf["tokens"].to_numpy(), first, held, max_tokens, max_turns,
-                                   chunk):
-            pass
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "b": [pdf["b"].iloc[0]],
-                             "moves": [held.tolist()]})
-
-    tables = shared.groupBy(KEY, "b").applyInPandas(
-        table, f"{KEY} string, b long, moves array<int>").withColumn(
+        (F.col("pos") % block >= block - max_turns) & ((own + 1) * block < F.col("n")),
+        F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def tables_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for g in _groups(batches, [KEY, "b", "pos", "tokens"]):
+            first = int((g["pos"] // block < g["b"]).sum())
+            held = _block_table(g["tokens"], first, max_tokens, max_turns, chunk)
+            rows.append((g[KEY][0], g["b"][0], held.tolist()))
+        yield pd.DataFrame(rows, columns=[KEY, "b", "moves"], dtype=object)
+
+    # sessions of a single block, most of them, start empty and need no table
+    tables = _in_blocks(shared.filter(F.col("n") > block)).mapInPandas(
+        tables_of, f"{KEY} string, b long, moves array<int>").withColumn(
         "bb", F.floor(F.col("b") / block))
     # two levels: a session of a million blocks still chains about a thousand tables at a time
     upper = _chained(_composed(tables, [KEY, "bb"], "b", max_turns), [KEY], "bb", F.lit(0))
     starts = _chained(tables.join(upper, [KEY, "bb"]), [KEY, "bb"], "b", F.col("start"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, first = arrange(pdf)
-        key, pos = pdf[KEY].iloc[0], pdf["pos"].to_numpy()
-        rows, state = [], None
-        walk = _walk(pdf["tokens"].to_numpy(), first, np.array([pdf["start"].iloc[0]]),
-                     max_tokens, max_turns, chunk)
-        for i, held, total, compacts in walk:
-            state = (key, pos[i], None, int(held[0]), int(total[0]))
-            if compacts[0]:
-                rows.append((key, pos[i], pos[i] + 1 - int(held[0]) - chunk, None, None))
-        return pd.DataFrame(rows + ([state] if state else []),
-                            columns=[KEY, "pos", "first", "held", "held_tokens"])
-
-    replayed = shared.join(starts.drop("bb"), [KEY, "b"]).groupBy(KEY, "b").applyInPandas(
-        replay, f"{KEY} string, pos long, first long, held int, held_tokens long")
+    started = shared.join(starts.drop("bb"), [KEY, "b"], "left").withColumn(
+        "start", F.coalesce("start", F.lit(0)))
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for g in _groups(batches, [KEY, "b", "pos", "turn", "tokens", "start"]):
+            key, pos, turn = g[KEY][0], g["pos"].tolist(), g["turn"].tolist()
+            held, run = int(g["start"][0]), [0, *np.cumsum(g["tokens"]).tolist()]
+            for i in range(int((g["pos"] // block < g["b"]).sum()), len(pos)):
+                now = min(held + 1, max_turns)
+                low = i + 1 - now
+                if run[i + 1] - run[low] > max_tokens and now >= chunk:
+                    rows.append((key, pos[i], turn[low:low + chunk], None, None))
+                    now -= chunk
+                held = now
+            rows.append((key, pos[-1], None, held, run[-1] - run[len(pos) - held]))
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows = []
+        yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    names = [KEY, "pos", "compacted", "held", "held_tokens"]
+    replayed = _in_blocks(started).mapInPandas(
+        replay, f"{KEY} string, pos long, compacted array<long>, held int, held_tokens long")
     ends = replayed.filter("held IS NOT NULL").groupBy(KEY).agg(
         F.max_by(F.struct("pos", "held", "held_tokens"), "pos").alias("e")).select(KEY, "e.*")
-    return replayed.filter("first IS NOT NULL").select(KEY, "pos", "first"), ends
+    return replayed.filter("compacted IS NOT NULL").select(KEY, "pos", "compacted"), ends
 
 
 def compact(turns: DataFrame, max_tokens: int = MAX_TOKENS, max_turns: int = MAX_TURNS,
@@ -203,11 +228,9 @@ def compact(turns: DataFrame, max_tokens: int = MAX_TOKENS, max_turns: int = MAX
     """
     turns = turns.withColumn(KEY, F.col(KEY).cast("string"))
     steps, ends = compaction_steps(turns, max_tokens, max_turns, chunk, block)
-    places = dense_positions(turns.select(KEY, "turn"), [KEY], "turn")
-    lines = places.join(turns, [KEY, "turn"]).select(
-        KEY, F.col("pos").alias("p"), F.concat("role", F.lit(": "), "content").alias("line"))
-    wanted = steps.select(KEY, "pos", F.explode(F.sequence(
-        "first", F.col("first") + chunk - 1)).alias("p"))
+    lines = turns.select(KEY, F.col("turn").alias("p"),
+                         F.concat("role", F.lit(": "), "content").alias("line"))
+    wanted = steps.select(KEY, "pos", F.explode("compacted").alias("p"))
     ordered = F.array_sort(F.collect_list(F.struct("p", "line")))
     summaries = wanted.join(lines, [KEY, "p"]).groupBy(KEY, "pos").agg(F.array_join(
         F.transform(ordered, lambda x: x["line"]), "\n").alias("chunk_text")).withColumn(

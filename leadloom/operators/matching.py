@@ -43,25 +43,26 @@ def _query_passes(queries: DataFrame, key: str, column: str, min_length: int, pe
 
 def _best_per_task(keys: list, places: dict[str, np.ndarray], k: int):
     """Task function: rows (_c, _base, _name, _one, _hits) to the task's k best per query."""
+    def leading(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # rows are in id order, so a stable sort by score leaves ties to the smaller id
+        order = np.argsort(-score, axis=0, kind="stable")[:k]
+        return np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_score = np.zeros((0, len(keys)), dtype=np.int32)
-        best_id = np.zeros((0, len(keys)), dtype=object)
-        for b in batches:
-            b = b.sort_values("_c")
-            score = np.repeat(b["_base"].to_numpy(np.int32)[:, None], len(keys), axis=1)
-            for row, (name, one, hits) in enumerate(zip(b["_name"], b["_one"], b["_hits"])):
-                for w in hits:
-                    score[row, places[w]] += 4 if w in name else 2 if w in one else 1
-            ids = np.repeat(b["_c"].to_numpy(object)[:, None], len(keys), axis=1)
-            score, ids = np.vstack([best_score, score]), np.vstack([best_id, ids])
-            # by id, then (stable) by score: ties go to the smaller id
-            order = np.argsort(ids, axis=0, kind="stable")
-            score, ids = np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
-            order = np.argsort(-score, axis=0, kind="stable")[:k]
-            best_score = np.take_along_axis(score, order, 0)
-            best_id = np.take_along_axis(ids, order, 0)
-        at, q = np.nonzero(best_score > 0)
-        yield pd.DataFrame({"_q": q, "_c": best_id[at, q], "score": best_score[at, q]})
+        best = np.zeros((0, len(keys)), dtype=np.int32), np.zeros((0, len(keys)), dtype=object)
+        for whole in batches:
+            for start in range(0, len(whole), 512):  # keeps the score table small
+                b = whole.iloc[start:start + 512].sort_values("_c")
+                score = np.repeat(b["_base"].to_numpy(np.int32)[:, None], len(keys), axis=1)
+                for row, (name, one, hits) in enumerate(zip(b["_name"], b["_one"], b["_hits"])):
+                    for w in hits:
+                        score[row, places[w]] += 4 if w in name else 2 if w in one else 1
+                ids = np.broadcast_to(b["_c"].to_numpy(object)[:, None], score.shape)
+                both = [np.vstack(x) for x in zip(best, leading(score, ids))]
+                order = np.argsort(both[1], axis=0, kind="stable")
+                best = leading(*(np.take_along_axis(x, order, 0) for x in both))
+        at, q = np.nonzero(best[0] > 0)
+        yield pd.DataFrame({"_q": q, "_c": best[1][at, q], "score": best[0][at, q]})
 
     return run
 
