@@ -281,9 +281,14 @@ def extractive_summary(text: Column | str, max_chars: int = 400) -> Column:
     )
 
 
+# every white-space character of Unicode, not only the blank
+_WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing white space of every kind, not only blanks."""
-    return F.regexp_replace(_as_col(c), r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space of every kind."""
+    return F.btrim(_as_col(c), F.lit(_WHITE))
 
 
 def estimate_tokens(text: Column | str) -> Column:

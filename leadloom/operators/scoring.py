@@ -132,14 +132,13 @@ def enrich(pages: DataFrame, icps: DataFrame, as_of: Column,
     """
     # one small job tells whether the profiles fit one pass, and gives their terms if so
     terms_of = F.concat("techs", "industries", "locations", "titles")
-    head = profile_terms(icps).select(terms_of.alias("t")).limit(profiles_per_pass + 1).collect()
+    every = profile_terms(icps)
+    head = every.select(terms_of.alias("t")).limit(profiles_per_pass + 1).collect()
     passes = 1 if len(head) <= profiles_per_pass else ceil(icps.count() / profiles_per_pass)
     out = []
     for i in range(passes):
-        part = icps if passes == 1 else icps.filter(
-            F.pmod(F.xxhash64("icp_id"), F.lit(passes)) == i
-        )
-        profiles = profile_terms(part)
+        profiles = every if passes == 1 else every.filter(
+            F.pmod(F.xxhash64("icp_id"), F.lit(passes)) == i)
         rows = head if passes == 1 else profiles.select(terms_of.alias("t")).collect()
         terms = sorted({t for r in rows for t in r.t})
         packed = profiles.agg(F.collect_list(F.struct("*"))).scalar()

@@ -11,7 +11,6 @@ from leadloom.plans.inputs import (
 )
 from leadloom.plans.registry import query
 from leadloom.plans.scoring_queries import doc_leads, sql_leads
-from leadloom.session import spread_small
 
 _LEADS = (SQL_TEXT_PAGES, SQL_PROFILES, sql_leads("text_pages", "doc_id"))
 
@@ -21,7 +20,7 @@ def pages(spark, d) -> DataFrame:
 
 
 def pages_with_meta(spark, d) -> DataFrame:
-    p = spread_small(pages(spark, d))
+    p = pages(spark, d)
     return p.withColumn("meta", F.struct(
         X.keyword_hits(F.lower("text_content"), lx.TECH_KEYWORDS).alias("tech_signals")))
 

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadloom import schemas
 from leadloom.functions import urls as U
+from leadloom.session import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, spread over the cores when they come as one small file."""
+    return spread_small(table(spark, sf_dir, "documents"))
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -126,7 +132,7 @@ def sql_normalize(u: str) -> str:
 # -- pages with text: documents ----------------------------------------------------
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = table(spark, sf_dir, "documents")
+    doc = documents(spark, sf_dir)
     url = F.concat(F.lit("http://"), "source", F.lit(".example.org/"), "doc_id")
     return doc.select(
         "doc_id",

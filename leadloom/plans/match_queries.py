@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadloom.functions import urls as U
 from leadloom.operators import matching as M
-from leadloom.plans.inputs import table
+from leadloom.plans.inputs import documents, table
 from leadloom.plans.registry import query
-from leadloom.session import fresh_path, spread_small
+from leadloom.session import fresh_path
 from leadloom.sources import files
 
 _SQL_DIRECTORY = """directory AS (SELECT p_partkey, 'c' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')
@@ -95,7 +95,7 @@ def _jobs(out: DataFrame) -> DataFrame:
 @query("j08_job_match", _SQL_JOBS.replace("{text}", "lang || ' ' || text").replace(
     "{label}", "open engineering roles"))
 def job_match(spark, d):
-    posted = spread_small(table(spark, d, "documents")).select(
+    posted = documents(spark, d).select(
         F.col("source").alias("slug"), F.col("doc_id").alias("posting_id"), "lang", "text")
     return _jobs(M.job_match(posted, _asked(spark, d),
                              F.concat("lang", F.lit(" "), "text"), "lang"))

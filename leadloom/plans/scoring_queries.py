@@ -12,7 +12,6 @@ from leadloom.plans.inputs import (
 )
 from leadloom.plans.page_queries import SQL_PARSED, parsed_pages
 from leadloom.plans.registry import query
-from leadloom.session import spread_small
 
 _JOIN = lambda c: F.array_join(c, "|")
 _SIZES = "MAP {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in lx.SIZE_WORDS.items()) + "}"
@@ -75,7 +74,7 @@ def _sql(select: str) -> str:
 
 
 def doc_leads(spark, d, min_score: float = lx.MIN_LEAD_SCORE) -> DataFrame:
-    pages = P.usable(spread_small(text_pages(spark, d)))
+    pages = P.usable(text_pages(spark, d))
     return S.enrich(pages, profiles(spark), as_of(), min_score)
 
 
@@ -230,7 +229,7 @@ SELECT doc_id, array_to_string(r.out, ' ## ') AS evidence FROM (
   WHERE len(hits) > 0)"""))
 def evidence(spark, d):
     ev = X.extract_evidence("text_content", X.strings(_EVIDENCE_WORDS))
-    return spread_small(text_pages(spark, d)).select("doc_id", ev.alias("e")).filter(
+    return text_pages(spark, d).select("doc_id", ev.alias("e")).filter(
         F.size("e") > 0).select("doc_id", F.array_join("e", " ## ").alias("evidence"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import lexicons as lx, text as X, urls as U
-from leadloom.plans.inputs import sql_domain, sql_list, sql_normalize, table
+from leadloom.plans.inputs import documents, sql_domain, sql_list, sql_normalize, table
 from leadloom.plans.registry import query
 
 _JOIN = lambda c: F.array_join(c, "|")
@@ -105,7 +105,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{lx.EMAIL_PATTERN}') AS em FROM d
 SELECT doc_id, array_to_string(es, '|') AS emails FROM (
   SELECT doc_id, {_SQL_EMAILS.replace('[1:10]', '[1:10] AS es')}) WHERE len(es) > 0""")
 def emails(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.emails("text").alias("e")).filter(
+    return documents(spark, d).select("doc_id", X.emails("text").alias("e")).filter(
         F.size("e") > 0).select("doc_id", _JOIN(F.col("e")).alias("emails"))
 
 
@@ -115,7 +115,7 @@ SELECT doc_id, array_to_string(ps, '|') AS phones FROM (
   FROM (SELECT doc_id, regexp_extract_all(text, '{lx.PHONE_PATTERN}') AS ph FROM documents))
 WHERE len(ps) > 0""")
 def phones(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.phones("text").alias("p")).filter(
+    return documents(spark, d).select("doc_id", X.phones("text").alias("p")).filter(
         F.size("p") > 0).select("doc_id", _JOIN(F.col("p")).alias("phones"))
 
 
@@ -134,7 +134,7 @@ SELECT doc_id,
   NULL AS crunchbase
 FROM (SELECT doc_id, {_SOCIAL_TEXT} AS t FROM documents)""")
 def social(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.expr(_SOCIAL_TEXT).alias("t"))
+    docs = documents(spark, d).select("doc_id", F.expr(_SOCIAL_TEXT).alias("t"))
     links = docs.select("doc_id", X.social_links("t").alias("m"))
     return links.select("doc_id", *[F.col("m")[k].alias(k) for k in
                                     ("linkedin", "github", "twitter", "crunchbase")])
@@ -184,7 +184,7 @@ SELECT doc_id, array_to_string({_sql_hits(_PROSE_WORDS)}, '|') AS hits,
   {_SQL_WHOLE} AS whole_words
 FROM (SELECT doc_id, lower(text) AS tl FROM documents)""")
 def keyword_hits(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    docs = documents(spark, d).select("doc_id", F.lower("text").alias("t"))
     return docs.select(
         "doc_id", _JOIN(X.keyword_hits("t", _PROSE_WORDS)).alias("hits"),
         _JOIN(X.keyword_hits("t", _PROSE_WORDS, word_boundary=True)).alias("whole_words"))
@@ -196,7 +196,7 @@ SELECT doc_id, array_to_string(hs, '|') AS hits FROM (
   SELECT doc_id, {_sql_hits(words)} AS hs
   FROM (SELECT doc_id, lower(text) AS tl FROM documents)) WHERE len(hs) > 0""")
     def run(spark, d):
-        docs = table(spark, d, "documents")
+        docs = documents(spark, d)
         return docs.select("doc_id", X.keyword_hits(F.lower("text"), words).alias("h")).filter(
             F.size("h") > 0).select("doc_id", _JOIN(F.col("h")).alias("hits"))
 
@@ -218,7 +218,7 @@ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Org ' || doc_id
 FROM (SELECT doc_id, source, source || ' - ' || lang || CASE WHEN lang = 'en' THEN ' | x'
   ELSE '' END AS t FROM documents)""")
 def company_name(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     n = F.col("doc_id") % 5
     person = F.lit('{"@type":"Person","name":"Nobody"}')
     ld = F.when(n == 0, F.array(person, F.concat(
@@ -239,7 +239,7 @@ def company_name(spark, d):
 @query("x22_word_count", r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents""")
 def words(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.word_count("text").alias("words"))
+    return documents(spark, d).select("doc_id", X.word_count("text").alias("words"))
 
 
 _PROFILE_TEXT = (
@@ -259,7 +259,7 @@ SELECT doc_id, trim(split_part(source || ' | Network', '|', 1)) AS company_name,
   source || ';' || lang || ';data work;' || doc_id AS specialties
 FROM (SELECT doc_id, source, lang, {_PROFILE_TEXT} AS t FROM documents)""")
 def company_page_fields(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", "source", F.expr(_PROFILE_TEXT).alias("t"))
     f = X.company_page_fields(
         F.concat("source", F.lit(" | Network")), F.lit(""), F.col("t"))
@@ -277,14 +277,14 @@ FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, '.'),
   lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS ss FROM documents)
 """)
 def summary(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", X.extractive_summary("text").alias("summary"))
 
 
 @query("x26_estimate_tokens", """
 SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents""")
 def tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.estimate_tokens("text").alias("tokens"))
+    return documents(spark, d).select("doc_id", X.estimate_tokens("text").alias("tokens"))
 
 
 @query("x27_speaker_line", """
@@ -309,7 +309,7 @@ SELECT doc_id, CASE WHEN sn <> '' THEN '...' || sn || '...' END AS snippet FROM
   FROM (SELECT doc_id, text, instr(lower(text), 'the') - 1 AS pos FROM documents)
   WHERE pos >= 0)""")
 def snippet(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", "text", (F.instr(F.lower("text"), "the") - 1).alias("pos"))
     return docs.filter("pos >= 0").select(
         "doc_id", X.snippet(F.col("text"), F.col("pos"), F.lit("the")).alias("snippet"))
@@ -329,5 +329,5 @@ SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w)
   AS words
 FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)""")
 def ordered_distinct(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
