@@ -168,26 +168,28 @@ def searchapi(spark, d):
     return _core(out, F.col("metadata.displayed_link").alias("link"))
 
 
-_GH = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Org ' || page_id ELSE 'org' || page_id
-  END AS title, CASE WHEN page_id % 3 = 0 THEN 'https://blog' || page_id || '.io'
-  WHEN page_id % 3 = 1 THEN 'https://github.com/detail/org' || page_id
+# pages with a fragment have no detail record, those with a query only a bare one
+_CASE = "CASE WHEN contains(url, '#') THEN 'none' WHEN contains(url, '?') THEN 'bare' ELSE 'full' END"
+_GH = f"""SELECT page_id, CASE kind WHEN 'full' THEN 'Org ' || page_id ELSE 'org' || page_id
+  END AS title, CASE kind WHEN 'full' THEN 'https://blog' || page_id || '.io'
+  WHEN 'bare' THEN 'https://github.com/detail/org' || page_id
   ELSE 'https://github.com/org' || page_id END AS href,
-  CASE WHEN page_id % 3 = 1 THEN 'bio' ELSE '' END AS body,
-  CASE WHEN page_id % 3 = 0 THEN '5' ELSE '0' END AS repos FROM pages"""
+  CASE kind WHEN 'bare' THEN 'bio' ELSE '' END AS body,
+  CASE kind WHEN 'full' THEN '5' ELSE '0' END AS repos
+FROM (SELECT page_id, {_CASE} AS kind FROM pages)"""
 
 
 def _github(spark, d):
     body = F.struct(F.array(F.struct(_t("org").alias("login"))).alias("items"))
-    n = F.col("page_id") % 3
-    # organisations of every third page have no detail record
-    details = table(spark, d, "pages").filter(n != 2).select(
-        _t("org").alias("login"), F.when(n == 0, _t("Org ")).alias("name"),
-        F.when(n == 0, F.concat(F.lit("blog"), "page_id", F.lit(".io"))).alias("blog"),
+    p = table(spark, d, "pages").select("page_id", F.expr(_CASE).alias("kind"))
+    full, none = F.col("kind") == "full", F.lit(None)
+    details = p.filter("kind <> 'none'").select(
+        _t("org").alias("login"), F.when(full, _t("Org ")).alias("name"),
+        F.when(full, F.concat(F.lit("blog"), "page_id", F.lit(".io"))).alias("blog"),
         F.concat(F.lit("https://github.com/detail/org"), "page_id").alias("html_url"),
-        F.lit(None).cast("string").alias("description"), F.when(n == 1, "bio").alias("bio"),
-        F.lit(None).cast("string").alias("location"), F.when(n == 0, 5).alias("public_repos"),
-        F.lit(None).cast("int").alias("followers"),
-        F.lit(None).cast("string").alias("created_at"))
+        none.cast("string").alias("description"), F.when(~full, "bio").alias("bio"),
+        none.cast("string").alias("location"), F.when(full, 5).alias("public_repos"),
+        none.cast("int").alias("followers"), none.cast("string").alias("created_at"))
     out = PL.normalize_github(_calls(spark, d, "github", body), details, ["page_id"])
     return out.select("page_id", "title", "href", "body",
                       F.col("metadata.attributes")["public_repos"].alias("repos"))
