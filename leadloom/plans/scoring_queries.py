@@ -8,7 +8,7 @@ from leadloom.functions import lexicons as lx, scores as SC, text as X
 from leadloom.operators import pages as P, scoring as S
 from leadloom.plans.inputs import (
     SQL_PROFILES, SQL_TEXT_PAGES, as_of, profiles, published_date, sql_list,
-    sql_published_date, table, text_pages, with_ctes,
+    sql_published_date, text_pages, with_ctes,
 )
 from leadloom.plans.page_queries import SQL_PARSED, parsed_pages
 from leadloom.plans.registry import query

@@ -3,8 +3,6 @@ import json
 
 from leadloom.operators import events as E
 from leadloom.streaming import jobs
-from pyspark.sql import functions as F
-
 T0 = dt.datetime(2024, 1, 1)
 
 
