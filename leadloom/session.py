@@ -24,12 +24,16 @@ def tuned(builder: SparkSession.Builder, **more: str) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (local tests) gets a fresh temporary folder.
+    Only a local session (tests), where all tasks share one machine, gets a temporary folder of
+    its own; elsewhere a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="leadloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
