@@ -25,7 +25,7 @@ from leadloom.llm import common
 
 #: Bounds of the training sample.
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_CHARS = 20_000_000
 #: Words of fewer sampled texts get no weight.
 MIN_TEXTS = 4
 #: Words get a weight if the labels differ with them beyond chance (about 5 deviations).
@@ -110,27 +110,29 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     labels = np.array([y for _, y in sample], dtype=float)
     if not len(labels) or labels.min() == labels.max():
         return Model({}, None)
-    bags = [[s for s in re.split(r"[.!?\n]", t.lower())] for t, _ in sample]
-    found = [[re.findall(r"\w+", s) for s in bag] for bag in bags]
     seen, toxic = Counter(), Counter()
-    for bag, y in zip(found, labels):
-        in_text = {f for w in {w for s in bag for w in s} for f in word_features(w)}
+    for text, y in sample:
+        in_text = {f for w in set(re.findall(r"\w+", text.lower())) for f in word_features(w)}
         seen.update(in_text)
         if y:
             toxic.update(in_text)
     vocabulary = {w: i for i, w in enumerate(sorted(
         w for w, k in seen.items() if k >= MIN_TEXTS
         and evidence(toxic[w], k, labels.sum(), len(labels)) >= MIN_EVIDENCE))}
+    seen.clear()
+    toxic.clear()
     known: dict[str, list[int]] = {}
 
     def ids(w: str) -> list[int]:
         if w not in known:
+            if len(known) >= CACHE:
+                known.clear()
             known[w] = [vocabulary[f] for f in word_features(w) if f in vocabulary]
         return known[w]
 
     word, sentence, doc, n = [], [], [], 0
-    for d, bag in enumerate(found):
-        for s in filter(None, bag):
+    for d, (text, _) in enumerate(sample):
+        for s in filter(None, (re.findall(r"\w+", s) for s in re.split(r"[.!?\n]", text.lower()))):
             got = [i for w in s for i in ids(w)]
             word += got
             sentence += [n] * len(got)
