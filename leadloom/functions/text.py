@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -31,8 +31,15 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def emails(text: Column | str, limit: int | None = 10) -> Column:
-    """Distinct e-mail addresses in first-seen order, at most ``limit`` of them."""
+def unicode_spaces(pattern: str) -> str:
+    """The pattern with \\s for white space of every kind, as the patterns are meant."""
+    return pattern.replace(r"[^\"'\s>]", r"[^\"'>\s\x1c-\x1f\x85\p{Z}]").replace(
+        r"[\s", r"[\s\x1c-\x1f\x85\p{Z}").replace(r"\s+", r"[\s\x1c-\x1f\x85\p{Z}]+").replace(
+        r"\s*", r"[\s\x1c-\x1f\x85\p{Z}]*")
+
+
+def emails(text: Column | str, limit: int | None = None) -> Column:
+    """Distinct e-mail addresses in first-seen order, the first ``limit`` of them if given."""
     t = _as_col(text)
     found = F.array_distinct(F.regexp_extract_all(t, F.lit(lx.EMAIL_PATTERN), 0))
     # most texts have no @ and skip the regex
@@ -40,10 +47,11 @@ def emails(text: Column | str, limit: int | None = 10) -> Column:
     return F.slice(out, 1, limit) if limit else out
 
 
-def phones(text: Column | str, limit: int | None = 5) -> Column:
+def phones(text: Column | str, limit: int | None = None) -> Column:
+    """Distinct phone numbers; groups may be parted by any kind of white space."""
     t = _as_col(text)
-    found = F.array_distinct(F.regexp_extract_all(t, F.lit(lx.PHONE_PATTERN), 0))
-    out = F.when(t.rlike(r"\d{3}[\s\-]\d{3}"), found).otherwise(
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(unicode_spaces(lx.PHONE_PATTERN)), 0))
+    out = F.when(t.rlike(unicode_spaces(r"\d{3}[\s\-]\d{3}")), found).otherwise(
         F.array().cast("array<string>")
     )
     return F.slice(out, 1, limit) if limit else out
@@ -55,7 +63,7 @@ def social_links(text: Column | str, patterns: dict[str, str] = lx.SOCIAL_PATTER
     entries = [
         F.struct(
             F.lit(name).alias("key"),
-            F.regexp_extract(t, "(?i)" + pattern, 0).alias("value"),
+            F.regexp_extract(t, "(?i)" + unicode_spaces(pattern), 0).alias("value"),
         )
         for name, pattern in patterns.items()
     ]
@@ -73,7 +81,7 @@ def social_links_from_hrefs(links: Column) -> Column:
 
 
 def is_valid_email(email: Column | str) -> Column:
-    e = F.lower(F.trim(_as_col(email)))
+    e = F.lower(strip(email))
     host = F.regexp_extract(e, "(?s)^[^@]*@(.*)$", 1)
     junk = reduce(lambda a, b: a | b,
                   [host.rlike("(?i)" + p) for p in lx.JUNK_EMAIL_HOST_PATTERNS])
@@ -82,7 +90,7 @@ def is_valid_email(email: Column | str) -> Column:
 
 def valid_emails(addresses: Column | str) -> Column:
     """Lower-cased, valid, distinct addresses in their order."""
-    cleaned = F.transform(_as_col(addresses), lambda e: F.lower(F.trim(e)))
+    cleaned = F.transform(_as_col(addresses), lambda e: F.lower(strip(e)))
     return F.filter(F.array_distinct(cleaned), is_valid_email)
 
 
@@ -163,24 +171,21 @@ def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
 def bulk_keyword_hits(text_lower: Column, words: list[str]) -> Column:
     """``keyword_hits`` for large lexicons: one automaton pass per text, Arrow-batched.
 
-    Without the automaton library the JVM expression gives the same answer.
+    Needs the library pyahocorasick on all executors. A task builds the automaton once.
     """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return keyword_hits(text_lower, words)
     lexicon = sorted(set(words))
 
     @F.pandas_udf("array<string>")
-    def scan(texts: pd.Series) -> pd.Series:
-        import ahocorasick as ac
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
 
-        automaton = ac.Automaton()
+        automaton = ahocorasick.Automaton()
         for w in lexicon:
             automaton.add_word(w, w)
         automaton.make_automaton()
-        return texts.map(
-            lambda t: None if t is None else sorted({w for _, w in automaton.iter(t)}))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else sorted(
+                {w for _, w in automaton.iter(t)} if lexicon else ()))
 
     return scan(text_lower)
 
@@ -211,10 +216,10 @@ def company_name(json_ld: Column, og_site_name: Column, title: Column, domain: C
     from_ld = F.get(F.filter(F.transform(json_ld, org_name), lambda n: n.isNotNull()), 0)
     head = reduce(
         lambda rest, sep: F.when(
-            F.contains(title, F.lit(sep)), F.trim(F.substring_index(title, sep, 1))
+            F.contains(title, F.lit(sep)), strip(F.substring_index(title, sep, 1))
         ).otherwise(rest),
         reversed(lx.TITLE_SEPARATORS),
-        F.coalesce(F.nullif(F.trim(title), F.lit("")), domain),
+        F.coalesce(F.nullif(strip(title), F.lit("")), domain),
     )
     return F.coalesce(from_ld, F.nullif(og_site_name, F.lit("")), head)
 
@@ -223,30 +228,25 @@ def company_page_fields(title: Column, description: Column, text: Column) -> Col
     """Struct of the facts a company profile page states in plain words."""
     industry_line = F.get(
         F.filter(
-            F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.trim(s)),
+            F.transform(F.split(text, r"\r\n|\r|\n"), strip),
             lambda s: s.rlike(r"(?i)\b(industry|sector)\b"),
         ),
         0,
     )
     specialties = F.regexp_extract(text, r"(?i)specialt(?:y|ies)[:\s]+([^\n]{10,200})", 1)
     return F.struct(
-        F.trim(F.substring_index(F.coalesce(title, F.lit("")), "|", 1)).alias("company_name"),
-        F.substring(F.coalesce(description, F.lit("")), 1, 250).alias("tagline"),
-        F.coalesce(F.substring(industry_line, 1, 80), F.lit("")).alias("industry"),
+        strip(F.substring_index(F.coalesce(title, F.lit("")), "|", 1)).alias("company_name"),
+        F.coalesce(description, F.lit("")).alias("tagline"),
+        F.coalesce(industry_line, F.lit("")).alias("industry"),
         F.regexp_extract(
             text, r"(?i)(\d[\d,]*)\s*(?:to|-)\s*(\d[\d,]*)\s*employees", 0
         ).alias("employee_count"),
         F.regexp_extract(text, r"(?i)founded\s*[:\-]?\s*(\d{4})", 1).alias("founded"),
-        F.trim(
+        strip(
             F.regexp_extract(text, r"(?i)headquartered?\s+(?:in\s+)?([A-Z][^,\n]{2,40})", 1)
         ).alias("headquarters"),
-        F.slice(
-            F.filter(
-                F.transform(F.split(specialties, "[,·|]"), lambda s: F.trim(s)),
-                lambda s: s != "",
-            ),
-            1,
-            10,
+        F.filter(
+            F.transform(F.split(specialties, "[,·|]"), strip), lambda s: s != "",
         ).alias("specialties"),
     )
 
@@ -388,5 +388,5 @@ def sanitise_query(text: Column | str, max_chars: int = lx.MAX_QUERY_CHARS) -> C
 def injection_rule(text: Column) -> Column:
     """First injection pattern that the text matches, NULL when clean."""
     return F.coalesce(*[
-        F.when(text.rlike("(?i)" + p), F.lit(p)) for p in lx.INJECTION_PATTERNS
+        F.when(text.rlike("(?i)" + unicode_spaces(p)), F.lit(p)) for p in lx.INJECTION_PATTERNS
     ])

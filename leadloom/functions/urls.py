@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions import lexicons as lx
+from leadloom.functions.text import strip
 
 # scheme, authority with its slashes, path, query, fragment
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -82,7 +83,7 @@ def extract_domain(url: Column | str) -> Column:
 
 def normalise_domain(value: Column | str, prefixes: list[str] = lx.HOST_PREFIXES) -> Column:
     """Canonical bare domain of a URL or domain string."""
-    s = F.lower(F.trim(_as_col(value)))
+    s = F.lower(strip(value))
     host = F.when(
         F.contains(s, F.lit("://")), F.coalesce(F.nullif(authority(s), F.lit("")), s)
     ).otherwise(s)
@@ -101,7 +102,7 @@ def extract_root_domain(value: Column | str) -> Column:
 
 def sanitise_domain(value: Column | str) -> Column:
     """Host part of user input: scheme, path and query cut off."""
-    s = F.regexp_replace(F.lower(F.trim(_as_col(value))), "(?s)^.*?://", "")
+    s = F.regexp_replace(F.lower(strip(value)), "(?s)^.*?://", "")
     return F.substring_index(F.substring_index(s, "/", 1), "?", 1)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.functions import text as X
@@ -36,13 +38,13 @@ def with_pages(leads: DataFrame, pages: DataFrame, order: str = "ordinal") -> Da
 
 
 def fallback_profile(pages: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Rule-based company profile: technologies (10, sorted) and the first page's title."""
+    """Rule-based company profile: technologies (sorted) and the first page's title."""
     base = pages.filter("success").groupBy("domain").agg(
         F.min_by("title", F.struct(order, "url")).alias("title"))
     # one row per (domain, technology): bounded by the lexicon, however many pages there are
     tech = pages.filter("success").select(
         "domain", F.explode("meta.tech_signals").alias("t")).groupBy("domain").agg(
-        F.slice(F.array_sort(F.collect_set("t")), 1, 10).alias("tech_stack"))
+        F.array_sort(F.collect_set("t")).alias("tech_stack"))
     none = F.array().cast("array<string>")
     return base.join(tech, "domain", "left").select(
         "domain",
@@ -87,14 +89,14 @@ def research_quota(leads: DataFrame, pages: DataFrame, key: str, tie: list[str],
                    ) -> DataFrame:
     """Of the first ``n`` hot leads, those that have pages."""
     hot = top_n(leads.filter("lead_tier = 'hot'"), [key], best_first(*tie), n)
-    return hot.join(pages.filter("success").select("domain"), "domain", "left_semi")
+    return hot.join(pages.filter("success").select("domain").distinct(), "domain", "left_semi")
 
 
 def contact_quota(leads: DataFrame, pages: DataFrame, key: str, tie: list[str], n: int = 10
                   ) -> DataFrame:
     """Of the first ``n`` leads, those with pages and without decision makers."""
     first = top_n(leads, [key], best_first(*tie), n).filter(F.size("decision_makers") == 0)
-    return first.join(pages.filter("success").select("domain"), "domain", "left_semi")
+    return first.join(pages.filter("success").select("domain").distinct(), "domain", "left_semi")
 
 
 def _most_common(leads: DataFrame, values: str, n: int) -> DataFrame:
@@ -140,42 +142,44 @@ def refine(icps: DataFrame, hot_leads: DataFrame) -> DataFrame:
 
 # -- prompt texts --------------------------------------------------------------------
 
-def _listed(label: str, values: Column, n: int | None = None) -> Column:
-    v = F.coalesce(F.slice(values, 1, n) if n else values, F.array().cast("array<string>"))
-    return F.when(F.size(v) > 0, F.concat(F.lit(f"{label}: "), F.array_join(v, ", ")))
-
-
-def scoring_prompt(leads: DataFrame, icps: DataFrame) -> DataFrame:
-    """Prompt text per lead: what is wanted, what was found, some evidence."""
-    wanted = icps.select("icp_id", F.coalesce(F.nullif(F.concat_ws(
-        "\n",
-        _listed("Industries", F.col("target_company.industries")),
-        _listed("Countries", F.col("locations.countries")),
-        _listed("Required tech", F.col("technologies.required")),
-        _listed("Preferred tech", F.col("technologies.preferred")),
-        _listed("Target titles", F.col("buyer_persona.titles")),
-        _listed("Engagement models", F.col("engagement.models")),
-        _listed("Outsourcing models", F.col("outsource.engagement_models")),
-    ), F.lit("")), F.lit("(no ICP constraints specified)")).alias("wanted"))
-    found = F.coalesce(F.nullif(F.concat_ws(
-        "\n",
-        _listed("Tech stack detected", F.col("tech_stack"), 10),
-        _listed("Hiring", F.col("hiring_signals"), 6),
-        _listed("Outsourcing signals", F.col("outsourcing_signals"), 5),
-        _listed("Business events", F.col("business_events"), 5),
-        _listed("Industry signals", F.col("industry_signals"), 4),
-        _listed("Decision-maker mentions", F.col("decision_maker_hints"), 4),
-        _listed("Emails found", F.col("emails"), 3),
-    ), F.lit("")), F.lit("(no signals detected)"))
-    quotes = F.transform(F.slice("evidence", 1, 3), lambda e: F.concat(F.lit("  • "), e))
-    evidence = F.when(F.size("evidence") > 0, F.concat(
-        F.lit("\nPage evidence:\n"), F.array_join(quotes, "\n"))).otherwise("")
-    prompt = F.concat(
-        F.lit("=== Wanted ===\n"), "wanted", F.lit("\n\n=== Lead ===\nCompany : "),
-        "company_name", F.lit("\nDomain  : "), "domain", F.lit("\nSource  : "), "source_url",
-        F.lit("\nScore   : "), F.format_string("%.2f", "icp_relevance_score"),
-        F.lit(" / 1.00\n\nSignals found:\n"), found, evidence)
-    return leads.join(wanted, "icp_id").withColumn("prompt", prompt).drop("wanted")
+#: What a prompt may name of a profile and of a lead: columns, each with how many values (all).
+WANTED = {"target_company.industries": None, "locations.countries": None,
+          "technologies.required": None, "technologies.preferred": None,
+          "buyer_persona.titles": None, "engagement.models": None,
+          "outsource.engagement_models": None}
+FOUND = {"tech_stack": None, "hiring_signals": None, "outsourcing_signals": None,
+         "business_events": None, "industry_signals": None, "decision_maker_hints": None,
+         "emails": None}
+TEMPLATE = ("profile\n{wanted}\n\nlead {company_name}, {domain}, {source_url}, "
+            "score {score}\n{found}\n{evidence}")
+
+
+def _lines(columns: dict[str, int | None]) -> Column:
+    """A line per column that has values: its name, then the values."""
+    def line(c: str, n: int | None) -> Column:
+        v = F.coalesce(F.slice(c, 1, n) if n else F.col(c), F.array().cast("array<string>"))
+        return F.when(F.size(v) > 0, F.concat(F.lit(c.replace("_", " ") + ": "),
+                                              F.array_join(v, ", ")))
+
+    return F.coalesce(F.nullif(F.concat_ws("\n", *[line(*x) for x in columns.items()]),
+                               F.lit("")), F.lit("nothing"))
+
+
+def scoring_prompt(leads: DataFrame, icps: DataFrame, template: str = TEMPLATE,
+                   wanted: dict[str, int | None] = WANTED, found: dict[str, int | None] = FOUND,
+                   quotes: int | None = None) -> DataFrame:
+    """A user's template filled per lead: what is wanted, what was found, quoted evidence."""
+    asked = icps.select("icp_id", _lines(wanted).alias("_wanted"))
+    cited = F.slice("evidence", 1, quotes) if quotes else F.col("evidence")
+    slots = {
+        "wanted": F.col("_wanted"), "found": _lines(found),
+        "score": F.format_string("%.2f", "icp_relevance_score"),
+        "evidence": F.coalesce(F.array_join(F.transform(
+            cited, lambda e: F.concat(F.lit("> "), e)), "\n"), F.lit("")),
+        **{c: F.coalesce(c, F.lit("")) for c in ("company_name", "domain", "source_url")}}
+    parts = re.split(r"\{(\w+)\}", template)
+    prompt = F.concat(*[slots[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    return leads.join(asked, "icp_id").withColumn("prompt", prompt).drop("_wanted")
 
 
 def research_prompt(blocks: DataFrame) -> DataFrame:
@@ -183,8 +187,11 @@ def research_prompt(blocks: DataFrame) -> DataFrame:
         F.lit("Company domain: "), "domain", F.lit("\n\nWeb pages content:\n"), "text_block"))
 
 
-def contact_prompt(pages: DataFrame, chars: int = 3000) -> DataFrame:
-    """Pages with more than 100 characters and the text a contact model reads."""
-    return usable(pages).filter(F.length("text_content") > 100).withColumn("prompt", F.concat(
-        F.lit("Company domain: "), "domain", F.lit("\n\nPage text:\n"),
-        F.substring("text_content", 1, chars)))
+def contact_prompt(pages: DataFrame, chars: int | None = None, min_chars: int = 100) -> DataFrame:
+    """Pages with more than ``min_chars`` characters and the text a contact model reads.
+
+    The whole text unless ``chars`` cuts it.
+    """
+    text = F.substring("text_content", 1, chars) if chars else F.col("text_content")
+    return usable(pages).filter(F.length("text_content") > min_chars).withColumn(
+        "prompt", F.concat(F.lit("Company domain: "), "domain", F.lit("\n\nPage text:\n"), text))

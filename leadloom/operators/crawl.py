@@ -26,20 +26,20 @@ def is_fresh(at: Column, now: Column, ttl_seconds: int) -> Column:
 def cache_hits(urls: DataFrame, cache: DataFrame, now: Column, ttl: int = CRAWL_TTL_SECONDS,
                at: str = "stored_at") -> DataFrame:
     """URLs that a fresh cached page serves."""
-    fresh = cache.filter(is_fresh(F.col(at), now, ttl)).select("url")
+    fresh = cache.filter(is_fresh(F.col(at), now, ttl)).select("url").distinct()
     return urls.join(fresh, "url", "left_semi")
 
 
 def cache_misses(urls: DataFrame, cache: DataFrame, now: Column, ttl: int = CRAWL_TTL_SECONDS,
                  at: str = "stored_at") -> DataFrame:
     """URLs that must be fetched."""
-    fresh = cache.filter(is_fresh(F.col(at), now, ttl)).select("url")
+    fresh = cache.filter(is_fresh(F.col(at), now, ttl)).select("url").distinct()
     return urls.join(fresh, "url", "left_anti")
 
 
 def unprocessed(urls: DataFrame, processed: DataFrame) -> DataFrame:
     """URLs a session has not handled yet."""
-    return urls.join(processed.select("session_id", "url"), ["session_id", "url"], "left_anti")
+    return urls.join(processed.select("session_id", "url").distinct(), ["session_id", "url"], "left_anti")
 
 
 def expand_domains(urls: DataFrame, per_domain: int, paths: list[str] = lx.SIGNAL_PATHS,

@@ -66,8 +66,10 @@ def _answers(spark: SparkSession, store: str) -> DataFrame | None:
     try:
         return spark.read.schema(
             "key string, answer string, error string, answered_at timestamp").parquet(store)
-    except AnalysisException:  # nothing stored yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":  # nothing stored yet
+            return None
+        raise
 
 
 def ask(df: DataFrame, fn: Model, model: str, store: str, task: str = "lead_scorer",

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from leadloom.functions.numbers import exact_sum, rounded_avg
 from leadloom.operators.scoring import best_first, top_n
@@ -98,8 +98,9 @@ def upsert_decision_makers(stored: DataFrame, incoming: DataFrame, order: str =
     """Match on e-mail, else profile link, else title within a domain: (table, rejects).
 
     A matched row keeps its identity and takes the incoming name, confidence and session. A
-    row that matches several stored rows, or that would repeat a stored e-mail or link, is
-    rejected with a reason. ``stored`` has a unique ``id``.
+    row that matches several stored rows, that would repeat a stored link, or that another row
+    of the batch beats to its stored row or link, is rejected with a reason. Rows of one key
+    are one row. ``stored`` has a unique ``id``.
     """
     kind = F.when(F.coalesce("email", F.lit("")) != "", "email").when(
         F.coalesce("linkedin_url", F.lit("")) != "", "linkedin_url").otherwise("title")
@@ -109,7 +110,7 @@ def upsert_decision_makers(stored: DataFrame, incoming: DataFrame, order: str =
     identity = ["title", "email", "linkedin_url"]
     keyed = incoming.withColumns({"_kind": kind, "_value": value}).groupBy(*key).agg(
         F.min_by(F.struct(*identity), order).alias("who"),
-        F.max_by(F.struct(*_MAKER_FIELDS), order).alias("what"))
+        F.max_by(F.struct(*_MAKER_FIELDS), order).alias("what"), F.min(order).alias("_first"))
     # each stored row under its three possible keys, counted per key
     under = stored.select("id", "domain", F.explode(F.array(*[
         F.struct(F.lit(k).alias("_kind"), F.col(k).alias("_value")) for k in
@@ -117,20 +118,29 @@ def upsert_decision_makers(stored: DataFrame, incoming: DataFrame, order: str =
         F.coalesce("_value", F.lit("")) != "").groupBy(*key).agg(
         F.count("*").alias("_hits"), F.min("id").alias("_id"))
     matched = keyed.join(under, key, "left")
-    updates = matched.filter("_hits = 1").groupBy("_id").agg(
-        # two incoming keys can point to one stored row; the e-mail match decides
-        F.min_by("what", F.struct("_kind", "_value")).alias("what"))
-    fresh = matched.filter("_hits IS NULL").select("domain", "who.*", "what.*")
+    # two incoming keys can point to one stored row; the e-mail match decides
+    found = matched.filter("_hits = 1").withColumn("_turn", F.row_number().over(
+        W.partitionBy("_id").orderBy("_kind", "_value")))
+    updates = found.filter("_turn = 1").select("_id", "what")
+    fresh = matched.filter("_hits IS NULL").select("domain", "who.*", "what.*", "_first")
     taken_link = stored.filter("linkedin_url IS NOT NULL").select("domain", "linkedin_url")
     clash = fresh.join(taken_link, ["domain", "linkedin_url"], "left_semi")
-    inserts = fresh.join(taken_link, ["domain", "linkedin_url"], "left_anti")
+    # rows without a link cannot repeat one; of several with the same link the first is stored
+    free = fresh.join(taken_link, ["domain", "linkedin_url"], "left_anti").withColumn(
+        "_own", F.coalesce(F.nullif("linkedin_url", F.lit("")), F.concat(F.lit("\x01"), "_first")))
+    free = free.withColumn("_turn", F.row_number().over(
+        W.partitionBy("domain", "_own").orderBy("_first")))
+    inserts = free.filter("_turn = 1").drop("_own", "_turn", "_first")
+    beaten = found.filter("_turn > 1").select("domain", "who.*", "what.*").unionByName(
+        free.filter("_turn > 1").drop("_own", "_turn", "_first"))
     updated = stored.join(updates, stored["id"] == updates["_id"], "left").select(*[
         F.when(F.col("what").isNotNull(), F.col(f"what.{c}")).otherwise(F.col(c)).alias(c)
         if c in _MAKER_FIELDS else F.col(c) for c in stored.columns])
     table = updated.unionByName(inserts, allowMissingColumns=True)
     rejects = matched.filter("_hits > 1").select(
         "domain", "who.*", "what.*").withColumn("reason", F.lit("ambiguous")).unionByName(
-        clash.withColumn("reason", F.lit("duplicate link")))
+        clash.drop("_first").withColumn("reason", F.lit("duplicate link"))).unionByName(
+        beaten.withColumn("reason", F.lit("repeated in batch")))
     return table, rejects
 
 

@@ -59,7 +59,7 @@ def leads_with_pages(spark, d):
 SELECT domain, min_by(title, doc_id) AS company_name,
   'Company at ' || domain || '. Research requires LLM.' AS description,
   array_to_string(list_sort(list_distinct(flatten(list(list_filter(
-    {sql_list(sorted(lx.TECH_KEYWORDS))}, lambda k: contains(tl, k))))))[1:10], '|') AS tech_stack
+    {sql_list(sorted(lx.TECH_KEYWORDS))}, lambda k: contains(tl, k)))))), '|') AS tech_stack
 FROM text_pages GROUP BY domain"""))
 def company_profile(spark, d):
     return C.fallback_profile(pages_with_meta(spark, d)).select(
@@ -174,26 +174,27 @@ def refined(spark, d):
                     F.array_join("target_company.industries", "|").alias("industries"))
 
 
-_LISTED = lambda label, c, n: (
-    f"CASE WHEN len({c}) > 0 THEN '{label}: ' || array_to_string(({c})[1:{n}], ', ') END")
+_LISTED = lambda label, c: (
+    f"CASE WHEN len({c}) > 0 THEN '{label}: ' || array_to_string({c}, ', ') END")
 
 
 @query("p17_scoring_prompt", with_ctes(*_LEADS, select=f"""
-SELECT icp_id, doc_id, '=== Wanted ===' || chr(10) || CASE icp_id
-    WHEN 'tech' THEN 'Industries: Edthat, dans' || chr(10) || 'Countries: Nicht' || chr(10)
-      || 'Required tech: thering, Avec' || chr(10) || 'Preferred tech: go, blest' || chr(10)
-      || 'Target titles: ention' || chr(10) || 'Engagement models: devops'
-    WHEN 'hiring' THEN 'Industries: para' || chr(10) || 'Target titles: CTO, unge'
-    ELSE '(no ICP constraints specified)' END
-  || chr(10) || chr(10) || '=== Lead ===' || chr(10) || 'Company : '
-  || trim(split_part(title, ' - ', 1)) || chr(10) || 'Domain  : ' || domain || chr(10)
-  || 'Source  : ' || url || chr(10) || 'Score   : ' || printf('%.2f', round(score, 2)) || ' / 1.00'
-  || chr(10) || chr(10) || 'Signals found:' || chr(10) || coalesce(nullif(concat_ws(chr(10),
-    {_LISTED('Tech stack detected', 'tech_stack', 10)}, {_LISTED('Hiring', 'hiring_signals', 6)},
-    {_LISTED('Outsourcing signals', 'outsourcing_signals', 5)},
-    {_LISTED('Business events', 'business_events', 5)},
-    {_LISTED('Industry signals', 'industry_signals', 4)},
-    {_LISTED('Decision-maker mentions', 'hints', 4)}), ''), '(no signals detected)') AS prompt
+SELECT icp_id, doc_id, 'profile' || chr(10) || CASE icp_id
+    WHEN 'tech' THEN 'target company.industries: Edthat, dans' || chr(10)
+      || 'locations.countries: Nicht' || chr(10)
+      || 'technologies.required: thering, Avec' || chr(10)
+      || 'technologies.preferred: go, blest' || chr(10)
+      || 'buyer persona.titles: ention' || chr(10) || 'engagement.models: devops'
+    WHEN 'hiring' THEN 'target company.industries: para' || chr(10)
+      || 'buyer persona.titles: CTO, unge' ELSE 'nothing' END
+  || chr(10) || chr(10) || 'lead ' || trim(split_part(title, ' - ', 1)) || ', ' || domain
+  || ', ' || url || ', score ' || printf('%.2f', round(score, 2)) || chr(10)
+  || coalesce(nullif(concat_ws(chr(10),
+    {_LISTED('tech stack', 'tech_stack')}, {_LISTED('hiring signals', 'hiring_signals')},
+    {_LISTED('outsourcing signals', 'outsourcing_signals')},
+    {_LISTED('business events', 'business_events')},
+    {_LISTED('industry signals', 'industry_signals')},
+    {_LISTED('decision maker hints', 'hints')}), ''), 'nothing') AS prompt
 FROM leads"""))
 def scoring_prompt(spark, d):
     leads = doc_leads(spark, d).withColumns({
@@ -203,7 +204,7 @@ def scoring_prompt(spark, d):
     p = C.scoring_prompt(leads, profiles(spark))
     # quoted evidence is checked by w12_evidence
     return p.select("icp_id", "doc_id", F.regexp_replace(
-        "prompt", r"(?s)\nPage evidence:\n.*$", "").alias("prompt"))
+        "prompt", r"(?s)\n(?:> .*)?$", "").alias("prompt"))
 
 
 @query("p17_research_prompt", with_ctes(SQL_TEXT_PAGES, _BLOCKS, select="""
@@ -215,6 +216,6 @@ def research_prompt(spark, d):
 
 @query("p17_contact_prompt", with_ctes(SQL_TEXT_PAGES, select="""
 SELECT doc_id, 'Company domain: ' || domain || chr(10) || chr(10) || 'Page text:' || chr(10)
-  || substr(text_content, 1, 3000) AS prompt FROM text_pages WHERE length(text_content) > 100"""))
+  || text_content AS prompt FROM text_pages WHERE length(text_content) > 100"""))
 def contact_prompt(spark, d):
     return C.contact_prompt(pages(spark, d)).select("doc_id", "prompt")

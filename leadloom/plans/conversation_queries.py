@@ -117,13 +117,14 @@ def _streamed(spark, d) -> DataFrame:
         F.col("conv_id").cast("string").alias("session_id"), "turn", "role",
         F.col("text").alias("content"))
     with jobs.rocksdb(spark):
-        return jobs.drain(spark, SC.compact_stream(spark, source, **_LIMITS), "compaction",
-                          "update")
+        out = jobs.drain(spark, SC.compact_stream(spark, source, **_LIMITS), "compaction",
+                         "update")
+    return SC.rolling_summaries(out, ["batch", "turn"])
 
 
 @query("r06_compaction_stream", _SQL_EVENTS)
 def compaction_stream(spark, d):
-    return _streamed(spark, d).filter("turns_compacted > 0").select(
+    return _streamed(spark, d).filter("kind = 'compacted'").select(
         "session_id", F.col("turn").alias("pos"), "turns_compacted", "summary_preview",
         "new_summary_chars")
 

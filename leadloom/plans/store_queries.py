@@ -274,17 +274,20 @@ incoming_dm AS (SELECT *, CASE WHEN email IS NOT NULL THEN 'email' WHEN linkedin
 one_dm AS (SELECT domain, kind, val, min_by(title, ordinal) AS title,
   arg_min_null(email, ordinal) AS email, arg_min_null(linkedin_url, ordinal) AS linkedin_url,
   max_by(full_name, ordinal) AS full_name, max_by(confidence, ordinal) AS confidence,
-  max_by(session_id, ordinal) AS session_id FROM incoming_dm GROUP BY domain, kind, val),
+  max_by(session_id, ordinal) AS session_id, min(ordinal) AS first FROM incoming_dm GROUP BY domain, kind, val),
 keyed_dm AS (SELECT domain, kind, val, count(*) AS hits, min(id) AS id FROM (
     SELECT id, domain, 'email' AS kind, email AS val FROM stored_dm WHERE email IS NOT NULL
     UNION ALL SELECT id, domain, 'linkedin_url', linkedin_url FROM stored_dm
       WHERE linkedin_url IS NOT NULL
     UNION ALL SELECT id, domain, 'title', title FROM stored_dm) GROUP BY domain, kind, val),
 met_dm AS (SELECT o.*, k.hits, k.id FROM one_dm o LEFT JOIN keyed_dm k USING (domain, kind, val)),
-upd_dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, val) AS rn
-  FROM met_dm WHERE hits = 1) WHERE rn = 1),
-new_dm AS (SELECT *, EXISTS (SELECT 1 FROM stored_dm s WHERE s.domain = m.domain
-  AND s.linkedin_url = m.linkedin_url) AS clash FROM met_dm m WHERE hits IS NULL)"""
+found_dm AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, val) AS rn
+  FROM met_dm WHERE hits = 1),
+upd_dm AS (SELECT * FROM found_dm WHERE rn = 1),
+all_new_dm AS (SELECT *, EXISTS (SELECT 1 FROM stored_dm s WHERE s.domain = m.domain
+  AND s.linkedin_url = m.linkedin_url) AS clash FROM met_dm m WHERE hits IS NULL),
+new_dm AS (SELECT *, NOT clash AND linkedin_url IS NOT NULL AND row_number() OVER (
+  PARTITION BY domain, linkedin_url, clash ORDER BY first) > 1 AS beaten FROM all_new_dm)"""
 
 
 @query("j12_decision_maker_upsert", with_ctes(_SQL_MAKERS, select="""
@@ -294,7 +297,7 @@ SELECT s.id, s.domain, s.title, s.email, s.linkedin_url,
   coalesce(u.session_id, s.session_id) AS session_id
 FROM stored_dm s LEFT JOIN upd_dm u ON u.id = s.id
 UNION ALL SELECT NULL, domain, title, email, linkedin_url, full_name, confidence, session_id
-FROM new_dm WHERE NOT clash"""))
+FROM new_dm WHERE NOT clash AND NOT beaten"""))
 def maker_upsert(spark, d):
     t, _ = ST.upsert_decision_makers(stored_makers(spark, d), incoming_makers(spark, d))
     return t.select("id", "domain", "title", "email", "linkedin_url", "full_name", "confidence",
@@ -304,7 +307,10 @@ def maker_upsert(spark, d):
 @query("j12_decision_maker_rejects", with_ctes(_SQL_MAKERS, select="""
 SELECT domain, title, email, linkedin_url, full_name, 'ambiguous' AS reason FROM met_dm
 WHERE hits > 1 UNION ALL SELECT domain, title, email, linkedin_url, full_name, 'duplicate link'
-FROM new_dm WHERE clash"""))
+FROM new_dm WHERE clash
+UNION ALL SELECT domain, title, email, linkedin_url, full_name, 'repeated in batch'
+FROM found_dm WHERE rn > 1 UNION ALL SELECT domain, title, email, linkedin_url, full_name,
+  'repeated in batch' FROM new_dm WHERE beaten"""))
 def maker_rejects(spark, d):
     _, r = ST.upsert_decision_makers(stored_makers(spark, d), incoming_makers(spark, d))
     return r.select("domain", "title", "email", "linkedin_url", "full_name", "reason")

@@ -97,13 +97,13 @@ def cache_keys(spark, d):
                      F.lit("web"), F.lit(None).cast("string")).alias("search_key"))
 
 
-_SQL_EMAILS = f"""list_filter(em, lambda e, i: list_position(em, e) = i)[1:10]
+_SQL_EMAILS = f"""list_filter(em, lambda e, i: list_position(em, e) = i) AS es
 FROM (SELECT doc_id, regexp_extract_all(text, '{lx.EMAIL_PATTERN}') AS em FROM documents)"""
 
 
 @query("x10_emails", f"""
 SELECT doc_id, array_to_string(es, '|') AS emails FROM (
-  SELECT doc_id, {_SQL_EMAILS.replace('[1:10]', '[1:10] AS es')}) WHERE len(es) > 0""")
+  SELECT doc_id, {_SQL_EMAILS}) WHERE len(es) > 0""")
 def emails(spark, d):
     return documents(spark, d).select("doc_id", X.emails("text").alias("e")).filter(
         F.size("e") > 0).select("doc_id", _JOIN(F.col("e")).alias("emails"))
@@ -111,7 +111,7 @@ def emails(spark, d):
 
 @query("x11_phones", f"""
 SELECT doc_id, array_to_string(ps, '|') AS phones FROM (
-  SELECT doc_id, list_filter(ph, lambda e, i: list_position(ph, e) = i)[1:5] AS ps
+  SELECT doc_id, list_filter(ph, lambda e, i: list_position(ph, e) = i) AS ps
   FROM (SELECT doc_id, regexp_extract_all(text, '{lx.PHONE_PATTERN}') AS ph FROM documents))
 WHERE len(ps) > 0""")
 def phones(spark, d):

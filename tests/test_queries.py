@@ -4,9 +4,10 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from leadloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.load()
 
 PARITY = [
     "x01_normalize_url", "x14_keyword_hits", "h01_extract_pages", "j02_score_pages_by_profiles",
