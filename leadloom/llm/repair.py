@@ -185,8 +185,12 @@ class Shard:
 
     def ids(self, i: int) -> np.ndarray:
         """All ids of document ``i``, by its own symbols and the rules."""
-        start = self.ends[i - 1] if i else 0
-        return expand(self.symbols[start:self.ends[i]], self.rules, self.first)
+        return self.run(i, i + 1)
+
+    def run(self, a: int, b: int) -> np.ndarray:
+        """The ids of documents ``a`` to ``b - 1``, one after another."""
+        start = self.ends[a - 1] if a else 0
+        return expand(self.symbols[start:self.ends[b - 1]], self.rules, self.first)
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
@@ -257,12 +261,13 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
                     shard = Shard(f.read())
                 starts = start + np.cumsum(shard.sizes.astype(np.int64)) - shard.sizes
                 for at in range(0, len(shard), 256):
-                    some = range(at, min(at + 256, len(shard)))
+                    to = min(at + 256, len(shard))
+                    whole = shard.run(at, to).astype("<u4").tobytes()
+                    ends = (4 * np.cumsum(shard.sizes[at:to].astype(np.int64))).tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard.doc_ids[i] for i in some], pa.int64()),
-                         pa.array(starts[at:at + 256]),
-                         pa.array(shard.sizes[at:at + 256].astype(np.int64)),
-                         pa.array([shard.ids(i).astype("<u4").tobytes() for i in some])],
+                        [pa.array(shard.doc_ids[at:to], pa.int64()), pa.array(starts[at:to]),
+                         pa.array(shard.sizes[at:to].astype(np.int64)),
+                         pa.array([whole[a:b] for a, b in zip([0, *ends], ends)], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"])
 
     return shards.select("shard", "start").mapInArrow(
