@@ -4,7 +4,8 @@ Encoding takes three steps. (1) Each task cuts its texts into pre-tokens with th
 and writes blocks: the positions as one sequence of word numbers, and the block's distinct words,
 dealt into buckets by hash. (2) Words meet by bucket, so that every distinct word of the whole
 table lies in one task and is encoded once there; its ids go back to each block that has it.
-(3) Blocks put the ids together by position. A word comes at most once per block to its bucket,
+(3) Blocks put the ids together by position; the table of blocks is bucketed, so this join moves
+ids but no texts. A word comes at most once per block to its bucket,
 so a very frequent word is no larger than a rare one. Blocks and words travel packed and
 compressed, which keeps the shuffle below the size of the texts.
 
@@ -14,6 +15,7 @@ Null texts are empty; empty texts have no ids. Any row gives one row, repeated i
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from leadloom import session
 from leadloom.llm import common
 from leadloom.llm.pretokens import PartCache, pieces
 
 #: A block ends with the text that brings it to so many characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Words are dealt into at least so many buckets.
 BUCKETS = 64
 
@@ -85,21 +88,27 @@ class _Block:
         self.chars += len(text or "")
 
     def rows(self, name: str, buckets: int) -> Iterator[tuple]:
-        words = sorted((zlib.crc32(b := w.encode()) % buckets, b, i) for w, i in self.words.items())
-        place = np.empty(len(words), np.uint32)
-        place[[i for _, _, i in words]] = np.arange(len(words), dtype=np.uint32)
         sizes = np.array([len(p) for p in self.parts], dtype=np.int64)
         flat = np.array([w for p in self.parts for w in p], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         parts = np.concatenate([*self.texts, np.empty(0, np.int64)])
         lengths = np.array([sizes[t].sum() for t in self.texts], dtype=np.uint32)
-        sequence = place[flat[gather(starts[parts], sizes[parts])]]
+        sequence = flat[gather(starts[parts], sizes[parts])]
+        # Within a bucket the frequent words come first, so most numbers are small.
+        often = np.bincount(sequence, minlength=len(self.words)).tolist()
+        words = sorted((zlib.crc32(b := w.encode()) % buckets, -often[i], b, i)
+                       for w, i in self.words.items())
+        of = np.array([w[0] for w in words], dtype=np.uint16)
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        order = np.array([w[3] for w in words], dtype=np.int64)
+        bucket_of, rank_of = np.empty(len(of), np.uint16), np.empty(len(of), np.uint32)
+        bucket_of[order], rank_of[order] = of, rank
         known = np.array([i is not None for i in self.ids], dtype=np.uint8)
         ids = np.array([i or 0 for i in self.ids], dtype=np.int64)
-        yield name, -1, len(ids), _squeeze(ids, known, lengths, sequence)
-        of = np.array([b for b, _, _ in words])
+        yield name, -1, len(ids), _squeeze(
+            ids, known, lengths, bucket_of[sequence], rank_of[sequence])
         for b in np.unique(of):
-            own = [w for _, w, _ in words[np.searchsorted(of, b):np.searchsorted(of, b, "right")]]
+            own = [w[2] for w in words[np.searchsorted(of, b):np.searchsorted(of, b, "right")]]
             yield (name, int(b), len(own), _squeeze(
                 np.array([len(w) for w in own], dtype=np.uint32),
                 np.frombuffer(b"".join(own), np.uint8)))
@@ -165,39 +174,33 @@ def _encode_words(path: str, pattern: str):
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come one by one: the texts first, then the ids of the words by bucket."""
-    last, texts, sizes, ids = None, None, [], []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        doc_ids, known, lengths, sequence = _expand(texts, "<i8", "u1", "<u4", "<u4")
-        size = np.concatenate([*sizes, np.empty(0, np.uint32)]).astype(np.int64)
+    """A row has a block: its texts, and the ids of its words by bucket."""
+    for texts, words in common.rows_of(batches, "payload", "words"):
+        doc_ids, known, lengths, bucket, rank = _expand(texts, "<i8", "u1", "<u4", "<u2", "<u4")
+        numbers, sizes, ids = [], [], []
+        for w in sorted(words or [], key=lambda w: w["bucket"]):
+            size, flat = _expand(w["payload"], "<u4", "<u4")
+            numbers.append(w["bucket"])
+            sizes.append(size.astype(np.int64))
+            ids.append(flat)
+        first = np.zeros(max(numbers, default=0) + 1, np.int64)
+        first[numbers] = np.cumsum([0, *map(len, sizes)])[:len(numbers)]
+        size = np.concatenate([*sizes, np.empty(0, np.int64)])
         flat = np.concatenate([*ids, np.empty(0, np.uint32)])
         starts = np.cumsum(size) - size
         ends = np.cumsum(lengths.astype(np.int64))
         out, held = [], 0
         for i, (a, b) in enumerate(zip(ends - lengths, ends)):
-            words = sequence[a:b]
-            got = flat[gather(starts[words], size[words])].astype("<u4").tobytes()
+            at = first[bucket[a:b]] + rank[a:b]
+            got = flat[gather(starts[at], size[at])].astype("<u4").tobytes()
             out.append((int(doc_ids[i]) if known[i] else None, got))
             held += len(got)
-            if held > 1 << 24:
+            if held > 1 << 23:
                 yield _encoded_batch(out)
                 out, held = [], 0
         if out:
             yield _encoded_batch(out)
 
-    for name, bucket, _, payload in common.rows_of(batches, "block", "bucket", "n", "payload"):
-        if name != last:
-            if last is not None:
-                yield from done()
-            last, texts, sizes, ids = name, payload, [], []
-        else:
-            size, flat = _expand(payload, "<u4", "<u4")
-            sizes.append(size)
-            ids.append(flat)
-    if last is not None:
-        yield from done()
-
 
 def _encoded_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
@@ -213,17 +216,34 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
     into words. Takes columns ``doc_id`` and ``text``; other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(buckets, parts), 1 << 16)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = common.staged(
-        slim.mapInArrow(_cut(pattern, buckets, block_chars), _PACKED), "bpe-blocks")
-    words = cut.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(_encode_words(path, pattern), _PACKED)
-    together = cut.filter("bucket < 0").unionByName(ids)
-    return together.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(
+    cut = _written(slim.mapInArrow(_cut(pattern, buckets, block_chars), _PACKED), parts)
+    words = cut.filter("kind = 'words'").select("block", "bucket", "n", "payload").repartition(
+        buckets, "bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(_encode_words(path, pattern), _PACKED).groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "payload")).alias("words"))
+    texts = cut.filter("kind = 'texts'").select("block", "payload")
+    # Blocks without words have no ids.
+    return texts.join(ids, "block", "left").select("payload", "words").mapInArrow(
         _assemble, "doc_id long, ids binary")
 
 
+def _written(blocks: DataFrame, parts: int) -> DataFrame:
+    """The blocks in the shared folder, bucketed so that the join by block moves no texts.
+
+    Spark keeps bucketing with a named table. Name and files are scratch: both may go once the
+    result is written.
+    """
+    spark = blocks.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    kind = F.when(F.col("bucket") < 0, "texts").otherwise("words")
+    blocks.withColumn("kind", kind).write.partitionBy("kind").bucketBy(parts, "block").option(
+        "path", session.fresh_path(spark, "bpe-blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
 @cache
 def token_bytes(path: str) -> list[bytes]:
     """The token-byte table: as long as the vocabulary, whatever the data."""
