@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, decoded again; digests of both."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_words.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe_words.digests(bpe_words.decode(encoded, path))
+    return bpe_words.digests(bpe_words.round_trip(
+        docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality rules", quality_stage),

@@ -31,7 +31,9 @@ from leadloom.llm import common
 from leadloom.llm.pretokens import PartCache, pieces
 
 #: A block ends with the text that brings it to so many characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
+#: Rows of an Arrow batch, unless the session sets its own number.
+BATCH_ROWS = 500
 #: Words are dealt into at least so many buckets.
 BUCKETS = 64
 
@@ -215,7 +217,25 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
     ``path`` is a file of token bytes and ranks that all executors have, ``pattern`` cuts texts
     into words. Takes columns ``doc_id`` and ``text``; other columns are not read.
     """
+    return _joined(docs, path, pattern, buckets, block_chars).mapInArrow(
+        _assemble, "doc_id long, ids binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
+               block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``encode`` and ``decode`` in one Python worker per task, which halves their memory."""
+    back = _decoder(path)
+    return _joined(docs, path, pattern, buckets, block_chars).mapInArrow(
+        lambda batches: back(_assemble(batches)), "doc_id long, ids binary, decoded binary")
+
+
+def _joined(docs: DataFrame, path: str, pattern: str, buckets: int,
+            block_chars: int) -> DataFrame:
+    """Each block's texts with the ids of its words."""
     spark = docs.sparkSession
+    # Rows are large here: the default of 10,000 rows to a batch takes hundreds of MB.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(buckets, parts), 1 << 16)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -226,8 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
         F.collect_list(F.struct("bucket", "payload")).alias("words"))
     texts = cut.filter("kind = 'texts'").select("block", "payload")
     # Blocks without words have no ids.
-    return texts.join(ids, "block", "left").select("payload", "words").mapInArrow(
-        _assemble, "doc_id long, ids binary")
+    return texts.join(ids, "block", "left").select("payload", "words")
 
 
 def _written(blocks: DataFrame, parts: int) -> DataFrame:
@@ -256,6 +275,11 @@ def token_bytes(path: str) -> list[bytes]:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` (bytes) to rows with ``ids``; null ids give null."""
+    return encoded.mapInArrow(
+        _decoder(path), T.StructType(list(encoded.schema.fields)).add("decoded", "binary"))
+
+
+def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = token_bytes(path).__getitem__
         for batch in batches:
@@ -265,7 +289,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType(list(encoded.schema.fields)).add("decoded", "binary"))
+    return run
 
 
 def digests(decoded: DataFrame) -> DataFrame:

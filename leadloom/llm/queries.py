@@ -43,8 +43,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_words.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_words.digests(bpe_words.decode(encoded, path))
+    return bpe_words.digests(bpe_words.round_trip(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
