@@ -128,3 +128,23 @@ def test_merge_titles(one):
     makers = F.array(F.struct(F.lit("Cto").alias("title"), F.lit(0.9).alias("confidence")))
     got = one(SC.merge_titles(makers, F.lit(["CTO", "COO", "coo"])))
     assert [(m.title, m.confidence) for m in got] == [("Cto", 0.9), ("COO", 0.7)]
+
+
+def test_pages_without_a_result_take_that_of_their_domain(spark):
+    from leadloom.operators import discovery
+    from leadloom.plans import inputs
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url", "html")
+    results = inputs.search_results(spark, sf)
+    args = results, inputs.profiles(spark), inputs.as_of()
+    signal = pages.withColumn("url", F.concat("url", F.lit("/team")))
+
+    def leads(of, **more):
+        found = discovery.discover(of, *args, min_score=0.0, top=10_000, **more)
+        return {(r.icp_id, r.source_url) for r in found.select("icp_id", "source_url").collect()}
+
+    bare, plain = leads(signal), leads(pages)
+    assert plain and not bare
+    extra = leads(pages.unionByName(signal), fallback="domain")
+    assert plain <= extra and any(url.endswith("/team") for _, url in extra)
