@@ -148,3 +148,15 @@ def test_fallback_and_empty_profile(spark):
     assert (r.company_name, r.tech_stack) == ("d", ["a", "b", "c"])
     e = CO.empty_profile(pages.select("domain").distinct()).head()
     assert (e.company_name, e.tech_stack) == ("d", [])
+
+
+def test_json_leads_and_their_header(spark, tmp_path):
+    leads = spark.createDataFrame(
+        [("find labs", "a.co", "x"), ("find labs", "b.co", "y")],
+        "query string, domain string, evidence string")
+    header = files.leads_header(leads, F.lit("2024-01-01T00:00:00"), F.lit(12.34))
+    files.write_leads_json(leads, f"{tmp_path}/leads", include_evidence=False, header=header)
+    got = spark.read.json(f"{tmp_path}/leads")
+    assert sorted(got.columns) == ["domain", "query"] and got.count() == 2
+    top = spark.read.json(f"{tmp_path}/leads-header").collect()
+    assert [(r.query, r.pipeline_ms, r.total_leads) for r in top] == [("find labs", 12.3, 2)]
