@@ -87,7 +87,7 @@ def ask(df: DataFrame, fn: Model, model: str, store: str, task: str = "lead_scor
     if stored is not None:
         fresh = stored.filter(F.col("error").isNull() & is_fresh(
             F.col("answered_at"), now, ANSWER_TTL[task]))
-        wanted = wanted.join(fresh.select("key"), "key", "left_anti")
+        wanted = wanted.join(fresh.select("key").distinct(), "key", "left_anti")
     call_model(wanted, fn, prompt).select(
         "key", "answer", "error", now.alias("answered_at")).write.mode("append").parquet(store)
     valid = _answers(spark, store).filter(is_fresh(F.col("answered_at"), now, ANSWER_TTL[task]))
