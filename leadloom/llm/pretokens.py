@@ -37,6 +37,12 @@ class PartCache(dict):
         self[part] = value
         return value
 
+    def put(self, found) -> None:
+        """Take values that were worked out elsewhere, as pairs of key and value."""
+        if len(self) >= self.limit:
+            self.clear()
+        self.update(found)
+
     def first(self, part: str):
         """The value of a part at the start of a text or after white space of its own."""
         if part not in self.firsts:

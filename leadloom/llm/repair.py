@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leadloom import session
-from leadloom.llm.pretokens import PartCache
+from leadloom.llm.pretokens import PartCache, unsafe
 from leadloom.llm.token_counts import special_tokens, split_specials
 
 MAGIC = b"RPAIR001"
@@ -44,7 +44,12 @@ _HASH_BITS = 20
 
 
 class Encoder:
-    """Ids of texts with one vocabulary file; each different part is encoded once per task."""
+    """Ids of texts with one byte-level vocabulary file; each different part is encoded once.
+
+    The parts of a text that are new go to the library as one string. Each starts with a space and
+    ends with a visible character, so no token spans two of them, and the bytes of the tokens say
+    where a part ends.
+    """
 
     def __init__(self, path: str):
         import os
@@ -57,10 +62,32 @@ class Encoder:
         small = self.library.get_vocab_size() < 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
         self.parts = PartCache(self._part, None)
+        # A byte-level token is written with one character for each of its bytes.
+        self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.n_bytes[i] = len(token)
+        self.joins = not any(" " in s for s in self.specials)
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype=self.dtype)
 
     def _part(self, part: str) -> bytes:
-        ids = self.library.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return self._ids(part).tobytes()
+
+    def _learn(self, text: str) -> None:
+        """Fill the cache with the text's parts; parts that cannot be joined are left to it."""
+        known = self.parts
+        new = [p for p in set(text.split(" ")[1:]) if p not in known and not unsafe(p)]
+        if len(new) < 2:
+            return
+        whole = " " + " ".join(new)
+        ids = self._ids(whole)
+        raw = ids.tobytes()
+        sizes = np.array([1 + (len(p) if p.isascii() else len(p.encode())) for p in new])
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
+        ends = (ends * self.dtype.itemsize).tolist()
+        known.put(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode(self, text: str) -> np.ndarray:
         out = []
@@ -68,6 +95,8 @@ class Encoder:
             if t in self.specials:
                 out.append(np.array([self.specials[t]], self.dtype).tobytes())
             else:
+                if self.joins:
+                    self._learn(t)
                 out += self.parts.values_of(t)
         return np.frombuffer(b"".join(out), self.dtype)
 

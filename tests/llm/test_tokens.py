@@ -50,6 +50,15 @@ def test_parts_join_to_the_text():
         assert "".join(cache.values_of(t)) == t
 
 
+def test_new_parts_encoded_together_equal_whole_texts(library):
+    for limit in (20, 1_000_000):
+        own = repair.Encoder(JSON)
+        own.parts.limit = limit
+        for t in [*texts(), "a<|endoftext|>b c<|endoftext|> d", " ".join(filter(None, texts()))]:
+            assert own.encode(t or "").tolist() == library.encode(
+                t or "", add_special_tokens=False).ids
+
+
 def test_words_encode_like_the_library_and_decode_to_the_text(docs):
     got = by_id(bpe_words.decode(bpe_words.encode(docs, BYTES, P.PATTERN, 4, 300), BYTES))
     whole = bpe_words.encoding(BYTES, P.PATTERN)
