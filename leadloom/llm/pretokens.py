@@ -64,7 +64,7 @@ class PartCache(dict):
 
 
 def unsafe(part: str) -> bool:
-    return not part or part[0].isspace() or part[-1].isspace()
+    return not part or part.strip() != part
 
 
 @cache

@@ -75,19 +75,31 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         return self._ids(part).tobytes()
 
-    def _learn(self, text: str) -> None:
-        """Fill the cache with the text's parts; parts that cannot be joined are left to it."""
-        known = self.parts
-        new = [p for p in set(text.split(" ")[1:]) if p not in known and not unsafe(p)]
-        if len(new) < 2:
-            return
-        whole = " " + " ".join(new)
-        ids = self._ids(whole)
+    def _learn(self, new: list[str]) -> None:
+        """Fill the cache with different parts that start and end with visible characters."""
+        ids = self._ids(" " + " ".join(new))
         raw = ids.tobytes()
         sizes = np.array([1 + (len(p) if p.isascii() else len(p.encode())) for p in new])
         ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
         ends = (ends * self.dtype.itemsize).tolist()
-        known.put(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        self.parts.put(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of a text without special strings."""
+        head, *rest = text.split(" ")
+        if not self.joins or unsafe(head):
+            return self.parts.values_of(text)
+        got = list(map(self.parts.get, rest))
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            new = [p for p in dict.fromkeys([rest[i] for i in at]) if not unsafe(p)]
+            if new:
+                self._learn(new)
+            for i in at:
+                got[i] = self.parts[rest[i]]
+            if None in got:
+                return self.parts.values_of(text)
+        return [self.parts.first(head), *got]
 
     def encode(self, text: str) -> np.ndarray:
         out = []
@@ -95,9 +107,7 @@ class Encoder:
             if t in self.specials:
                 out.append(np.array([self.specials[t]], self.dtype).tobytes())
             else:
-                if self.joins:
-                    self._learn(t)
-                out += self.parts.values_of(t)
+                out += self._plain(t)
         return np.frombuffer(b"".join(out), self.dtype)
 
 
