@@ -319,6 +319,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     folder = session.fresh_path(docs.sparkSession, "shards")
     shards = staged(write(docs, path, folder), "shard-list")
-    listed = with_starts(shards).repartition("shard")
+    # A number of its own: the few bytes of the list would be coalesced into one reading task.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = with_starts(shards).repartition(parts, "shard")
     return read(listed, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
