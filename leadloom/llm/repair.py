@@ -6,9 +6,10 @@ rules (left, right, and the number of ids a symbol stands for), the symbols, and
 symbols of each document, so that one document is decoded without the others. The end id closes
 each document and is part of no rule, so no symbol reaches into the next document.
 
-Each round counts pairs by hash bucket, counts the pairs of the fullest buckets exactly, and
-replaces up to ``PER_ROUND`` of them at once; pairs of a round share no symbol between a left and
-a right place, so replacements never overlap.
+Rounds go on until no pair comes twice in the shard. Each counts pairs by hash bucket, counts the
+pairs of the fullest buckets exactly, and replaces those of at least half the greatest count at
+once; pairs of a round share no symbol between a left and a right place, so replacements never
+overlap. A run of one symbol is replaced left to right.
 
 A file: 8 bytes ``RPAIR001``; six unsigned 64-bit numbers (documents, ids, symbols, rules, first
 rule's symbol, end id); documents x (id i64, known u8 plane, symbols u32, ids u32); rules x (left
@@ -36,10 +37,10 @@ MAGIC = b"RPAIR001"
 END_ID = 2
 #: Ids in a shard; a shard ends with the document that reaches this.
 SHARD_IDS = 2_000_000
-PER_ROUND = 512
-ROUNDS = 8
-#: A pair that comes less often is left alone.
-LEAST = 24
+#: A pair that comes less often is left alone; 2 is plain Re-Pair.
+LEAST = 2
+#: A round of fewer rules is the last at its count; what it leaves is replaced at lower counts.
+FEW = 1_000
 _HASH_BITS = 20
 
 
@@ -121,63 +122,110 @@ def _bucket_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed >> np.uint32(32 - _HASH_BITS)
 
 
-def compress(ids: np.ndarray, end_id: int, first: int, rounds: int = ROUNDS,
-             per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right, length) of a run of ids below ``first``."""
+def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (left, right, length) of a run of ids below ``first``.
+
+    When it ends, no pair without the end id comes ``least`` times; pairs of equal symbols count
+    from the left without overlap.
+    """
     symbols = ids.astype(np.uint32)
-    rules = np.empty((0, 3), np.uint32)
-    length = np.ones(first, np.uint32)
-    for _ in range(rounds):
-        left, right = symbols[:-1], symbols[1:]
-        free = (left != end_id) & (right != end_id) & (left != right)
+    # Places whose pair may still come ``least`` times. Only pairs with a new symbol gain places.
+    may = symbols != end_id
+    may[:-1] &= may[1:]
+    may[-1:] = False
+    rules, length, floor = [], np.ones(first, np.uint32), len(symbols)
+    while len(at := np.flatnonzero(may)):
+        left, right = symbols[at], symbols[at + 1]
         hashed = _bucket_of(left, right)
-        counts = np.bincount(hashed[free], minlength=1 << _HASH_BITS)
-        full = np.nonzero(counts >= least)[0]
-        if not len(full):
+        # What a bucket holds is no less than what each of its pairs holds.
+        held = np.bincount(hashed, minlength=1 << _HASH_BITS)[hashed]
+        floor = max(least, min(floor, int(held.max()) // 2))
+        may[at[held < least]] = False
+        full = np.flatnonzero(held >= floor)
+        at, left, right = at[full], left[full], right[full]
+        even = _even_in_run(at, left == right)
+        at, left, right = at[even], left[even], right[even]
+        keys = left.astype(np.uint64) << np.uint64(32) | right
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+        pairs, n = keys[starts], np.diff(starts, append=len(keys))
+        new = _choose(pairs, n, floor, first + sum(map(len, rules)))
+        symbol = np.repeat(new, n)
+        may[at[order[np.repeat(n < least, n)]]] = False
+        chosen = np.flatnonzero(new)
+        if not len(chosen) and floor == least:
             break
-        if len(full) > 4 * per_round:
-            full = full[np.argpartition(counts[full], -4 * per_round)[-4 * per_round:]]
-        wanted = np.zeros(1 << _HASH_BITS, bool)
-        wanted[full] = True
-        at = np.nonzero(free & wanted[hashed])[0]
-        pairs, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at],
-                             return_counts=True)
-        lefts, rights, partner, chosen = set(), set(), {}, []
-        for i in np.lexsort((pairs, -n)):
-            if n[i] < least or len(chosen) == per_round:
-                break
-            a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
-            if a in lefts or a in rights or b in lefts:
-                continue
-            lefts.add(a)
-            rights.add(b)
-            partner[a] = (b, first + len(rules) + len(chosen))
-            chosen.append((a, b, length[a] + length[b]))
-        top = first + len(rules)
-        to_right, to_new = np.full(top, -1, np.int64), np.zeros(top, np.uint32)
-        for a, (b, new) in partner.items():
-            to_right[a], to_new[a] = b, new
-        hit = np.nonzero(to_right[left] == right)[0]
-        symbols = symbols.copy()
-        symbols[hit] = to_new[left[hit]]
-        symbols = np.delete(symbols, hit + 1)
-        rules = np.concatenate([rules, np.array(chosen, np.uint32).reshape(-1, 3)])
-        length = np.concatenate([length, rules[len(length) - first:, 2]])
-    return symbols, rules
+        if len(chosen) < FEW:
+            floor = max(least, floor // 2)
+        if not len(chosen):
+            continue
+        chosen = chosen[np.argsort(new[chosen])]
+        a, b = pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)
+        made = np.stack([a, b, length[a] + length[b]], axis=1).astype(np.uint32)
+        rules.append(made)
+        length = np.concatenate([length, made[:, 2]])
+        hit = at[order[symbol > 0]]
+        symbols[hit] = symbol[symbol > 0]
+        fresh, stay = np.zeros(len(symbols), bool), np.ones(len(symbols), bool)
+        fresh[hit], stay[hit + 1] = True, False
+        stay = np.flatnonzero(stay)
+        symbols, may, fresh = symbols[stay], may[stay], np.flatnonzero(fresh[stay])
+        free = np.append(symbols != end_id, False)
+        may[fresh] = free[fresh + 1]
+        before = fresh[fresh > 0] - 1
+        may[before] = free[before]
+    return symbols, np.concatenate([np.empty((0, 3), np.uint32), *rules])
+
+
+def _even_in_run(at: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Drops every second place of a run of equal symbols: there pairs would overlap."""
+    keep = np.ones(len(at), bool)
+    places = np.flatnonzero(same)
+    if len(places):
+        where = at[places]
+        starts = np.append(True, np.diff(where) != 1)
+        begin = np.maximum.accumulate(np.where(starts, where, 0))
+        keep[places] = (where - begin) % 2 == 0
+    return keep
+
+
+def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarray:
+    """New symbols from ``top`` on for pairs that come ``floor`` times, most frequent first; else 0.
+
+    No symbol is both a left and a right one, except in a pair of its own, so places of chosen
+    pairs never overlap.
+    """
+    new = np.zeros(len(pairs), np.uint32)
+    able = np.flatnonzero(n >= floor)
+    able = able[np.argsort(-n[able], kind="stable")]
+    side, chosen = bytearray(top), []
+    lefts = (pairs[able] >> np.uint64(32)).tolist()
+    rights = (pairs[able] & np.uint64(0xFFFFFFFF)).tolist()
+    for i, a, b in zip(able.tolist(), lefts, rights):
+        if not side[a] & 2 and not side[b] & 1:
+            side[a] |= 1
+            side[b] |= 2
+            chosen.append(i)
+    new[chosen] = np.arange(top, top + len(chosen))
+    return new
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids that symbols stand for."""
     symbols = symbols.astype(np.uint32)
-    while len(at := np.nonzero(symbols >= first)[0]):
-        rule = rules[symbols[at] - first]
-        sizes = np.ones(len(symbols), np.int64)
-        sizes[at] = 2
-        ends = np.cumsum(sizes)
-        out = np.repeat(symbols, sizes)
-        out[ends[at] - 2], out[ends[at] - 1] = rule[:, 0], rule[:, 1]
-        symbols = out
-    return symbols
+    length = np.concatenate([np.ones(first, np.int64), rules[:, 2].astype(np.int64)])
+    ends = np.cumsum(length[symbols])
+    at = ends - length[symbols]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    while len(symbols):
+        plain = symbols < first
+        out[at[plain]] = symbols[plain]
+        at, symbols = at[~plain], symbols[~plain]
+        left, right = (rules[symbols - first, k] for k in (0, 1))
+        at, symbols = np.concatenate([at, at + length[left]]), np.concatenate([left, right])
+    return out
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], end_id: int, first: int) -> bytes:

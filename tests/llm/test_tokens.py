@@ -138,6 +138,27 @@ def test_runs_of_one_id_and_the_end_id_inside_a_text():
     assert (repair.Shard(repair.pack([1], ids, 2, 50_257)).ids(0) == ids[0]).all()
 
 
+def test_no_pair_is_left_that_comes_twice():
+    rng = np.random.default_rng(2)
+    many = np.tile(rng.permutation(np.arange(3, 20_003)), 2)
+    one_left = np.stack([np.full(600, 3), np.arange(4, 604)], axis=1)[np.tile(np.arange(600), 30)].ravel()
+    for ids in (many, one_left, np.full(5_000, 7), rng.integers(3, 12, 20_000), rng.integers(2, 5, 3_000),
+                np.array([2]), np.array([5, 5, 5, 2, 5, 5, 5, 5, 2])):
+        ids = ids.astype("<u2")
+        symbols, rules = repair.compress(ids, 2, 50_257)
+        assert (repair.expand(symbols, rules, 50_257) == ids).all()
+        comes, last = {}, None
+        for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
+            again = pair == last and pair[0] == pair[1]
+            last = None if again else pair
+            if 2 not in pair and not again:
+                comes[pair] = comes.get(pair, 0) + 1
+        assert max(comes.values(), default=0) < 2
+        assert len({(a, b) for a, b, _ in rules.tolist()}) == len(rules)
+    assert len(repair.compress(np.full(5_000, 7), 2, 50_257)[0]) < 30
+    assert len(repair.compress(many, 2, 50_257)[1]) > 4_096
+
+
 def test_digest_of_shards(spark, docs, library):
     got = by_id(repair.digests(docs, JSON))
     ids = np.array([*library.encode(TEXTS[12], add_special_tokens=False).ids, 2], "<u4")
