@@ -41,9 +41,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str],
                     rows: int, chars: int) -> list[tuple]:
     """Texts with their labels to learn from: ``(text, *labels)``, bounded by rows and characters.
 
-    Rows come in the order of a hash of their id, so any bound gives a fair sample; rows that
-    ``held_out`` names, without id or without a label take no part. Of several label rows of an id the largest
-    values count, of several texts any one.
+    Rows come in the order of a hash of their id. A row that does not fit into the characters left
+    is passed over and the next ones are tried, so one long text costs no other row its place. Rows
+    that ``held_out`` names, without id or without a label take no part. Of several label rows of
+    an id the largest values count, of several texts any one. Warns if a label has one value in
+    the sample and more among all rows that may be learnt from.
     """
     from pyspark.sql import functions as F
 
@@ -52,17 +54,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str],
     known = known.groupBy("__id").agg(*[F.max(c).cast("int").alias(c) for c in label_cols])
     sizes = docs.select(F.col("doc_id").cast("long").alias("__id"),
                         F.coalesce(F.length("text"), F.lit(0)).alias("__n"))
-    first = sizes.join(known, "__id").groupBy("__id", *label_cols).agg(
-        F.max("__n").alias("__n")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    able = sizes.join(known, "__id").groupBy("__id", *label_cols).agg(F.max("__n").alias("__n"))
+    first = able.filter(F.col("__n") <= chars).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     chosen, total = {}, 0
     for r in first.collect():
-        total += r["__n"]
-        if total > chars and chosen:
-            break
-        chosen[r["__id"]] = tuple(r[c] for c in label_cols)
+        if total + r["__n"] <= chars:
+            total += r["__n"]
+            chosen[r["__id"]] = tuple(r[c] for c in label_cols)
+    _warn_of_missing(able, label_cols, list(chosen.values()))
     if not chosen:
         return []
     texts = docs.filter(F.col("doc_id").cast("long").isin(list(chosen))).select(
         F.col("doc_id").cast("long").alias("__id"), "text")
     found = {r["__id"]: r["text"] for r in texts.toLocalIterator()}
     return [(found[i] or "", *chosen[i]) for i in chosen if i in found]
+
+
+def _warn_of_missing(able: DataFrame, label_cols: list[str], chosen: list[tuple]) -> None:
+    """Warn of labels that have one value in ``chosen`` and more in ``able``."""
+    import warnings
+
+    from pyspark.sql import functions as F
+
+    alone = [c for i, c in enumerate(label_cols) if len({x[i] for x in chosen}) < 2]
+    if not alone:
+        return
+    ends = able.agg(*[f(c).alias(f"{k}_{c}") for c in alone
+                      for k, f in (("least", F.min), ("most", F.max))]).head()
+    for c in alone:
+        if ends[f"least_{c}"] != ends[f"most_{c}"]:
+            warnings.warn(f"the sample of {len(chosen)} rows has one value of {c} or none, "
+                          "the labels have more: raise the bounds of the sample", stacklevel=3)

@@ -227,3 +227,29 @@ def test_weights_and_budgets_are_checked(docs):
 def test_mixing_runs_no_python(spark, docs):
     plan = mixing.digests(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
+def test_long_texts_first_in_hash_order_cost_no_other_row_its_place(spark):
+    ids = [i for i in range(300) if not common.held_out(i)]
+    order = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(
+        F.xxhash64("id"), "id").collect()]
+    long = {order[0]: 5_000, order[1]: 900, order[2]: 900}
+    rows = [(i, "x" * long[i] if i in long else "bad" if i % 2 else "good") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, marks, ["toxic"], 1_000, 1_700)
+    assert len(got) == len(ids) - 2 and {y for _, y in got} == {0, 1}
+    assert sum(len(t) for t, _ in got) <= 1_700
+    assert toxicity.learn(docs, marks, chars=1_700).bias is not None
+
+
+def test_a_kind_of_label_that_is_missing_in_the_sample_is_told(spark):
+    ids = [i for i in range(60) if not common.held_out(i)]
+    docs = spark.createDataFrame(
+        [(i, "bad " * 1_000 if i % 2 else "good") for i in ids], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, 1) for i in ids], "doc_id long, toxic int, quality int")
+    with pytest.warns(UserWarning, match="one value of toxic"):
+        got = common.labelled_sample(docs, marks, ["toxic", "quality"], 1_000, 2_000)
+    assert {y for _, y, _ in got} == {0}
+    with pytest.warns(UserWarning, match="sample of 0 rows"):
+        common.labelled_sample(docs, marks, ["toxic"], 1_000, 3)
