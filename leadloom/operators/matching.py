@@ -1,68 +1,125 @@
 """Match queries with company directories and job postings, and domains with companies.
 
-Which words a text holds is found by one scan. A popular word then stands for very many
-(text, query) pairs, so pairs are never written out: each task scores its texts against the
-queries it was sent and keeps only its own best or its own counts, which are then merged.
+A popular word stands for very many (text, query) pairs, so pairs are never written out: queries
+are dealt into blocks and texts into chunks, a task meets the blocks and chunks that the shuffle
+brings together, scores texts against a block's queries and keeps only its own best or its own
+counts, which are then merged. No query passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.functions import text as X, urls as U
 from leadloom.operators.scoring import top_n
 
-# Queries that are sent to the tasks at a time. More queries make more passes.
+# Queries of a block, about. A task holds one block at a time.
 QUERIES_PER_PASS = 2_000
 
 
-def _query_passes(queries: DataFrame, key: str, column: str, min_length: int, per_pass: int
-                  ) -> list[tuple[list, dict[str, np.ndarray]]]:
-    """Per pass: query keys and, for each word, the places of the queries that have it."""
+def _met(texts: DataFrame, queries: DataFrame, key: str, column: str, min_length: int,
+         per_block: int, order: list[str]) -> DataFrame:
+    """Texts beside the queries they meet, sorted by ``_block``.
+
+    In a partition a block's queries (``_k, _ws``; the key as text) come first, then its texts in
+    ``order``. Every block meets every text in one partition. Words of rows of one key count
+    together.
+    """
     words = F.array_distinct(F.split(X.strip(F.lower(column)), r"(?U)\s+"))
-    held = queries.select(F.col(key).alias("k"), F.filter(
-        words, lambda w: F.length(w) >= min_length).alias("ws"))
-    n = max(1, -(-held.count() // per_pass))
-    bucket = F.pmod(F.xxhash64(F.col("k")), F.lit(n))
-    out = []
-    for i in range(n):
-        rows = held.filter(bucket == i).collect()
-        places: dict[str, list[int]] = {}
-        for j, r in enumerate(rows):
-            for w in r.ws:
-                places.setdefault(w, []).append(j)
-        out.append(([r.k for r in rows],
-                    {w: np.array(js, dtype=np.int32) for w, js in places.items()}))
-    return out
-
-
-def _best_per_task(keys: list, places: dict[str, np.ndarray], k: int):
-    """Task function: rows (_c, _base, _name, _one, _hits) to the task's k best per query."""
+    held = queries.select(F.col(key).cast("string").alias("_k"), F.explode_outer(F.filter(
+        words, lambda w: F.length(w) >= min_length)).alias("_w"))
+    held = held.groupBy("_k").agg(F.collect_set("_w").alias("_ws"))
+    blocks = max(1, -(-held.count() // per_block))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # More chunks than partitions, so that hashing spreads them evenly.
+    chunks = max(1, -(-4 * parts // blocks))
+    asked = held.withColumns({
+        "_block": F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int"),
+        "_chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+    spread = texts.withColumns({
+        "_chunk": F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"),
+        "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    both = asked.unionByName(spread, allowMissingColumns=True)
+    return both.repartition(parts, "_block", "_chunk").sortWithinPartitions(
+        "_block", F.col("_ws").isNull(), *order)
+
+
+def _by_block(rows, seen, done):
+    """Goes through sorted batches of ``_met``: ``seen(places, batch)`` for texts of a block, then
+    ``done(keys)``, whose result comes out. ``places``: for each word those of its queries."""
+    block, known, keys, places = None, set(), [], {}
+    for whole in rows:
+        for at, b in whole.groupby("_block", sort=True):
+            if at != block:
+                if block is not None:
+                    yield from done(keys)
+                block, known, keys, places = at, set(), [], {}
+            for k, ws in zip(b["_k"], b["_ws"]):
+                if ws is None:
+                    break
+                if k in known:  # once for each chunk
+                    continue
+                known.add(k)
+                for w in ws:
+                    places.setdefault(w, []).append(len(keys))
+                keys.append(k)
+            texts = b[b["_ws"].isna()]
+            if len(texts) and keys:
+                yield from seen(keys, places, texts)
+    if block is not None:
+        yield from done(keys)
+
+
+def _best_per_task(k: int):
+    """Task function: rows of ``_met`` (_c, _base, _name, _one, _all) to the k best per query."""
     def leading(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # rows are in id order, so a stable sort by score leaves ties to the smaller id
         order = np.argsort(-score, axis=0, kind="stable")[:k]
         return np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.zeros((0, len(keys)), dtype=np.int32), np.zeros((0, len(keys)), dtype=object)
-        for whole in batches:
+        import ahocorasick
+
+        held: dict = {}
+
+        def seen(keys: list, places: dict, whole: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if not held:
+                held["find"] = ahocorasick.Automaton()
+                for w in places:
+                    held["find"].add_word(w, w)
+                if places:
+                    held["find"].make_automaton()
+                held["at"] = {w: np.array(js, np.int32) for w, js in places.items()}
+                held["best"] = (np.zeros((0, len(keys)), dtype=np.int32),
+                                np.zeros((0, len(keys)), dtype=object))
+            places, best = held["at"], held["best"]
             for start in range(0, len(whole), 512):  # keeps the score table small
                 b = whole.iloc[start:start + 512].sort_values("_c")
                 score = np.repeat(b["_base"].to_numpy(np.int32)[:, None], len(keys), axis=1)
-                for row, (name, one, hits) in enumerate(zip(b["_name"], b["_one"], b["_hits"])):
-                    for w in hits:
+                for row, (name, one, text) in enumerate(zip(b["_name"], b["_one"], b["_all"])):
+                    for w in {w for _, w in held["find"].iter(text)} if places else ():
                         score[row, places[w]] += 4 if w in name else 2 if w in one else 1
                 ids = np.broadcast_to(b["_c"].to_numpy(object)[:, None], score.shape)
                 both = [np.vstack(x) for x in zip(best, leading(score, ids))]
                 order = np.argsort(both[1], axis=0, kind="stable")
                 best = leading(*(np.take_along_axis(x, order, 0) for x in both))
-        at, q = np.nonzero(best[0] > 0)
-        yield pd.DataFrame({"_q": q, "_c": best[1][at, q], "score": best[0][at, q]})
+            held["best"] = best
+            return iter(())
+
+        def done(keys: list) -> Iterator[pd.DataFrame]:
+            if held:
+                best = held["best"]
+                at, q = np.nonzero(best[0] > 0)
+                yield pd.DataFrame({"_k": np.array(keys, dtype=object)[q], "_c": best[1][at, q],
+                                    "score": best[0][at, q]})
+            held.clear()
+
+        yield from _by_block(batches, seen, done)
 
     return run
 
@@ -84,24 +141,16 @@ def directory_match(companies: DataFrame, queries: DataFrame, k: int, company_ke
         low("one_liner").alias("_one"),
         F.concat_ws(" ", low("name"), low("one_liner"), low("long_description"),
                     F.lower(F.array_join(F.coalesce("tags", F.array()), " "))).alias("_all"))
-    parts = []
-    for keys, places in _query_passes(queries, key, column, 3, queries_per_pass):
-        rows = texts.withColumn("_hits", X.bulk_keyword_hits(F.col("_all"), list(places))
-                                if places else X.strings([])).drop("_all")
-        found = rows.mapInPandas(_best_per_task(keys, places, k),
-                                 "_q int, _c string, score int")
-        parts.append(found.select(
-            _named(queries, key, keys), "_c", F.col("score").cast("long").alias("score")))
-    best = top_n(reduce(DataFrame.unionByName, parts), [key], [F.desc("score"), F.asc("_c")], k,
-                 "rank")
+    found = _met(texts, queries, key, column, 3, queries_per_pass, ["_c"]).mapInPandas(
+        _best_per_task(k), "_k string, _c string, score int")
+    found = found.select(_named(queries, key), "_c", F.col("score").cast("long").alias("score"))
+    best = top_n(found, [key], [F.desc("score"), F.asc("_c")], k, "rank")
     return best.join(companies, best["_c"] == companies[company_key]).drop("_c")
 
 
-def _named(queries: DataFrame, key: str, keys: list) -> Column:
-    """The query key for its place in the pass."""
-    kind = queries.schema[key].dataType
-    names = X.strings([str(k) for k in keys])
-    return F.get(names, F.col("_q")).cast(kind).alias(key)
+def _named(queries: DataFrame, key: str) -> Column:
+    """The query key from its text."""
+    return F.col("_k").cast(queries.schema[key].dataType).alias(key)
 
 
 def directory_result(matched: DataFrame) -> DataFrame:
@@ -122,37 +171,42 @@ def directory_result(matched: DataFrame) -> DataFrame:
     })
 
 
-def _count_per_task(n_queries: int, places: dict[str, np.ndarray], most_roles: int,
-                    flush: int = 256):
-    """Task function: sorted rows (slug, _p, _role, _hits) to counts and first roles.
+def _count_per_task(most_roles: int, flush: int = 256):
+    """Task function: rows of ``_met`` (slug, _p, _role, _words) to counts and first roles.
 
     Holds one line of counts per slug seen, and hands lines on after ``flush`` slugs.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
         roles: dict[tuple[str, int], list] = {}
+        task = TaskContext.get().partitionId()
 
-        def lines() -> pd.DataFrame:
-            rows = [(s, int(q), int(c[q]), roles.get((s, int(q)), []))
+        def lines(keys: list) -> pd.DataFrame:
+            rows = [(s, keys[q], task, int(c[q]), roles.get((s, int(q)), []))
                     for s, c in counts.items() for q in np.nonzero(c)[0]]
             counts.clear()
             roles.clear()
-            return pd.DataFrame(rows, columns=["slug", "_q", "relevant", "roles"])
+            return pd.DataFrame(rows, columns=["slug", "_k", "_task", "relevant", "roles"])
 
-        for b in batches:
-            for slug, p, role, hits in zip(b["slug"], b["_p"].tolist(), b["_role"], b["_hits"]):
-                if not len(hits):
+        def seen(keys: list, places: dict, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for slug, p, role, words in zip(b["slug"], b["_p"].tolist(), b["_role"], b["_words"]):
+                hits = [places[w] for w in words if w in places]
+                if not hits:
                     continue
                 if slug not in counts:
                     if len(counts) >= flush:
-                        yield lines()
-                    counts[slug] = np.zeros(n_queries, dtype=np.int64)
+                        yield lines(keys)
+                    counts[slug] = np.zeros(len(keys), dtype=np.int64)
                 c = counts[slug]
-                q = np.unique(np.concatenate([places[w] for w in hits]))
+                q = np.unique(np.concatenate(hits))
                 for j in q[c[q] < most_roles]:
                     roles.setdefault((slug, int(j)), []).append({"p": p, "role": role})
                 c[q] += 1
-        yield lines()
+
+        def done(keys: list) -> Iterator[pd.DataFrame]:
+            yield lines(keys)
+
+        yield from _by_block(batches, seen, done)
 
     return run
 
@@ -165,24 +219,26 @@ def job_match(postings: DataFrame, queries: DataFrame, text: Column, role: str,
     """Companies (slugs) with postings that share a whole word with the query.
 
     Per query and slug: number of relevant postings, all postings, first roles. A task hands
-    on one line per query and slug, not one per posting.
+    on one line per query and slug, not one per posting; lines are merged in two steps.
     """
     words = F.array_distinct(F.split(X.strip(F.lower(text)), r"(?U)\s+"))
     held = postings.select("slug", F.col(posting_key).alias("_p"), F.col(role).alias("_role"),
-                           words.alias("_words"))
+                           words.alias("_words")).filter("_words IS NOT NULL")
     kind = postings.schema[posting_key].dataType.simpleString()
-    parts = []
-    for keys, places in _query_passes(queries, key, column, 1, queries_per_pass):
-        rows = held.select("slug", "_p", "_role", F.array_intersect(
-            "_words", X.strings(sorted(places))).alias("_hits"))
-        # sorted within the task, so the first roles of a slug are its smallest postings
-        counted = rows.sortWithinPartitions("slug", "_p").mapInPandas(
-            _count_per_task(len(keys), places, roles),
-            f"slug string, _q int, relevant long, roles array<struct<p:{kind},role:string>>")
-        parts.append(counted.select(_named(queries, key, keys), "slug", "relevant", "roles"))
-    merged = reduce(DataFrame.unionByName, parts).groupBy(key, "slug").agg(
-        F.sum("relevant").alias("relevant"), F.slice(F.array_sort(F.flatten(
-            F.collect_list("roles"))), 1, roles).alias("roles"))
+    # sorted within the task, so the first roles of a slug are its smallest postings
+    met = _met(held, queries, key, column, 1, queries_per_pass, ["slug", "_p"])
+    counted = met.withColumn("_p", F.coalesce("_p", F.lit(0).cast(kind))).mapInPandas(
+        _count_per_task(roles), f"slug string, _k string, _task int, relevant long, "
+        f"roles array<struct<p:{kind},role:string>>")
+
+    def merged_by(lines: DataFrame, *by: str) -> DataFrame:
+        return lines.groupBy("_k", "slug", *by).agg(
+            F.sum("relevant").alias("relevant"), F.slice(F.array_sort(F.flatten(
+                F.collect_list("roles"))), 1, roles).alias("roles"))
+
+    few = F.floor(F.sqrt("_task"))
+    merged = merged_by(merged_by(counted.withColumn("_task", few), "_task")).select(
+        _named(queries, key), "slug", "relevant", "roles")
     totals = postings.groupBy("slug").agg(F.count("*").alias("total_postings"))
     out = merged.join(totals, "slug").select(
         key, "slug", "relevant", "total_postings", F.col("roles.role").alias("hiring_roles"),

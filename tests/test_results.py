@@ -168,3 +168,35 @@ def test_job_match_passes_agree(spark):
     assert rows[0] == rows[1] == {
         "a": (2, 2, ["Data engineer", "Chef"], "Data engineer, Chef"),
         "c": (1, 1, ["SRE"], "SRE")}
+
+
+def test_matching_brings_no_queries_to_the_driver(spark, monkeypatch):
+    """Many blocks: no rows are collected for the plan, which stays one scan however many they are."""
+    from pyspark.sql import DataFrame
+
+    df = spark.createDataFrame(
+        [(f"data{i}", f"s{i:02}", "", "cloud", "", ["x"], "W1", "1", "", "Active", True)
+         for i in range(20)], "name string, slug string, url string, one_liner string, "
+        "long_description string, tags array<string>, batch string, team_size string, "
+        "location string, status string, is_hiring boolean")
+    q = spark.range(50).selectExpr("id AS query_id", "concat('data', id, ' of cloud') AS query")
+    posts = spark.range(300).selectExpr("'hot' AS slug", "id AS posting_id", "'r' AS title",
+                                        "concat('cloud data', id % 60) AS content")
+    real = DataFrame.collect
+
+    def refused(self):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(DataFrame, "collect", refused)
+    best = M.directory_match(df, q, 2, queries_per_pass=5)
+    jobs = M.job_match(posts, q, F.col("content"), "title", queries_per_pass=5)
+    for out in (best, jobs):
+        assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString().replace(
+            "Union false, false", "", 1)
+    monkeypatch.setattr(DataFrame, "collect", real)
+    top = {r.query_id: (r.slug, r.score) for r in best.filter("rank = 1").collect()}
+    assert top == {i: (f"s{i:02}", 8) if i in range(10, 20) else
+                   ("s00" if i > 19 or not i else f"s{i:02}", 4 if i > 19 else 8)
+                   for i in range(50)}
+    assert {(r.query_id, r.slug, r.relevant, r.total_postings, len(r.hiring_roles))
+            for r in jobs.collect()} == {(i, "hot", 300, 300, 5) for i in range(50)}
