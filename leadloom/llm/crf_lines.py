@@ -28,7 +28,7 @@ MIN_CONTENT = 0.5
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 2_500
 SAMPLE_CHARS = 8_000_000
-#: Longer sequences are cut for training (never for decoding).
+#: Lines of a training window; windows cover the whole text. Decoding knows no windows.
 TRAIN_LINES = 64
 STEPS = 100
 PENALTY = 1e-3
@@ -124,19 +124,23 @@ class Field:
 
 def fit(sample: list[tuple[str, int]]) -> Field:
     """Maximum conditional likelihood over ``(text, quality)`` by forward and backward sums."""
-    sequences = [(line_features(visible_lines(t)[:TRAIN_LINES]), q) for t, q in sample]
-    sequences = [(x, q) for x, q in sequences if len(x)]
-    if len({q for _, q in sequences}) < 2:
+    texts = [(line_features(visible_lines(t)), q) for t, q in sample]
+    texts = [(x, q) for x, q in texts if len(x)]
+    kinds = np.array([q for _, q in texts])
+    if len(set(kinds.tolist())) < 2:
         return Field()
-    longest, n = max(len(x) for x, _ in sequences), len(sequences)
+    # Windows one after another cover a text; only links from one to the next are not learnt.
+    windows = [(f[a:a + TRAIN_LINES], q, len(f)) for f, q in texts
+               for a in range(0, len(f), TRAIN_LINES)]
+    longest, n = max(len(x) for x, _, _ in windows), len(windows)
     x = np.zeros((n, longest, N_FEATURES))
     mask = np.zeros((n, longest))
-    y = np.array([q for _, q in sequences])
-    for i, (f, _) in enumerate(sequences):
+    y = np.array([q for _, q, _ in windows])
+    for i, (f, _, _) in enumerate(windows):
         x[i, :len(f)], mask[i, :len(f)] = f, 1
     # Both kinds of text weigh the same, and a long text no more than a short one.
-    each = mask.sum(axis=1)
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    each = np.array([lines for _, _, lines in windows], float)
+    share = np.where(y == 1, 0.5 / (kinds == 1).sum(), 0.5 / (kinds == 0).sum())
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     m, v = np.zeros(2 * N_FEATURES + 4), np.zeros(2 * N_FEATURES + 4)
     for step in range(1, STEPS + 1):

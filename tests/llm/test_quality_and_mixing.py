@@ -253,3 +253,16 @@ def test_a_kind_of_label_that_is_missing_in_the_sample_is_told(spark):
     assert {y for _, y, _ in got} == {0}
     with pytest.warns(UserWarning, match="sample of 0 rows"):
         common.labelled_sample(docs, marks, ["toxic"], 1_000, 3)
+
+
+def test_lines_far_down_a_text_are_learnt_from():
+    plain = "".join(f"Some plain words stand in line {i}.\n" for i in range(140))
+    poor = "".join(plain.splitlines(True)[:80]) + "$ | $ |\n" * 60
+    field = crf_lines.fit([(plain, 1), (poor, 0)] * 5)
+    tail = crf_lines.line_features(crf_lines.visible_lines("$ | $ |\n" * 20))
+    assert not field.labels(tail).any()
+    assert crf_lines.judge(plain, field)[-2] == 1.0
+
+
+def test_bound_of_the_toxicity_sample():
+    assert toxicity.SAMPLE_CHARS == 30_000_000
