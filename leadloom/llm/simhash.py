@@ -269,30 +269,46 @@ def digests(found: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of each class, with all its columns: that with the smallest ``doc_id``.
 
-    Among repeated rows of that id, and in a class without ids, one row stays.
+    Among repeated rows of that id in the class, and in a class without ids, one row stays. An id
+    whose rows are in several classes may stand for each of them.
     """
-    kept = classes(docs, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = kept.filter("doc_id IS NOT NULL OR fp = root").select(
-        F.col("doc_id").alias("__id"),
-        F.when(F.col("doc_id").isNull(), F.col("fp")).alias("__fp")).distinct()
-    ids = keys.filter("__id IS NOT NULL").select("__id")
+    found = classes(docs, bits)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first_of = kept.filter("doc_id IS NOT NULL").groupBy("root").agg(
+        F.min("doc_id").alias("__id"), F.min("fp").alias("__fp")).select("__id", "__fp")
+    mixed = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__mixed")).agg(
+        F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select("__mixed")
+    ids, out = first_of.select("__id").distinct(), None
+    if not mixed.isEmpty():
+        # Only these ids need the fingerprint to tell which of their rows stands for a class.
+        of_mixed = docs.join(mixed, F.col("doc_id").cast("long") == F.col("__mixed"), "left_semi")
+        marked = _marked(of_mixed)
+        rows = marked.join(first_of.withColumnRenamed("__fp", "__first"), (
+            F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__fp") == F.col("__first")))
+        out = _first_rows(rows, "__id", "__fp").select(*docs.columns)
+        ids = ids.join(mixed, F.col("__id") == F.col("__mixed"), "left_anti")
     rows = docs.join(ids, F.col("doc_id").cast("long") == F.col("__id"))
-    first = W.partitionBy("__id").orderBy(F.xxhash64("text"))
-    with_id = rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    with_id = _first_rows(rows, "__id").select(*docs.columns)
+    out = with_id if out is None else with_id.unionByName(out)
     bare = docs.filter(F.col("doc_id").isNull())
     if bare.isEmpty():
-        return with_id.select(*docs.columns)
-    return with_id.select(*docs.columns).unionByName(_without_ids(
-        bare, keys.filter("__id IS NULL").select("__fp")))
+        return out
+    fps = kept.filter("doc_id IS NULL AND fp = root").select(F.col("fp").alias("__fp")).distinct()
+    return out.unionByName(
+        _marked(bare).join(fps, "__fp").dropDuplicates(["__fp"]).select(*docs.columns))
 
 
-def _without_ids(bare: DataFrame, fps: DataFrame) -> DataFrame:
-    """One row without an id for each of the fingerprints that stand for no numbered row."""
+def _first_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    first = W.partitionBy(*keys).orderBy(F.xxhash64("text"))
+    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """The rows with their fingerprint as ``__fp``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(got.view(np.int64))], [*b.schema.names, "__fp"])
 
-    marked = bare.mapInArrow(run, T.StructType(list(bare.schema.fields)).add("__fp", "long"))
-    return marked.join(fps, "__fp").dropDuplicates(["__fp"]).select(*bare.columns)
+    return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add("__fp", "long"))

@@ -177,3 +177,11 @@ def test_representative_of_repeated_rows_and_rows_without_id(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(none).count() == 0 and simhash.representatives(none).count() == 0
+
+
+def test_an_id_with_rows_in_two_classes_stands_for_both(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(60)) for w in ("left", "right", "other"))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.representatives(docs).collect())
+    assert got == sorted([(1, a), (1, b), (4, c)])
