@@ -6,7 +6,9 @@ sample of texts, whose lines take their text's quality label, by gradient steps
 conditional likelihood. Viterbi decoding gives the best labelling of a whole text. A text stays
 if it passes the base rules and at least half of its words stand in content lines.
 
-Null and empty texts have no words and fail the base rules. Without labelled rows, or with one
+Null and empty texts have no words and fail the base rules. A line of no-break or other Unicode
+spaces has words by the rule above all (only ASCII white space parts words) and is labelled like
+any other; it just ends in no sign. Repeated rows are judged one by one. Without labelled rows, or with one
 kind of label only, the field's weights are 0 apart from a small lean to content.
 """
 
@@ -85,12 +87,12 @@ def line_features(lines: list[tuple[str, list[bytes]]]) -> np.ndarray:
     for i, (line, words) in enumerate(lines):
         n, chars = len(words), len(line)
         signs = sum(map(line.count, SYMBOLS))
-        letters = line.strip()
-        upper = letters.isupper()
+        last = line.strip()[-1:]  # nothing where the line's words are no-break or other wide spaces
+        upper = line.isupper()
         different = len(set(words))
         out[i] = (1, min(n, 32) / 32, n < 4, signs / chars, signs * 2 > n, upper,
                   line.count("!") * 2 > n, 1 - different / n, different * 2 < n,
-                  line in seen, letters[-1] in ".!?:;", line.count("|") * 3 > n)
+                  line in seen, last != "" and last in ".!?:;", line.count("|") * 3 > n)
         seen.add(line)
     return out
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import (archives, bpe_words, crf_lines, mixing, ordinal, repair, simhash,
-                          token_counts, top_k, toxicity)
+from leadloom.llm import (archives, bpe_words, crf_lines, lattice, mixing, ordinal, ranked, repair,
+                          simhash, token_counts, top_k, toxicity, whitening)
 from leadloom.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,5 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_archives, op2_crf_lines, op3_top_k, op4_simhash, op5_ordinal, op6_toxicity, op7_mixing,
-    op8_bpe_words, op9_token_counts, op10_repair, pipeline)}
-SQL = {"op1_archives": archives.SQL, "op3_top_k": top_k.SQL, "op7_mixing": mixing.sql()}
+    op8_bpe_words, op9_token_counts, op10_repair, op11_lattice, op12_whitening,
+    op13_ranked_search, pipeline)}
+SQL = {"op1_archives": archives.SQL, "op3_top_k": top_k.SQL, "op7_mixing": mixing.sql(),
+       "op13_ranked_search": ranked.SQL}

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
@@ -64,6 +64,7 @@ def test_stages_take_odd_and_empty_tables(spark):
         {"score": F.lit("x"), "kept": F.lit(0), "fp": F.lit(None).cast("int")})
     odd = odd.unionByName(odd.limit(2).withColumn("text", F.lit(None).cast("string")))
     odd = odd.unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(odd.limit(9).withColumn("text", F.concat("text", F.lit("\n\u00a0\n\u3000\n\x85"))))
     for start in (odd, odd.limit(0)):
         rows = start
         for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -57,6 +57,30 @@ def test_base_counts_equal_the_definition(docs):
         assert got[5] == (n < 20 or 100 * repeats > 30 * n)
 
 
+WIDE_SPACES = [chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+@pytest.mark.parametrize("space", WIDE_SPACES)
+def test_lines_of_wide_spaces_are_lines_with_a_word(space):
+    texts = [f"one two three\n{space}\nfour five", space, f"{space}{space} \n {space}", f"a{space}b. c\n" * 9,
+             f"{space}\n" * 30]
+    field = crf_lines.fit([(t, i % 2) for i, t in enumerate(texts)])
+    for t in texts:
+        assert crf_lines.judge(t, field)[:5] == brute_base(t)
+
+
+def test_wide_spaces_in_tables(spark):
+    rows = [(i, f"word {i}\n{s}\nmore words here. " * 9) for i, s in enumerate(WIDE_SPACES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    field = crf_lines.learn(docs, labels)
+    got = {r.doc_id: r for r in crf_lines.judged(docs, field).collect()}
+    assert all(tuple(got[i])[1:6] == (b := brute_base(t)) and b[0] > 0 for i, t in rows)
+    assert {r.doc_id for r in crf_lines.kept_rows(docs, field).collect()} == {
+        i for i in got if got[i].kept}
+
+
 def test_viterbi_finds_the_best_labelling():
     rng = np.random.default_rng(4)
     for n in (1, 2, 5, 8):
