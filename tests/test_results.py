@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -134,7 +135,7 @@ def directory_by_hand(companies, query, k):
     return [(s, -x) for x, s in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("per_pass", [2, 1000])
+@pytest.mark.parametrize("per_pass", [2, 100, 1 << 20])
 def test_directory_match_by_hand(spark, per_pass):
     words = ["data", "cloud", "health", "pay", "robot", "ai"]
     companies = [dict(
@@ -149,14 +150,14 @@ def test_directory_match_by_hand(spark, per_pass):
     asked = ["Data cloud", "zzz", "pay health robot", "ai", "of"]
     q = spark.createDataFrame([(x,) for x in asked], "query string")
     for k in (3, 12):
-        got = M.directory_match(df, q, k, key="query", queries_per_pass=per_pass)
+        got = M.directory_match(df, q, k, key="query", shard_bytes=per_pass)
         by_query = {}
         for r in got.orderBy("rank").collect():
             by_query.setdefault(r.query, []).append((r.slug, r.score))
         assert by_query == {x: directory_by_hand(companies, x, k) for x in asked}
 
 
-def test_job_match_passes_agree(spark):
+def test_job_match_shards_agree(spark):
     posts = spark.createDataFrame(
         [("a", 1, "Data engineer", "spark"), ("a", 2, "Chef", "data"), ("b", 3, "Chef", "pans"),
          ("c", 4, "SRE", "On call data")],
@@ -164,14 +165,14 @@ def test_job_match_passes_agree(spark):
     q = spark.createDataFrame([(1, "data ENGINEER"), (2, "pilot")], "query_id int, query string")
     text = F.concat("title", F.lit(" "), "content")
     rows = [{r.slug: (r.relevant, r.total_postings, r.hiring_roles, r.body) for r in
-             M.job_match(posts, q, text, "title", queries_per_pass=n).collect()} for n in (1, 99)]
+             M.job_match(posts, q, text, "title", shard_bytes=n).collect()} for n in (1, 1 << 20)]
     assert rows[0] == rows[1] == {
         "a": (2, 2, ["Data engineer", "Chef"], "Data engineer, Chef"),
         "c": (1, 1, ["SRE"], "SRE")}
 
 
 def test_matching_brings_no_queries_to_the_driver(spark, monkeypatch):
-    """Many blocks: no rows are collected for the plan, which stays one scan however many they are."""
+    """Many shards: no rows are collected for the plan, which stays one scan however many they are."""
     from pyspark.sql import DataFrame
 
     df = spark.createDataFrame(
@@ -188,8 +189,8 @@ def test_matching_brings_no_queries_to_the_driver(spark, monkeypatch):
         raise AssertionError("collected")
 
     monkeypatch.setattr(DataFrame, "collect", refused)
-    best = M.directory_match(df, q, 2, queries_per_pass=5)
-    jobs = M.job_match(posts, q, F.col("content"), "title", queries_per_pass=5)
+    best = M.directory_match(df, q, 2, shard_bytes=5)
+    jobs = M.job_match(posts, q, F.col("content"), "title", shard_bytes=5)
     for out in (best, jobs):
         assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString().replace(
             "Union false, false", "", 1)
@@ -200,3 +201,70 @@ def test_matching_brings_no_queries_to_the_driver(spark, monkeypatch):
                    for i in range(50)}
     assert {(r.query_id, r.slug, r.relevant, r.total_postings, len(r.hiring_roles))
             for r in jobs.collect()} == {(i, "hot", 300, 300, 5) for i in range(50)}
+
+
+def company_rows(rng, n):
+    words = ["data", "cloud", "health", "pay", "robot", "ai", "metadata", "of", "x" * 400, "düne"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(4)))
+    return [dict(name=some() + f" n{i % 7}", slug=f"s{i:04}", url="", one_liner=some(),
+                 long_description="every " + some(), tags=[some()], batch="", team_size="",
+                 location="", status=rng.choice(["Active", "Dead", None]),
+                 is_hiring=rng.choice([True, False, None])) for i in range(n)]
+
+
+COMPANY = ("name string, slug string, url string, one_liner string, long_description string, "
+           "tags array<string>, batch string, team_size string, location string, status string, "
+           "is_hiring boolean")
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_directory_lists_stop_early_without_loss(spark, k):
+    """Parts of words, one word in all texts, ties, equal word sets, null fields, no words."""
+    rng = random.Random(k)
+    companies = company_rows(rng, 90)
+    asked = ["every", "data ata every", "every data ata", "cloud ai every pay", "dün every robot", "of",
+             "", "every xxx", "zzz every", "n3 data", "the data every cloud health robot"]
+    df = spark.createDataFrame(companies, COMPANY)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    by_query = {}
+    for r in M.directory_match(df, q, k, shard_bytes=500).orderBy("rank").collect():
+        by_query.setdefault(r.query_id, []).append((r.slug, r.score))
+    for c in companies:
+        c["tags"] = c["tags"] or []
+    assert by_query == {i: directory_by_hand(companies, x, k) for i, x in enumerate(asked)}
+
+
+def test_jobs_with_one_word_in_all_texts(spark):
+    rng = random.Random(3)
+    posts = [(f"c{rng.randrange(9)}", i, rng.choice(["SRE", "Chef", None]),
+              "all " + " ".join(rng.choice("abcdef") for _ in range(3))) for i in range(200)]
+    posts += [(None, 900, "lost", "all a"), ("c1", 901, "void", None)]
+    asked = ["all", "a zz", "b c", "zz", "", "A"]
+    df = spark.createDataFrame(posts, "slug string, posting_id int, title string, content string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    want = {}
+    for i, x in enumerate(asked):
+        for slug, p, title, content in sorted(posts, key=lambda r: r[1]):
+            if slug and content and set(x.lower().split()) & set(content.split()):
+                relevant, roles = want.get((i, slug), (0, []))
+                want[i, slug] = relevant + 1, (roles + [title])[:5]
+    out = M.job_match(df, q, F.col("content"), "title", shard_bytes=300)
+    got = {(r.query_id, r.slug): (r.relevant, r.hiring_roles) for r in out.collect()}
+    assert got == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    few = M.job_match(df, q, F.col("content"), "title", max_slugs=2, shard_bytes=300).collect()
+    first = {key for i in range(len(asked)) for key in sorted(k for k in want if k[0] == i)[:2]}
+    assert {(r.query_id, r.slug): (r.relevant, r.hiring_roles) for r in few} == {
+        key: want[key] for key in first}
+
+
+def test_matching_shuffles_texts_once(spark):
+    """Three sizes of queries and texts: what comes out of the deal grows as their sum."""
+    moved = []
+    for times in (1, 2, 4):
+        df = spark.createDataFrame(company_rows(random.Random(1), 50 * times), COMPANY)
+        sets = M.word_sets(spark.range(40 * times).selectExpr(
+            "id AS query_id", "concat('word', id, ' data') AS query"), "query_id", "query", 3)
+        texts = df.select(F.col("slug").alias("_c"))
+        moved.append(M._met(texts, sets, "query_id", ["_c"], 4).count())
+    assert moved == [50 * t + 4 * 40 * t for t in (1, 2, 4)]
