@@ -1,20 +1,26 @@
 """Score pages against customer profiles, rank and tier the leads.
 
-Text is read once per page, whatever the number of profiles: ``page_signals`` finds every
-lexicon term on the page, and each profile is then scored on that short list of terms.
+Text is read once per page, whatever the number of profiles: ``page_signals`` finds every term of
+the dictionary (the lexicons and the terms of all profiles) on the page, and the profiles, a table
+of term sets in blocks, are joined to that short list of terms.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom.functions import lexicons as lx, scores as SC, text as X
+from leadloom.session import fresh_path
 
-# Profiles evaluated in one pass over the pages. More profiles make more passes.
-PROFILES_PER_PASS = 500
+# Profiles of a block; a page's signals meet one block at a time.
+BLOCK_PROFILES = 500
+# Profiles up to this size go to all tasks as they are.
+BROADCAST_BYTES = 8 << 20
+# Terms that a task looks for at once. More of them are looked for one part after the other.
+DICTIONARY_BYTES = 32 << 20
 
 _FIXED_TERMS = sorted({
     *lx.HIRING_KEYWORDS, *lx.OUTSOURCING_KEYWORDS, *lx.FUNDING_KEYWORDS,
@@ -47,25 +53,75 @@ def profile_terms(icps: DataFrame) -> DataFrame:
     )
 
 
-def page_signals(pages: DataFrame, terms: list[str], tech: list[str] = lx.TECH_KEYWORDS,
-                 window: int = 120) -> DataFrame:
-    """Replace the text by what scoring needs: the terms found and a snippet for each."""
-    lexicon = sorted({*terms, *tech, *_FIXED_TERMS})
-    found = pages.withColumn("_lower", F.lower("text_content")).withColumn(
-        "hits", X.bulk_keyword_hits(F.col("_lower"), lexicon)
-    )
-    # evidence is only ever drawn from profile terms and hiring words
-    quoted = F.array_intersect("hits", X.strings(sorted({*terms, *lx.HIRING_KEYWORDS})))
-    return found.withColumn(
-        "spots", X.locate(F.col("text_content"), F.col("_lower"), quoted, window)
-    ).drop("_lower", "text_content")
+def _terms() -> Column:
+    return F.concat("techs", "industries", "locations", "titles")
 
 
-def _score_one_pass(signals: DataFrame, profiles: Column, as_of: Column, min_score: float,
-                    tech: list[str], max_snippets: int, window: int) -> DataFrame:
-    hits, p = F.col("hits"), F.col("p")
+def dictionary(profiles: DataFrame, parts: int = 1) -> Iterator[list[str]]:
+    """The different terms of all profiles (of ``profile_terms``), in ``parts`` lists."""
+    terms = profiles.select(F.explode(_terms()).alias("t")).distinct()
+    for i in range(parts):
+        some = terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == i)
+        yield sorted(r.t for r in some.collect())
+
+
+def page_signals(pages: DataFrame, parts: Iterator[list[str]],
+                 tech: list[str] = lx.TECH_KEYWORDS, window: int = 120) -> DataFrame:
+    """Replace the text by what scoring needs: the terms found and a snippet for each.
+
+    ``parts`` are lists of terms. Pages are read (and parsed) once; with several lists, what was
+    read is written to the shared folder, and each list is a pass over that.
+    """
+    fixed = sorted({*tech, *_FIXED_TERMS})
+    none = F.array().cast("array<string>")
+    found = pages.withColumns({
+        "_lower": F.lower("text_content"), "hits": none, "_quoted": none})
+    for i, terms in enumerate(parts):
+        if i:
+            path = fresh_path(pages.sparkSession, "signals")
+            found.write.parquet(path)
+            found = pages.sparkSession.read.schema(found.schema).parquet(path)
+        got = X.bulk_keyword_hits(F.col("_lower"), sorted({*terms, *fixed}))
+        # evidence is only ever drawn from profile terms and hiring words
+        silent = sorted(set(fixed) - set(terms) - set(lx.HIRING_KEYWORDS))
+        found = found.withColumn("_got", got).withColumns({
+            "hits": F.array_sort(F.array_union("hits", "_got")) if i else F.col("_got"),
+            "_quoted": F.array_union("_quoted", F.array_except("_got", X.strings(silent)))
+        }).drop("_got")
+    return found.withColumn("spots", X.locate(
+        F.col("text_content"), F.col("_lower"), F.array_sort("_quoted"), window)
+    ).drop("_lower", "_quoted", "text_content")
+
+
+def _met(signals: DataFrame, profiles: DataFrame, n: int, size: int, block: int,
+         broadcast_bytes: int) -> DataFrame:
+    """Each page's signals with each profile ``p``; the signals are worked out once.
+
+    Profiles are packed in blocks. Up to ``broadcast_bytes`` the blocks go to the signals; beyond
+    that both are dealt by block and by a share of the pages, so that no block waits for one task.
+    """
+    blocks = max(1, ceil(n / block))
+    packed = profiles.groupBy(F.pmod(F.xxhash64("icp_id"), F.lit(blocks)).cast("int").alias(
+        "_block")).agg(F.collect_list(F.struct(*profiles.columns)).alias("_profiles"))
+    each = signals.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    on = ["_block"]
+    if size <= broadcast_bytes:
+        packed = F.broadcast(packed)
+    else:
+        on.append("_share")
+        shares = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # only plain columns: a filter on what the text gave would have it searched twice
+        named = [c for c, kind in signals.dtypes if "<" not in kind and kind != "variant"]
+        each = each.withColumn("_share", F.pmod(F.xxhash64(*named), F.lit(shares)).cast("int"))
+        packed = packed.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return each.join(packed, on).withColumn("p", F.explode("_profiles")).drop(*on, "_profiles")
+
+
+def _facts(signals: DataFrame, tech: list[str], as_of: Column) -> DataFrame:
+    """What all profiles want to know of a page."""
+    hits = F.col("hits")
     among = lambda words: F.array_intersect(hits, X.strings(sorted(set(words))))
-    common = signals.select(
+    return signals.select(
         "*",
         among(tech).alias("page_tech"),
         among(lx.HIRING_KEYWORDS).alias("hiring_signals"),
@@ -78,7 +134,10 @@ def _score_one_pass(signals: DataFrame, profiles: Column, as_of: Column, min_sco
         ]).alias("_sizes"),
         SC.freshness(F.col("published_date"), as_of).alias("freshness"),
     )
-    pairs = common.select("*", F.explode(profiles).alias("p"))
+
+
+def _scored(pairs: DataFrame, min_score: float, max_snippets: int, window: int) -> DataFrame:
+    hits, p = F.col("hits"), F.col("p")
     scored = pairs.select(
         "*",
         F.array_sort(F.array_union("page_tech", F.array_intersect(p["techs"], hits)))
@@ -120,34 +179,30 @@ def _score_one_pass(signals: DataFrame, profiles: Column, as_of: Column, min_sco
 def enrich(pages: DataFrame, icps: DataFrame, as_of: Column,
            min_score: float = lx.MIN_LEAD_SCORE, tech: list[str] = lx.TECH_KEYWORDS,
            max_snippets: int = 5, window: int = 120,
-           profiles_per_pass: int = PROFILES_PER_PASS,
-           results: DataFrame | None = None) -> DataFrame:
+           results: DataFrame | None = None, block: int = BLOCK_PROFILES,
+           broadcast_bytes: int = BROADCAST_BYTES,
+           dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """Leads: every usable page scored against every profile, low scores dropped.
 
     ``pages`` has ``text_content`` next to its identifying columns, all of which are carried
     along, and ``published_date`` unless ``results`` (url, published_date, ...) brings it.
     Results are joined after the text has been reduced to its signals, so page texts never
-    move; without them nothing is shuffled at all. Profiles reach the tasks as one small
-    value, and above ``profiles_per_pass`` of them the pages are read in several passes.
+    move; without them nothing is shuffled as long as the profiles are few. However many there
+    are, each page is read and parsed once. The driver learns how many profiles there are and
+    holds a part of their different terms, up to ``dictionary_bytes``, at a time.
     """
-    # one small job tells whether the profiles fit one pass, and gives their terms if so
-    terms_of = F.concat("techs", "industries", "locations", "titles")
     every = profile_terms(icps)
-    head = every.select(terms_of.alias("t")).limit(profiles_per_pass + 1).collect()
-    passes = 1 if len(head) <= profiles_per_pass else ceil(icps.count() / profiles_per_pass)
-    out = []
-    for i in range(passes):
-        profiles = every if passes == 1 else every.filter(
-            F.pmod(F.xxhash64("icp_id"), F.lit(passes)) == i)
-        rows = head if passes == 1 else profiles.select(terms_of.alias("t")).collect()
-        terms = sorted({t for r in rows for t in r.t})
-        packed = profiles.agg(F.collect_list(F.struct("*"))).scalar()
-        signals = page_signals(pages, terms, tech, window)
-        if results is not None:
-            signals = signals.join(results, "url")
-        out.append(_score_one_pass(signals, packed, as_of, min_score, tech, max_snippets,
-                                   window))
-    return reduce(DataFrame.unionByName, out)
+    terms = F.aggregate(_terms(), F.lit(0).cast("long"),
+                        lambda n, t: n + F.octet_length(t) + F.lit(16))
+    size = every.agg(F.count("*").alias("n"), F.coalesce(
+        F.sum(terms + F.lit(200)), F.lit(0)).alias("bytes")).head()
+    parts = max(1, ceil(size["bytes"] / dictionary_bytes))
+    signals = page_signals(pages, dictionary(every, parts), tech, window)
+    if results is not None:
+        signals = signals.join(results, "url")
+    pairs = _met(_facts(signals, tech, as_of), every, size["n"], size["bytes"], block,
+                 broadcast_bytes)
+    return _scored(pairs, min_score, max_snippets, window)
 
 
 def name_companies(leads: DataFrame) -> DataFrame:

@@ -198,6 +198,55 @@ SQL_PROFILES = """profiles(icp_id, techs, industries, locations, titles, sizes,
   ('open', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[],
    0.4::DOUBLE, 0.35::DOUBLE, 0.25::DOUBLE))"""
 
+_WORDS = ["thering", "avec", "nicht", "blest", "dans", "sur", "ment", "mit", "von", "inble", "hent",
+          "go"]
+
+
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile for every customer, with the columns that scoring reads."""
+    k, words = F.col("c_custkey"), F.lit(_WORDS)
+    word = lambda n: F.get(words, F.pmod(n, F.lit(len(_WORDS))).cast("int"))
+    none = F.array().cast("array<string>")
+    some = lambda when, *items: F.when(when, F.array(*items)).otherwise(none)
+    strings = lambda *items: F.array(*items)
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("icp_id"),
+        F.struct(
+            some(k % 2 == 0, F.initcap("c_mktsegment"), F.upper(word(F.floor(k / 7)))).alias("industries"),
+            some(k % 5 < 2, F.when(k % 5 == 0, "startup").otherwise("enterprise")).alias("size"),
+        ).alias("target_company"),
+        F.struct(some(k % 3 > 0, word(F.col("c_nationkey").cast("long"))).alias("countries"),
+                 none.alias("cities"), none.alias("regions")).alias("locations"),
+        F.struct(some(k % 4 == 1, F.lit("sre hiring")).alias("hiring_signals")).alias("signals"),
+        F.struct(some(F.pmod(F.floor("c_acctbal"), F.lit(3)) == 0, word(k), word(F.floor(k / 3)))
+                 .alias("required"), some(k % 7 == 0, word(k + 5)).alias("preferred"))
+        .alias("technologies"),
+        F.struct(strings(F.lit("CTO"), word(F.floor(k / 5))).alias("titles")).alias("buyer_persona"))
+
+
+def _sql_customer_profiles() -> str:
+    words = sql_list(_WORDS)
+    word = lambda n: f"{words}[({n}) % {len(_WORDS)} + 1]"
+    some = lambda when, *items: (
+        f"CASE WHEN {when} THEN [{', '.join(items)}] ELSE []::VARCHAR[] END")
+    sets = lambda x: f"list_sort(list_distinct({x}))"
+    k, required = "c_custkey", "(floor(c_acctbal)::BIGINT % 3 + 3) % 3 = 0"
+    techs = f"list_concat({some(required, word(k), word(k + ' // 3'))}, {some('c_custkey % 7 = 0', word(k + ' + 5'))})"
+    split = lambda a, b, c, d: (
+        f"CASE WHEN {required} THEN {a} WHEN c_custkey % 4 = 1 THEN {b} "
+        f"WHEN c_custkey % 2 = 0 THEN {c} ELSE {d} END::DOUBLE")
+    return f"""profiles(icp_id, techs, industries, locations, titles, sizes, wt, wh, wp) AS (
+  SELECT c_name, {sets(techs)},
+    {sets(some("c_custkey % 2 = 0", "lower(c_mktsegment)", word(k + " // 7")))},
+    {some("c_custkey % 3 > 0", word("c_nationkey"))},
+    {sets(f"['cto', {word(k + ' // 5')}]")},
+    {some("c_custkey % 5 < 2", "CASE WHEN c_custkey % 5 = 0 THEN 'startup' ELSE 'enterprise' END")},
+    {split(0.5, 0.25, 0.3, 0.4)}, {split(0.3, 0.5, 0.25, 0.35)}, {split(0.2, 0.25, 0.45, 0.25)}
+  FROM customer)"""
+
+
+SQL_CUSTOMER_PROFILES = _sql_customer_profiles()
+
 # -- events ------------------------------------------------------------------------
 
 EVENT_NAMES = {

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from leadloom.functions import lexicons as lx, scores as SC, text as X
 from leadloom.operators import pages as P, scoring as S
 from leadloom.plans.inputs import (
-    SQL_PROFILES, SQL_TEXT_PAGES, as_of, profiles, published_date, sql_list,
+    SQL_CUSTOMER_PROFILES, SQL_PROFILES, SQL_TEXT_PAGES, as_of, customer_profiles, profiles,
+    published_date, sql_list,
     sql_published_date, text_pages, with_ctes,
 )
 from leadloom.plans.page_queries import SQL_PARSED, parsed_pages
@@ -101,16 +102,30 @@ _component("x42_score_profile", "profile_score")
 _component("x45_composite", "composite")
 
 
-@query("x43_weights", with_ctes(SQL_PROFILES, SQL_TEXT_PAGES, select="""
-SELECT domain, icp_id, wt AS tech, wh AS hiring, wp AS profile, count(*) AS pages
-FROM text_pages, profiles GROUP BY ALL"""))
+@query("x43_weights", with_ctes(SQL_CUSTOMER_PROFILES, select="""
+SELECT icp_id, array_to_string(techs, '|') AS techs, len(industries) AS industries,
+  wt AS tech, wh AS hiring, wp AS profile FROM profiles"""))
 def weights(spark, d):
-    w = S.profile_terms(profiles(spark)).agg(
-        F.collect_list(F.struct("icp_id", "weights"))).scalar()
-    # pages per domain first: only the counts meet the profiles
-    pages = text_pages(spark, d).groupBy("domain").agg(F.count("*").alias("pages"))
-    return pages.select("domain", "pages", F.explode(w).alias("p")).select(
-        "domain", "p.icp_id", "p.weights.*", "pages")
+    return S.profile_terms(customer_profiles(spark, d)).select(
+        "icp_id", _JOIN("techs").alias("techs"), F.size("industries").cast("long").alias("industries"),
+        "weights.*")
+
+
+@query("j02_customer_profiles", with_ctes(
+    SQL_TEXT_PAGES, SQL_CUSTOMER_PROFILES, sql_leads("text_pages", "doc_id"), select="""
+SELECT icp_id, count(*) AS leads, count(*) FILTER (tier = 'hot') AS hot,
+  count(*) FILTER (tier = 'warm') AS warm, round(max(composite), 9) AS best_score,
+  arg_min(doc_id, doc_id - round(composite * 1000000000) * 1000000) AS best_doc
+FROM leads GROUP BY icp_id"""))
+def customer_leads(spark, d):
+    pages = P.usable(text_pages(spark, d)).select("doc_id", "text_content", "published_date")
+    leads = S.tiered(S.enrich(pages, customer_profiles(spark, d), as_of(), max_snippets=0))
+    score, tier = F.col("composite"), F.col("lead_tier")
+    place = F.col("doc_id") - F.round(score * 1000000000) * 1000000
+    return leads.groupBy("icp_id").agg(
+        F.count("*").alias("leads"), F.count_if(tier == "hot").alias("hot"),
+        F.count_if(tier == "warm").alias("warm"), F.round(F.max(score), 9).alias("best_score"),
+        F.min_by("doc_id", place).alias("best_doc"))
 
 
 @query("x44_freshness", with_ctes(SQL_TEXT_PAGES, SQL_PROFILES,

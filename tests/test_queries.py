@@ -11,7 +11,7 @@ QUERIES, SQL = registry.load()
 
 PARITY = [
     "x01_normalize_url", "x14_keyword_hits", "h01_extract_pages", "j02_score_pages_by_profiles",
-    "w03_top_domains_from_html", "j01_discover_leads", "w12_evidence", "s03_serper", "s08_github",
+    "w03_top_domains_from_html", "j01_discover_leads", "j02_customer_profiles", "x43_weights", "w12_evidence", "s03_serper", "s08_github",
     "a02_merge_and_rank", "a22_query_report", "w05_expand_domains_wide", "x30_parse_queries",
     "x37_full_plan", "j07_directory_match", "j08_job_match", "w09_research_text",
     "j10_company_upsert", "j12_decision_maker_upsert", "j05_session_summary",
@@ -52,11 +52,12 @@ def test_no_cross_joins(spark, name):
 
 def test_scoring_moves_no_text(spark):
     p = plan(QUERIES["j02_score_pages_by_profiles"](spark, SF))
-    # nothing is shuffled by key; the one repartition spreads the single small input file
-    # before anything is computed, and the profiles come together as one value
-    assert "Exchange hashpartitioning" not in p and "Exchange range" not in p
+    # only the profiles are shuffled, to be packed and sent to the pages; the one repartition
+    # spreads the single small input file before anything is computed
+    assert p.count("Exchange hashpartitioning") == p.count("Exchange hashpartitioning(_block") == 1
+    assert "Exchange range" not in p and "Exchange SinglePartition" not in p
     assert p.count("Exchange RoundRobinPartitioning") == 1
-    assert p.count("Exchange SinglePartition") == 1
+    assert p.count("BroadcastExchange") == 1
 
 
 def test_scans_read_only_what_is_needed(spark):

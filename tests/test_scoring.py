@@ -73,7 +73,8 @@ def key(r):
 def test_passes_and_partitions_do_not_matter(spark):
     df, icps = frame(spark, some_pages()), profiles(spark)
     base = sorted(map(key, S.enrich(df, icps, now()).collect()))
-    assert base == sorted(map(key, S.enrich(df, icps, now(), profiles_per_pass=1).collect()))
+    for how in (dict(block=1), dict(block=1, broadcast_bytes=0), dict(dictionary_bytes=300)):
+        assert base == sorted(map(key, S.enrich(df, icps, now(), **how).collect()))
     assert base == sorted(map(key, S.enrich(df.repartition(7), icps, now()).collect()))
 
 
@@ -148,3 +149,16 @@ def test_pages_without_a_result_take_that_of_their_domain(spark):
     assert plain and not bare
     extra = leads(pages.unionByName(signal), fallback="domain")
     assert plain <= extra and any(url.endswith("/team") for _, url in extra)
+
+
+def test_pages_are_read_once_for_any_number_of_profiles(spark):
+    """One scan and one search for terms in the plan; the profiles come as a table."""
+    df = frame(spark, some_pages())
+    many = profiles(spark).select("*", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("i")
+                                  ).withColumn("icp_id", F.concat("icp_id", F.lit("-"), "i")).drop("i")
+    for icps, how in ((profiles(spark), {}), (many, {}), (many, dict(broadcast_bytes=0))):
+        out = S.enrich(df, icps, now(), 0.0, **how)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+        assert out.count() == 60 * icps.count()
+    assert S.enrich(df, profiles(spark).limit(0), now(), 0.0).count() == 0
