@@ -127,7 +127,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0,
           package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write all pages into packages below ``folder`` (any place that all executors reach).
 
-    Rows ``package, records`` come back lazily, so write them to a table once. A task that runs
+    Rows ``package, records, bytes`` come back lazily, so write them to a table once. A task that runs
     again writes files of new names; only those of the rows that were kept are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +142,16 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0,
                 package = _Package(store, f"{base}/{name}")
             package.add(page_id, record(page_id, url, html.encode(), first))
             if package.size >= package_bytes:
-                yield pa.RecordBatch.from_pydict({"package": [name], "records": [package.close()]})
+                yield done(name, package)
                 package = None
         if package is not None:
-            yield pa.RecordBatch.from_pydict({"package": [name], "records": [package.close()]})
+            yield done(name, package)
 
-    return with_first(pages, min_bytes).mapInArrow(run, "package string, records long")
+    def done(name: str, package: _Package) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"package": [name], "records": [package.close()], "bytes": [package.size]})
+
+    return with_first(pages, min_bytes).mapInArrow(run, "package string, records long, bytes long")
 
 
 def directory(f, size: int) -> dict[str, tuple[int, int]]:
@@ -192,7 +196,7 @@ def directory(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def locate(packages: DataFrame, folder: str) -> DataFrame:
+def locate(packages: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
     """``package, offset, length`` of each record, by the packages' indexes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -212,12 +216,17 @@ def locate(packages: DataFrame, folder: str) -> DataFrame:
                  pa.array([x["length"] for x in found], pa.int64())],
                 ["package", "offset", "length"])
 
-    return packages.select("package").repartition("package").mapInArrow(
+    tasks = tasks or packages.sparkSession.sparkContext.defaultParallelism
+    return packages.select("package").repartition(tasks, "package").mapInArrow(
         run, "package string, offset long, length long")
 
 
 def read(packages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Range-read all records: ids, target, type, digest, size and the payload (null: revisit)."""
+    """Range-read all records: ids, target, type, digest, size and the payload (null: revisit).
+
+    A run of ``run_bytes`` of a package is read by one task. There are as many tasks as the
+    packages' ``bytes`` have runs, whatever the size of the index rows that are dealt to them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -227,6 +236,8 @@ def read(packages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFr
             out = []
             for name, offset, length in common.rows_of([batch], "package", "offset", "length"):
                 if name != last:
+                    if f is not None:
+                        f.close()
                     last, f = name, store.open_input_file(f"{base}/{name}")
                 headers, http, payload = parse(zlib.decompress(f.read_at(length, offset), 31))
                 own = headers["warc-payload-digest"].removeprefix("sha1:")
@@ -245,9 +256,14 @@ def read(packages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFr
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to",
                  "payload"])
-
-    runs = locate(packages, folder).withColumn("run", F.expr(f"offset div {run_bytes}"))
-    placed = runs.repartition("package", "run").sortWithinPartitions("package", "offset")
+        if f is not None:
+            f.close()
+
+    size = packages.agg(F.count("*").alias("n"), F.coalesce(
+        F.sum(F.ceil(F.col("bytes") / run_bytes)), F.lit(0)).alias("runs")).head()
+    runs = locate(packages, folder, max(1, size["n"])).withColumn(
+        "run", F.expr(f"offset div {run_bytes}"))
+    placed = runs.repartition(max(1, size["runs"]), "package", "run").sortWithinPartitions("package", "offset")
     return placed.select("package", "offset", "length").mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, "
              "record_type string, refers_to long, payload binary")

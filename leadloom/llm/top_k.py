@@ -11,16 +11,20 @@ Vectors are packed in blocks and written once. Candidate blocks are dealt into g
 a task's memory; each group meets every query block, streamed past it. Only the k best of each
 query and group go on to be merged. All work is on the stated queries against all rows.
 
-Null vectors, vectors with null or non-finite components, and rows without an id take no part;
-neither do vectors with a scaled component of 2^28 or more, whose scores would not fit a long.
+Null vectors, vectors with null or non-finite components, and rows without an id take no part.
+Vectors with a scaled component of 2^28 or more stand in blocks of their own, which are multiplied
+in whole numbers of any size; a score that does not fit a long is an error.
 Vectors meet only vectors of their own length. Rows of the query's own id are no candidates;
 repeated rows of other ids are candidates each. Of several rows of a query id the least vector asks.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +39,37 @@ BLOCK_ROWS = 1024
 #: Bytes of candidates that one task holds.
 GROUP_BYTES = 64 << 20
 _LARGEST = 1 << 28
-_PACKED = "dim int, n long, ids binary, vectors binary"
+_PACKED = "dim int, n long, wide boolean, ids binary, vectors binary"
 
 
 def _pack(scale: int, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = defaultdict(list)
+        held: dict[tuple[int, bool], list] = defaultdict(list)
 
-        def done(dim: int) -> pa.RecordBatch:
-            rows = held.pop(dim)
+        def done(kind: tuple[int, bool]) -> pa.RecordBatch:
+            rows = held.pop(kind)
+            dim, wide = kind
             ids = np.array([i for i, _ in rows], "<i8")
-            vectors = np.array([v for _, v in rows], "<i4").reshape(len(rows), dim)
+            packed = json.dumps([[int(c) for c in v] for _, v in rows]).encode() if wide else \
+                np.array([v for _, v in rows], "<i4").reshape(len(rows), dim).tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()),
-                 pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])],
-                ["dim", "n", "ids", "vectors"])
+                [pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([wide]),
+                 pa.array([ids.tobytes()]), pa.array([packed])],
+                ["dim", "n", "wide", "ids", "vectors"])
 
         for vec_id, x in common.rows_of(batches, "vec_id", "embedding"):
             if vec_id is None or x is None or None in x:
                 continue
-            scaled = np.floor(np.array(x, dtype=float) * scale)
-            if not (np.abs(scaled) < _LARGEST).all():
+            x = np.array(x, dtype=float)
+            if not np.isfinite(x).all():
                 continue
-            held[len(x)].append((vec_id, scaled))
-            if len(held[len(x)]) >= block_rows:
-                yield done(len(x))
-        for dim in list(held):
-            yield done(dim)
+            kind = len(x), bool((np.abs(x) >= _LARGEST / scale).any())
+            scaled = [math.floor(Fraction(c) * scale) for c in x] if kind[1] else np.floor(x * scale)
+            held[kind].append((vec_id, scaled))
+            if len(held[kind]) >= block_rows:
+                yield done(kind)
+        for kind in list(held):
+            yield done(kind)
 
     return run
 
@@ -81,8 +89,12 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 class _Vectors:
     """A block with its statistics at all resolutions."""
 
-    def __init__(self, ids: bytes, vectors: bytes, n: int, dim: int):
+    def __init__(self, ids: bytes, vectors: bytes, n: int, dim: int, wide: bool = False):
         self.ids = np.frombuffer(ids, "<i8")
+        self.wide = wide
+        if wide:
+            self.x = np.array(json.loads(vectors), object).reshape(n, dim)
+            return
         self.x = np.frombuffer(vectors, "<i4").reshape(n, dim)
         self.largest = int(np.abs(self.x).max(initial=0))
         self.exact = self.x.astype(float)
@@ -99,7 +111,18 @@ class Best:
         self.at, self.ids, self.scores = (np.empty(0, np.int64) for _ in range(3))
         self.least = np.full(n, -np.inf)
 
+    def _meet_wide(self, c: _Vectors) -> None:
+        """Every pair of a block with numbers of any size."""
+        other = self.q.ids[:, None] != c.ids
+        scores = np.where(other, self.q.x.astype(object) @ c.x.astype(object).T, 0)
+        if scores.size and max(abs(scores.max()), abs(scores.min())) >= 1 << 63:
+            raise OverflowError("a score does not fit a long")
+        i, j = np.nonzero(other)
+        self._keep(i, c.ids[j], scores[i, j].astype(np.int64))
+
     def meet(self, c: _Vectors) -> None:
+        if self.q.wide or c.wide:
+            return self._meet_wide(c)
         slack = 1e-9 * (self.q.norm * c.norm + 1)
         rows = np.arange(len(self.q.ids))
         alive = self.q.ids[:, None] != c.ids
@@ -141,11 +164,11 @@ def _search(k: int):
     """Rows of a group come together: its candidates first, then all query blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
-        for g, asks, dim, n, ids, vectors in common.rows_of(
-                batches, "group", "asks", "dim", "n", "ids", "vectors"):
+        for g, asks, dim, n, wide, ids, vectors in common.rows_of(
+                batches, "group", "asks", "dim", "n", "wide", "ids", "vectors"):
             if g != group:
                 group, held = g, defaultdict(list)
-            block = _Vectors(ids, vectors, n, dim)
+            block = _Vectors(ids, vectors, n, dim, wide)
             if not asks:
                 held[dim].append(block)
                 continue

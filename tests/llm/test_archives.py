@@ -7,8 +7,9 @@ import zipfile
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
-from leadloom.llm import archives
+from leadloom.llm import archives, common
 
 ROWS = [
     (5, "http://a/1", "<p>one</p>", 1), (3, "http://a/2", "<p>one</p>", 1), (9, None, None, 1),
@@ -87,3 +88,15 @@ def test_damaged_records_are_refused(pages, tmp_path):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert archives.digests(none).count() == 0
+
+
+def test_reading_tasks_follow_the_payload(spark, tmp_path):
+    """Many small records: a task for each run of bytes, though the index rows are few bytes."""
+    rows = [(i, "u", f"{i} " + hashlib.sha512(str(i).encode()).hexdigest() * 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    packages = common.staged(archives.write(df, f"file://{tmp_path}/w"), "package-list")
+    total = packages.agg(F.sum("bytes")).head()[0]
+    found = archives.read(packages, f"file://{tmp_path}/w", run_bytes=total // 10)
+    tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert found.rdd.getNumPartitions() >= 10 and tasks >= 5
+    assert sorted((r.page_id, r.payload.decode()) for r in found.collect()) == [(i, h) for i, _, h in rows]

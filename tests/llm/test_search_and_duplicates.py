@@ -42,10 +42,18 @@ def test_equals_brute_force(spark):
 def test_odd_rows(spark):
     rows = vectors(30, 5, 2) + [
         (30, None), (31, [1.0, None]), (40, [float("nan")] * 5), (50, [float("inf")] * 5), (None, [1.0] * 5),
-        (60, []), (61, []), (70, [0.0] * 5), (71, [0.0] * 5), (3, [0.5] * 5), (3, [0.5] * 5), (80, [1e30] * 5),
+        (60, []), (61, []), (70, [0.0] * 5), (71, [0.0] * 5), (3, [0.5] * 5), (3, [0.5] * 5), (80, [1e7] * 5),
         (90, [2.0, 3.0]), (91, [1.0, 1.0])]
-    usable = [r for r in rows if r[0] != 80]
-    assert search(spark, rows, 4, 10) == brute_top(usable, 4, 10)
+    assert search(spark, rows, 4, 10) == brute_top(rows, 4, 10)
+
+
+def test_components_of_any_size(spark):
+    rows = [(20, [1.0, 2.0]), (21, [5e6, 0.0]), (22, [1.0, 1.0]), (40, [-7e6, 3e9]), (23, [0.5, -4.3e6]),
+            (60, [2.0 ** 40, 0.0]), (24, [0.0, 2.0 ** 50])]
+    got = search(spark, rows, 9, 20)
+    assert got == brute_top(rows, 9, 20) and (20, 2, 21, 20_480_000_000) in got
+    with pytest.raises(Exception, match="does not fit a long"):
+        search(spark, rows + [(61, [1e30, 0.0])], 9, 20)
 
 
 def test_ties_go_to_the_smaller_id(spark):
