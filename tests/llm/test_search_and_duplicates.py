@@ -48,7 +48,7 @@ def test_odd_rows(spark):
 
 
 def test_components_of_any_size(spark):
-    rows = [(20, [1.0, 2.0]), (21, [5e6, 0.0]), (22, [1.0, 1.0]), (40, [-7e6, 3e9]), (23, [0.5, -4.3e6]),
+    rows = [(20, [1.0, 2.0]), (21, [5e6, 0.0]), (22, [1.0, 1.0]), (40, [-7e6, 3e9]), (23, [-4.3e6, 0.5]),
             (60, [2.0 ** 27, 0.0]), (24, [0.0, 2.0 ** 18])]
     got = search(spark, rows, 9, 20)
     assert got == brute_top(rows, 9, 20) and (20, 2, 21, 20_480_000_000) in got
