@@ -28,6 +28,10 @@ FUNNEL = ["PipelineStarted", "QueryPlanned", "SearchCompleted", "CrawlCompleted"
           "LeadScored", "PipelineCompleted"]
 
 
+#: The events that tell a session's status.
+STATUS_EVENTS = ["SessionCreated", "PipelineStarted", "PipelineCompleted", "PipelineFailed"]
+
+
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     """Event rows from JSON text lines, in either envelope, with or without ``data:`` prefix.
 
@@ -197,7 +201,7 @@ def session_status(events: DataFrame) -> DataFrame:
         F.when(F.col("status") == "failed", F.col("last_error")).alias("error"))
 
 
-def funnel(events: DataFrame) -> DataFrame:
-    """Events per stage and session."""
-    return events.groupBy("session_id").agg(*[
+def funnel(events: DataFrame, *more: Column) -> DataFrame:
+    """Events per stage and session (and ``more`` keys)."""
+    return events.groupBy("session_id", *more).agg(*[
         F.count_if(F.col("event_type") == t).alias(t) for t in FUNNEL])

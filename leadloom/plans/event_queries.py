@@ -240,6 +240,57 @@ def funnel_stream(spark, d):
     return jobs.latest_rows(out, "session_id")
 
 
+# Events come in six files of five days; some are one or two files behind.
+_SQL_FED = f"""fed AS (SELECT *, least(5, (epoch(ts)::BIGINT - 1704067200) // 432000
+    + CASE k % 20 WHEN 0 THEN 2 WHEN 10 THEN 1 ELSE 0 END) AS file FROM e),
+newest AS (SELECT file, max(ts) AS newest FROM fed GROUP BY file),
+passed AS (SELECT f.file, max(n.newest) - INTERVAL 1 DAY AS mark FROM newest f
+  LEFT JOIN newest n ON n.file <= f.file - 2 GROUP BY f.file),
+judged AS (SELECT fed.*, date_trunc('day', ts) AS day,
+    coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late,
+    coalesce(ts <= mark, false) AS behind FROM fed JOIN passed USING (file))"""
+
+
+def _fed(spark, d) -> DataFrame:
+    """The events as a stream of files that come one after the other."""
+    path = fresh_path(spark, "feed")
+    late = F.when(event_k() % 20 == 0, 2).when(event_k() % 20 == 10, 1).otherwise(0)
+    raw = table(spark, d, "events")
+    days = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) / 432000)
+    raw = raw.withColumn("file", F.least(F.lit(5), days + late))
+    schema = as_pipeline_events(raw).schema
+    for i in range(6):
+        as_pipeline_events(raw.filter(F.col("file") == i)).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query("r09_funnel_windows", with_ctes(_SQL_EVENTS, _SQL_FED, select="SELECT session_id, "
+       "strftime(day, '%Y-%m-%d') AS day, " + ", ".join(
+           f'count(*) FILTER (kind = \'{t}\') AS "{t}"' for t in E.FUNNEL)
+       + " FROM judged WHERE NOT late GROUP BY session_id, day "
+       "HAVING day + INTERVAL 1 DAY <= (SELECT max(newest) - INTERVAL 1 DAY FROM newest)"))
+def funnel_windows(spark, d):
+    out = jobs.drain(spark, jobs.funnel_windows(_fed(spark, d), lateness="1 day"), "windows")
+    return out.withColumn("day", F.date_format("window.start", "yyyy-MM-dd")).drop("window", "batch")
+
+
+@query("r09_late_events", with_ctes(
+    _SQL_EVENTS, _SQL_FED, select="SELECT event_id, kind AS event_type, file AS batch, late FROM judged"))
+def late_events(spark, d):
+    out = jobs.marked_late(spark, _fed(spark, d), "late", lateness="1 day")
+    return out.select("event_id", "event_type", F.col("batch").cast("long").alias("batch"), "late")
+
+
+@query("r08_status_event_time", with_ctes(
+    _SQL_EVENTS, _SQL_FED, _SQL_STATUS.replace("FROM e)", "FROM judged WHERE NOT behind)"),
+    select=_STATUS[_STATUS.rindex("SELECT session_id"):]))
+def status_event_time(spark, d):
+    with jobs.rocksdb(spark):
+        out = jobs.drain(spark, jobs.session_states(_fed(spark, d), 365 * 86_400, "1 day"),
+                         "states", "update")
+    return jobs.status_of(out).select(*_STATUS_COLS)
+
+
 @query("r10_first_seen_stream", """
 WITH RECURSIVE keyed AS (SELECT user_id || '/'
     || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 5) AS url,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from leadloom.operators import events as E
@@ -116,3 +117,122 @@ def last_batch(written: DataFrame) -> DataFrame:
 
 def alert_hot_leads(events: DataFrame, path: str) -> StreamingQuery:
     return start(E.hot_leads(events), path)
+
+
+# -- event time ------------------------------------------------------------------------
+
+#: How long an event may be behind the newest one and still count.
+LATENESS = "1 hour"
+
+
+def marked_late(spark: SparkSession, events: DataFrame, name: str, window: str = "1 day",
+                lateness: str = LATENESS) -> DataFrame:
+    """The stream's rows as written, with ``late``: their window had gone when they came.
+
+    ``funnel_windows`` leaves out just these rows, so the two together hold every event once. A
+    window that the watermark has passed is given out at the end of a batch, and rows that come
+    after that are late: the watermark in force for batch n is that of the batches up to n - 2.
+    The newest time of each batch is written, so a batch that is retried marks the same rows.
+    """
+    path = fresh_path(spark, name)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(
+                f"{path}/newest/batch={batch_id}")
+            late = F.lit(False)
+            if batch_id >= 2:
+                seen = spark.read.schema("newest timestamp, batch long").parquet(f"{path}/newest")
+                passed = seen.filter(F.col("batch") <= batch_id - 2).agg(
+                    F.date_trunc("millisecond", F.max("newest")) - F.expr(f"interval {lateness}")).scalar()
+                late = F.coalesce(F.window("timestamp", window)["end"] <= passed, F.lit(False))
+            batch.withColumn("late", late).write.mode("overwrite").parquet(
+                f"{path}/out/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    events.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+
+
+def funnel_windows(events: DataFrame, window: str = "1 day", lateness: str = LATENESS) -> DataFrame:
+    """Events per session and window, once the watermark has passed the window (append mode).
+
+    A window's counts leave the state when they are given out.
+    """
+    return E.funnel(events.withWatermark("timestamp", lateness), F.window("timestamp", window))
+
+
+class _Status(StatefulProcessor):
+    """The last status event of a session and what its finished run told; dropped when the session
+    was quiet for longer than its time to live."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "newest long, rows string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        newest, held = self._last.get() if self._last.exists() else (-1, "[]")
+        frames = [pd.DataFrame(json.loads(held), columns=_STATUS_EVENTS), *rows]
+        e = pd.concat([f[_STATUS_EVENTS] for f in frames if len(f)]).sort_values(
+            ["us", "event_type", "payload"], kind="stable")
+        e = e[~e.duplicated("event_type", keep="last")]
+        newest = max(newest, int(e["us"].max()))
+        self._last.update((newest, json.dumps(e.values.tolist())))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(newest // 1000 + self._ttl + 1)
+        yield pd.DataFrame({"session_id": key[0], **{c: e[c] for c in _STATUS_EVENTS},
+                            "expired": False})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, held = self._last.get()
+        self._last.clear()
+        e = pd.DataFrame(json.loads(held), columns=_STATUS_EVENTS)
+        yield pd.DataFrame({"session_id": key[0], **{c: e[c] for c in _STATUS_EVENTS},
+                            "expired": True})
+
+    def close(self) -> None:
+        pass
+
+
+_STATUS_EVENTS = ["us", "event_type", "payload"]
+
+
+def session_states(events: DataFrame, ttl_seconds: int = 7 * 86_400,
+                   lateness: str = LATENESS) -> DataFrame:
+    """The events that decide a session's status: at most one of each kind per session.
+
+    With each batch the sessions that it touched come out whole, so the newest batch of a session
+    stands for it: ``status_of`` what was written is its status. A session that was quiet for
+    ``ttl_seconds`` (the watermark tells) comes out a last time with ``expired`` and leaves the
+    state. Events that the watermark has passed do not count. Needs the RocksDB state store.
+    """
+    slim = E.of_types(events, E.STATUS_EVENTS).select(
+        "session_id", "timestamp", F.unix_micros("timestamp").alias("us"), "event_type",
+        "payload").withWatermark("timestamp", lateness)
+    return slim.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Status(ttl_seconds * 1000),
+        outputStructType="session_id string, us long, event_type string, payload string, "
+                         "expired boolean",
+        outputMode="Update", timeMode="EventTime")
+
+
+def status_of(written: DataFrame) -> DataFrame:
+    """Status rows of the states that ``session_states`` gave out (with their ``batch``)."""
+    newest = W.partitionBy("session_id")
+    last = written.withColumn("_last", F.max("batch").over(newest)).filter("batch = _last")
+    events = last.withColumn("timestamp", F.timestamp_micros("us"))
+    expired = last.groupBy("session_id").agg(F.bool_or("expired").alias("expired"))
+    return E.session_status(events).join(expired, "session_id")
+
+
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows held in state after each micro-batch of a query."""
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in map(
+        lambda p: json.loads(p.json), query.recentProgress)]

@@ -117,3 +117,55 @@ def test_seen_again_within_the_time_to_live(spark, tmp_path):
         out = jobs.drain(spark, jobs.first_seen(stream, ttl_seconds=3600), "seen").collect()
     got = sorted((r.url, int((r.timestamp - T0).total_seconds() // 60)) for r in out)
     assert got == [("k", 0), ("k", 61), ("k", 1500), ("k", 4000), ("x", 31), ("x", 4000)]
+
+
+def fed(spark, tmp_path, batches):
+    """A stream of files, one a batch; rows of (type, session, minute, payload)."""
+    for i, rows in enumerate(batches):
+        frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / f"fed/{i}.parquet"))
+    return spark.readStream.schema(frame(spark, ROWS).schema).option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / "fed/*.parquet"))
+
+
+def test_late_events_and_windows_make_up_all_events(spark, tmp_path):
+    hour = 60
+    batches = [[("LeadScored", "a", m, {})] for m in (0, 3 * hour, 9 * hour)]
+    batches += [[("LeadScored", "a", 10, {}), ("CrawlCompleted", "a", 9 * hour + 1, {}),
+                 ("LeadScored", "b", 20 * hour, {})],
+                [("LeadScored", "a", 8 * hour, {}), ("LeadScored", "b", 20 * hour + 1, {})],
+                [("LeadScored", "b", 40 * hour, {}), ("LeadScored", "a", 11, {})]]
+    stream = fed(spark, tmp_path, batches)
+    marked = jobs.marked_late(spark, stream, "late", "1 hour", "1 hour")
+    late = sorted((r.session_id, int((r.timestamp - T0).total_seconds() // 60))
+                  for r in marked.filter("late").collect())
+    assert late == [("a", 10), ("a", 11)] and marked.count() == sum(map(len, batches))
+
+    q = jobs.start(jobs.funnel_windows(stream, "1 hour", "1 hour"), str(tmp_path / "windows"))
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "windows/out"))
+    given = {(r.session_id, int((r.window.start - T0).total_seconds() // 3600)): r.LeadScored
+             for r in out.collect()}
+    # The last window of all waits for a watermark that never comes.
+    assert given == {("a", 0): 1, ("a", 3): 1, ("a", 9): 1, ("a", 8): 1, ("b", 20): 2}
+    held = jobs.state_rows(q)
+    assert max(held) > held[-1] == 1
+
+
+def test_quiet_sessions_leave_the_state(spark, tmp_path):
+    day = 1440
+    batches = [[("SessionCreated", "a", 0, {}), ("PipelineStarted", "b", 5, {})],
+               [("PipelineCompleted", "a", 10, {"total_leads": 4}), ("PipelineCompleted", "a", 9, {"total_leads": 9})],
+               [("PipelineFailed", "c", 2 * day, {"error": "x"})], [("PipelineStarted", "d", 9 * day, {})],
+               [("CrawlFailed", "d", 9 * day + 1, {})], [("PipelineCompleted", "b", 20 * day, {"hot_count": 2})],
+               [("PipelineStarted", "e", 20 * day + 5, {})]]
+    with jobs.rocksdb(spark):
+        q = jobs.start(jobs.session_states(fed(spark, tmp_path, batches), 5 * 86_400), str(tmp_path / "s"), "update")
+        q.awaitTermination()
+    path = str(tmp_path / "s/out")
+    got = {r.session_id: (r.status, r.total_leads, r.hot_count, r.error, r.expired)
+           for r in jobs.status_of(spark.read.option("basePath", path).parquet(path)).collect()}
+    assert got == {"a": ("completed", 4, 0, None, True), "b": ("completed", 0, 2, None, False),
+                   "c": ("failed", 0, 0, "x", True), "d": ("running", 0, 0, None, True),
+                   "e": ("running", 0, 0, None, False)}
+    held = jobs.state_rows(q)
+    assert max(held) > held[-1]
