@@ -8,9 +8,9 @@ the files a plan still reads.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from leadloom.functions.numbers import exact_sum, rounded_avg
 from leadloom.operators.scoring import best_first, top_n
@@ -260,37 +260,58 @@ def agent_stats(runs: DataFrame, *keys: str) -> DataFrame:
         total("prompt_tokens"), total("output_tokens"))
 
 
-def stage_metrics(stages: list[tuple[str, DataFrame, DataFrame, DataFrame | None]]) -> DataFrame:
+@dataclass(frozen=True)
+class Stage:
+    """The rows of a stage as they were written, and the numbers taken on the way."""
+
+    rows: DataFrame
+    numbers: dict
+
+
+def write_stage(df: DataFrame, path: str, **numbers: str) -> Stage:
+    """Write a stage's rows to ``path`` and count them on the way (``items`` and any other
+    aggregates, as expressions), so that nothing is worked out again for the sake of its numbers.
+
+    The numbers come from the tasks that write, one finished attempt of each.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("items"), *[F.expr(x).alias(n) for n, x in numbers.items()]
+               ).write.mode("overwrite").parquet(path)
+    return Stage(df.sparkSession.read.schema(df.schema).parquet(path), seen.get)
+
+
+def stage_metrics(spark: SparkSession, stages: list[tuple[str, Stage, Stage, int]]) -> DataFrame:
     """One row per stage: rows in, rows out, errors.
 
-    ``stages`` holds (name, input, output, failed rows or None). A stage's input is the output
-    of the one before it, so the numbers of a run join up.
+    ``stages`` holds (name, input, output, failed rows). A stage's input is the output of the one
+    before it, so the numbers of a run join up.
     """
-    count = lambda df: df.agg(F.count("*")).scalar()
-    rows = [
-        source.agg(F.count("*").alias("items_in")).select(
-            F.lit(i).alias("ordinal"), F.lit(name).alias("stage"), "items_in",
-            count(result).alias("items_out"),
-            (F.lit(0).cast("long") if failed is None else count(failed)).alias("error_count"))
-        for i, (name, source, result, failed) in enumerate(stages)
-    ]
-    return reduce(DataFrame.unionByName, rows)
-
-
-def run_summary(plan: DataFrame, results: DataFrame, pages: DataFrame, leads: DataFrame
+    return spark.createDataFrame(
+        [(i, name, source.numbers["items"], result.numbers["items"], errors)
+         for i, (name, source, result, errors) in enumerate(stages)],
+        "ordinal int, stage string, items_in long, items_out long, error_count long")
+
+
+#: What a run summary wants to know of a stage, beside the rows.
+CRAWL_NUMBERS = {"successes": "count_if(success)", "tried": "count(success)"}
+LEAD_NUMBERS = {"best": "max(icp_relevance_score)"}
+
+
+def run_summary(spark: SparkSession, plan: Stage, results: Stage, pages: Stage, leads: Stage
                 ) -> DataFrame:
-    """One row about a run: sizes of its stages, crawl success, best score."""
-    one = lambda df, c: df.agg(c).scalar()
-    # scalar subqueries each reduce to one value, so the row is put together without a join
-    return plan.agg(F.count("*").alias("planned_queries")).select(
-        "planned_queries",
-        one(results, F.count("*")).alias("total_results"),
-        one(pages, F.count("*")).alias("crawled_pages"),
-        one(pages, F.coalesce(F.round(F.avg(F.col("success").cast("int")), 2), F.lit(0.0)))
-        .alias("crawl_success_rate"),
-        one(leads, F.count("*")).alias("leads"),
-        one(leads, F.coalesce(F.round(F.max("icp_relevance_score"), 3), F.lit(0.0)))
-        .alias("top_lead_score"))
+    """One row about a run: sizes of its stages, crawl success, best score.
+
+    ``pages`` was written with ``CRAWL_NUMBERS``, ``leads`` with ``LEAD_NUMBERS``.
+    """
+    tried, best = pages.numbers["tried"], leads.numbers["best"]
+    row = spark.createDataFrame(
+        [(plan.numbers["items"], results.numbers["items"], pages.numbers["items"],
+          pages.numbers["successes"] / tried if tried else 0.0, leads.numbers["items"],
+          best if best is not None else 0.0)],
+        "planned_queries long, total_results long, crawled_pages long, crawl_success_rate double, "
+        "leads long, top_lead_score double")
+    return row.withColumns({"crawl_success_rate": F.round("crawl_success_rate", 2),
+                            "top_lead_score": F.round("top_lead_score", 3)})
 
 
 def crawl_success_rate(pages: DataFrame, *keys: str) -> DataFrame:

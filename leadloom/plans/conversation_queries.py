@@ -32,9 +32,9 @@ def last_turns(spark, d):
 
 @query("w11_bounded_history", with_ctes(_SQL_TURNS, select="""
 SELECT session_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id
-  ORDER BY turn DESC) AS rn FROM turns) WHERE rn <= 50"""))
+  ORDER BY turn DESC) AS rn FROM turns) WHERE rn <= 5"""))
 def bounded(spark, d):
-    return CV.last_turns(turns(spark, d), 50).select("session_id", "turn", "role")
+    return CV.last_turns(turns(spark, d), 5).select("session_id", "turn", "role")
 
 
 @query("x27_transcript", with_ctes(_SQL_TURNS, select="""
@@ -58,11 +58,11 @@ def context_window(spark, d):
 
 
 @query("r07_append_note", r"""
-SELECT doc_id, right(regexp_replace(substr(text, 1, 1500) || chr(10) || text, '^\s+|\s+$', '', 'g'), 2000)
+SELECT doc_id, right(regexp_replace(text || chr(10) || text, '^\s+|\s+$', '', 'g'), 2000)
   AS summary FROM documents""")
 def append_note(spark, d):
     return table(spark, d, "documents").select("doc_id", CV.append_note(
-        F.substring("text", 1, 1500), F.col("text")).alias("summary"))
+        F.col("text"), F.col("text")).alias("summary"))
 
 
 _SUMMARY = r"""(SELECT CASE WHEN len(ss) = 0 THEN substr(ct, 1, 400)

@@ -184,28 +184,33 @@ def alerts(spark, d):
         "session_id", "domain", "tier", "icp_score")
 
 
-_SQL_LINE = r"""CASE kind
-  WHEN 'LeadScored' THEN '[event] LeadScored {session_id=''' || session_id || ''', domain=''d' || k
-    || '.com'', company_name=' || CASE WHEN length(nm) > 40 THEN '"' || substr(nm, 1, 40) || '"'
-    ELSE '"' || nm || '"' END || ', tier=''' || tier || ''', icp_score=' || k / 100.0::DOUBLE || '}'
-  WHEN 'CrawlFailed' THEN '[event] CrawlFailed {session_id=''' || session_id || ''', url=''http://h/'
-    || k || ''', error=''error ' || k || ''', attempt=None}'
-  WHEN 'CrawlCompleted' THEN '[event] CrawlCompleted {session_id=''' || session_id
-    || ''', url=''http://h/' || k || ''', success=' || CASE WHEN value >= 50 THEN 'True' ELSE 'False'
-    END || ', status_code=200, latency_ms=' || value || '}'
-  WHEN 'SessionCreated' THEN '[event] SessionCreated {session_id=''' || session_id
-    || ''', query=''q' || k || '''}' END"""
+_SQL_LINE = r"""'[event] ' || kind || ' {session_id=''' || session_id || ''', ' || CASE
+  WHEN kind IN ('LeadScored', 'LeadEnriched') THEN 'domain=''d' || k || '.com'', company_name="'
+    || substr(nm, 1, 40) || '", ' || CASE kind WHEN 'LeadScored' THEN 'tier=''' || tier || ''', icp_score='
+    || k / 100.0::DOUBLE ELSE 'icp_score=' || k / 100.0::DOUBLE || ', tech_count=None' END
+  WHEN kind = 'CrawlFailed' THEN 'url=''http://h/' || k || ''', error=''error ' || k || ''', attempt=None'
+  WHEN kind = 'CrawlCompleted' THEN 'url=''http://h/' || k || ''', success=' || CASE WHEN value >= 50
+    THEN 'True' ELSE 'False' END || ', status_code=200, latency_ms=' || value
+  WHEN kind = 'SessionCreated' THEN 'query=''q' || k || ''''
+  WHEN kind = 'PipelineStarted' THEN 'query=''q' || k || ''', provider_count=None'
+  WHEN kind = 'PipelineCompleted' THEN 'query=None, total_leads=' || k || ', hot_count=' || (k % 3)
+    || ', warm_count=None'
+  WHEN kind = 'PipelineFailed' THEN 'query=''q' || k || ''', error=''error ' || k || ''', stage=None'
+  WHEN kind = 'ProxyFailed' THEN 'proxy_host=None, error=''error ' || k || ''', provider=''p' || (k % 3) || ''''
+  WHEN kind = 'ProxyRotated' THEN 'old_proxy=None, new_proxy=None, reason=None, provider=''p' || (k % 3) || ''''
+  WHEN kind = 'SearchCompleted' THEN 'query_string=None, provider=''p' || (k % 3) || ''', result_count='
+    || k || ', latency_ms=' || value
+  WHEN kind IN ('CacheHit', 'CacheMiss') THEN 'cache_key=None, cache_type=''' || CASE WHEN k % 4 < 2
+    THEN 'crawl' ELSE 'lead' END || '''' END || '}'"""
 
 
 @query("r05_event_log_lines", with_ctes(_SQL_EVENTS, select=f"""
-SELECT session_id, CASE WHEN kind IN ('LeadScored', 'SessionCreated') THEN 'INFO' ELSE 'DEBUG' END
+SELECT session_id, CASE WHEN kind IN ('LeadScored', 'LeadEnriched', 'SessionCreated', 'PipelineStarted',
+    'PipelineCompleted', 'PipelineFailed', 'ProxyFailed', 'ProxyRotated') THEN 'INFO' ELSE 'DEBUG' END
   AS level, {_SQL_LINE} AS line
-FROM (SELECT *, 'It''s a company with quite a long name no ' || k AS nm FROM e)
-WHERE kind IN ('LeadScored', 'CrawlFailed', 'CrawlCompleted', 'SessionCreated')"""))
+FROM (SELECT *, 'It''s a company with quite a long name no ' || k AS nm FROM e)"""))
 def log_lines(spark, d):
-    shown = E.of_types(_stream(spark, d),
-                       ["LeadScored", "CrawlFailed", "CrawlCompleted", "SessionCreated"])
-    return jobs.drain(spark, E.log_lines(shown), "log").select("session_id", "level", "line")
+    return jobs.drain(spark, E.log_lines(_stream(spark, d)), "log").select("session_id", "level", "line")
 
 
 _SQL_STATUS = """st AS (SELECT *, CASE kind WHEN 'SessionCreated' THEN 'created'

@@ -42,12 +42,22 @@ def sanitise(spark, d):
 
 
 @query("s16_query_source", with_ctes(_SQL_ASKED, select="""
-SELECT query, count(*) AS n FROM (SELECT replace(replace(query, chr(10), ' '), chr(13), ' ') AS query FROM asked)
-WHERE length(query) BETWEEN 5 AND 2000 GROUP BY query"""))
+SELECT query, CASE WHEN length(query) < 5 THEN 'too short' WHEN length(query) > 2000 THEN 'too long' END
+  AS rejected_by, count(*) AS n FROM (
+  SELECT replace(replace(query, chr(10), ' '), chr(13), ' ') AS query FROM asked
+  UNION ALL SELECT left(text, n) FROM (SELECT text, unnest([3, 4, 5, 2000, 2001]) AS n FROM (
+    SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents) WHERE text <> ''))
+GROUP BY ALL"""))
 def query_source(spark, d):
     path = fresh_path(spark, "queries")
-    _asked(spark, d).select(F.translate("query", "\n\r", "  ").alias("value")).write.text(path)
-    return files.read_queries(spark, path).groupBy("query").agg(F.count("*").alias("n"))
+    # beside the questions, texts cut about the shortest and longest that is taken
+    cut = table(spark, d, "documents").filter("text <> ''").select(
+        F.explode(F.array(*map(F.lit, (3, 4, 5, 2000, 2001)))).alias("n"), "text").select(
+        F.left("text", "n").alias("query"))
+    asked = _asked(spark, d).select("query").unionByName(cut)
+    asked.select(F.translate("query", "\n\r", "  ").alias("value")).write.text(path)
+    lines = spark.read.text(path).withColumnRenamed("value", "query")
+    return files.judged_queries(lines).groupBy("query", "rejected_by").agg(F.count("*").alias("n"))
 
 
 def _named(words: list[str]) -> str:

@@ -340,13 +340,13 @@ _SQL_SESSIONS = """stored_s AS (SELECT CAST(user_id AS VARCHAR) AS id,
   WHERE event_type = 'signup' GROUP BY user_id),
 runs AS (SELECT CAST(user_id AS VARCHAR) AS id, 'run ' || max(event_id) AS query,
   count(*) FILTER (value >= 100) AS hot, count(*) FILTER (value >= 50 AND value < 100) AS warm,
-  count(*) FILTER (value < 50) AS cold FROM events WHERE event_type = 'purchase' AND value > 20
+  count(*) FILTER (value < 50) AS cold FROM events WHERE event_type = 'purchase'
   GROUP BY user_id)"""
 
 
 def _runs(spark, d) -> DataFrame:
     v = F.col("value")
-    return table(spark, d, "events").filter("event_type = 'purchase' AND value > 20").groupBy(
+    return table(spark, d, "events").filter("event_type = 'purchase'").groupBy(
         F.col("user_id").cast("string").alias("session_id")).agg(
         F.concat(F.lit("run "), F.max("event_id")).alias("query"),
         F.count_if(v >= 100).alias("hot"), F.count_if((v >= 50) & (v < 100)).alias("warm"),
@@ -554,14 +554,18 @@ def crawl_success(spark, d):
         "success_rate", F.round("success_rate", 4))
 
 
-def _stages(spark, d) -> dict[str, DataFrame]:
-    e = table(spark, d, "events")
+def _stages(spark, d, *names: str) -> list[ST.Stage]:
+    """Stages of a run, written one after the other."""
+    e, root = table(spark, d, "events"), fresh_path(spark, "run")
     crawled = e.filter(F.col("event_type").isin("click", "error"))
-    return {
-        "plan": e.filter("event_type = 'signup'"), "search": e.filter("event_type = 'view'"),
-        "crawl": crawled.withColumn("success", F.col("event_type") == "click"),
-        "leads": _leads(spark, d, False),
+    made = {
+        "plan": (e.filter("event_type = 'signup'"), {}),
+        "search": (e.filter("event_type = 'view'").withColumn("k", event_k()), {}),
+        "crawl": (crawled.withColumn("success", F.col("event_type") == "click"),
+                  ST.CRAWL_NUMBERS),
+        "leads": (_leads(spark, d, False), ST.LEAD_NUMBERS),
     }
+    return [ST.write_stage(made[n][0], f"{root}/{n}", **made[n][1]) for n in names]
 
 
 @query("a10_run_summary", """
@@ -574,8 +578,7 @@ SELECT count(*) FILTER (event_type = 'signup') AS planned_queries,
   round(max(least(1.0::DOUBLE, value / 200)) FILTER (event_type NOT IN ('view', 'click')), 3)
     AS top_lead_score FROM events""")
 def run_summary(spark, d):
-    s = _stages(spark, d)
-    return ST.run_summary(s["plan"], s["search"], s["crawl"], s["leads"])
+    return ST.run_summary(spark, *_stages(spark, d, "plan", "search", "crawl", "leads"))
 
 
 _SQL_STAGES = """stages AS (
@@ -588,12 +591,12 @@ _SQL_STAGES = """stages AS (
 
 
 def _stage_rows(spark, d) -> DataFrame:
-    s = _stages(spark, d)
-    merged = s["search"].select(event_k().alias("k")).distinct()
-    ok, bad = s["crawl"].filter("success"), s["crawl"].filter("NOT success")
-    return ST.stage_metrics([
-        ("search", s["plan"], s["search"], None), ("merge", s["search"], merged, None),
-        ("crawl", s["crawl"], ok, bad)])
+    plan, found, crawled = _stages(spark, d, "plan", "search", "crawl")
+    merged = ST.write_stage(found.rows.select("k").distinct(), fresh_path(spark, "merged"))
+    usable = ST.write_stage(crawled.rows.filter("success"), fresh_path(spark, "usable"))
+    return ST.stage_metrics(spark, [
+        ("search", plan, found, 0), ("merge", found, merged, 0),
+        ("crawl", crawled, usable, crawled.numbers["items"] - crawled.numbers["successes"])])
 
 
 @query("a12_stage_metrics", with_ctes(_SQL_STAGES, select="SELECT * FROM stages"))
@@ -618,6 +621,10 @@ SELECT 'search' AS tab, event_id AS id, CAST(user_id AS VARCHAR) AS session_id,
 FROM events WHERE event_type = 'view'
 UNION ALL SELECT 'agent', event_id, CAST(user_id AS VARCHAR), value FROM events
 WHERE event_type IN ('purchase', 'signup')
+UNION ALL SELECT 'crawl', event_id, CAST(user_id AS VARCHAR), value FROM events
+WHERE event_type IN ('click', 'error')
+UNION ALL SELECT 'outreach', event_id, CAST(user_id AS VARCHAR), length('To ' || props) FROM events
+WHERE event_type = 'purchase'
 UNION ALL SELECT 'message', turn, CAST(conv_id AS VARCHAR), length(text) FROM conversations""")
 def append_telemetry(spark, d):
     root, t = fresh_path(spark, "telemetry"), _telemetry(spark, d)
@@ -626,12 +633,19 @@ def append_telemetry(spark, d):
         F.col("text").alias("content"))
     files.append(t["search_queries"], "search_queries", f"{root}/search")
     files.append(t["agent_runs"], "agent_runs", f"{root}/agent")
+    files.append(t["crawl_history"], "crawl_history", f"{root}/crawl")
+    outreach = table(spark, d, "events").filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"),
+        F.lit("email").alias("channel"), F.concat(F.lit("To "), "props").alias("subject_line"))
+    files.append(outreach, "outreach_suggestions", f"{root}/outreach")
     files.append(turns, "session_conversations", f"{root}/message")
     read = lambda name, sub: files.read_stored(spark, name, f"{root}/{sub}")
     part = lambda df, tab, v: df.select(
         F.lit(tab).alias("tab"), "id", "session_id", v.cast("double").alias("latency"))
     return part(read("search_queries", "search"), "search", F.col("latency_ms")).unionByName(
         part(read("agent_runs", "agent"), "agent", F.col("latency_ms"))).unionByName(
+        part(read("crawl_history", "crawl"), "crawl", F.col("latency_ms"))).unionByName(
+        part(read("outreach_suggestions", "outreach"), "outreach", F.length("subject_line"))).unionByName(
         part(read("session_conversations", "message"), "message", F.length("content")))
 
 

@@ -160,3 +160,24 @@ def test_json_leads_and_their_header(spark, tmp_path):
     assert sorted(got.columns) == ["domain", "query"] and got.count() == 2
     top = spark.read.json(f"{tmp_path}/leads-header").collect()
     assert [(r.query, r.pipeline_ms, r.total_leads) for r in top] == [("find labs", 12.3, 2)]
+
+
+def test_stages_are_counted_while_they_are_written(spark, tmp_path):
+    """One evaluation per stage: an accumulator counts how often a row is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pages = spark.range(40).selectExpr("id", "id % 4 > 0 AS success", "id / 100 AS icp_relevance_score")
+    pages = pages.repartition(3).mapInArrow(seen, pages.schema)
+    crawl = ST.write_stage(pages, str(tmp_path / "crawl"), **ST.CRAWL_NUMBERS)
+    usable = ST.write_stage(crawl.rows.filter("success"), str(tmp_path / "usable"), **ST.LEAD_NUMBERS)
+    none = ST.write_stage(pages.limit(0), str(tmp_path / "none"), **ST.LEAD_NUMBERS, **ST.CRAWL_NUMBERS)
+    rows = ST.stage_metrics(spark, [("crawl", crawl, usable, 10), ("none", usable, none, 0)])
+    assert [tuple(r) for r in rows.collect()] == [(0, "crawl", 40, 30, 10), (1, "none", 30, 0, 0)]
+    assert tuple(ST.run_summary(spark, none, crawl, crawl, usable).head()) == (0, 40, 40, 0.75, 30, 0.39)
+    assert tuple(ST.run_summary(spark, none, none, none, none).head()) == (0, 0, 0, 0.0, 0, 0.0)
+    assert made.value == 40 and crawl.rows.count() == 40
