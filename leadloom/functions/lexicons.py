@@ -187,3 +187,17 @@ SPEAKERS = {"user": "Human", "assistant": "Assistant", "system": "System"}
 TIER_HOT = 0.65
 TIER_WARM = 0.35
 MIN_LEAD_SCORE = 0.15
+
+# what of a page is kept as tokens: tags and their attributes
+HTML_ENCLOSING_TAGS = ("title", "script", "style")
+HTML_SCRIPT_TAGS = ("script", "style")
+HTML_TOKEN_ATTRIBUTES = {
+    "title": (),
+    "script": ("type",),
+    "style": ("type",),
+    "meta": ("name", "property", "content"),
+    "link": ("rel", "href"),
+    "a": ("href",),
+}
+UNFOLLOWED_LINKS = ("#", "javascript:", "mailto:", "tel:")
+JSON_LD_TYPE = "application/ld+json"
