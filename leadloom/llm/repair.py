@@ -6,14 +6,20 @@ rules (left, right, and the number of ids a symbol stands for), the symbols, and
 symbols of each document, so that one document is decoded without the others. The end id closes
 each document and is part of no rule, so no symbol reaches into the next document.
 
-Rounds go on until no pair comes twice in the shard. Each counts pairs by hash bucket, counts the
-pairs of the fullest buckets exactly, and replaces those of at least half the greatest count at
-once; pairs of a round share no symbol between a left and a right place, so replacements never
+Rounds go on until no pair comes twice in the shard. Places of the shard are linked, and hash
+buckets count their pairs; a replacement touches the counts of its neighbours only. A round counts
+the pairs of the fullest buckets exactly and replaces those of at least a quarter of the greatest count
+at once; pairs of a round share no symbol between a left and a right place, so replacements never
 overlap. A run of one symbol is replaced left to right.
 
-A file: 8 bytes ``RPAIR001``; six unsigned 64-bit numbers (documents, ids, symbols, rules, first
-rule's symbol, end id); documents x (id i64, known u8 plane, symbols u32, ids u32); rules x (left
-u32, right u32, length u32); the symbols, u16 if all fit, else u32; little-endian throughout.
+A file: 8 bytes ``RPAIR002``; seven unsigned 64-bit numbers (documents, ids, symbols, rules, first
+rule's symbol, end id, different ids); then packed columns: different ids of the shard (steps); document ids
+(steps; 0 if null), known or not, symbols and ids of each document; of the rules the left symbols
+(steps, short), right symbols, lengths (short); the symbols. Symbols are numbered densely: the
+shard's different ids in order, then the rules. A packed column is a byte with the bits of a value,
+and the values in that many bits each, lowest first. A short column is a byte for each value and a
+packed column of those from 255 on. Steps are differences of neighbours, modulo 2 to the 64th
+(left symbols: 32nd). A document's symbols are found by their place in bits and unpacked alone.
 Null texts are empty; each document has at least its end id. Rows of equal id are written in the
 order of their texts; rows without an id come first.
 """
@@ -33,7 +39,7 @@ from leadloom import session
 from leadloom.llm.pretokens import PartCache, unsafe
 from leadloom.llm.token_counts import special_tokens, split_specials
 
-MAGIC = b"RPAIR001"
+MAGIC = b"RPAIR002"
 END_ID = 2
 #: Ids in a shard; a shard ends with the document that reaches this.
 SHARD_IDS = 2_000_000
@@ -41,7 +47,9 @@ SHARD_IDS = 2_000_000
 LEAST = 2
 #: A round of fewer rules is the last at its count; what it leaves is replaced at lower counts.
 FEW = 1_000
-_HASH_BITS = 20
+#: Pairs of a round come at least this part of the greatest count.
+STEP = 4
+_HASH_BITS = 18
 
 
 class Encoder:
@@ -129,72 +137,98 @@ def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
     When it ends, no pair without the end id comes ``least`` times; pairs of equal symbols count
     from the left without overlap.
     """
-    symbols = ids.astype(np.uint32)
+    size, place = len(ids), np.int32 if len(ids) < 1 << 31 else np.int64
+    # One more place stands for the end of the shard.
+    symbols = np.append(ids.astype(np.uint32), np.uint32(end_id))
+    after, before = np.arange(1, size + 2, dtype=place), np.arange(-1, size, dtype=place)
+    alive = np.ones(size, bool)
     # Places whose pair may still come ``least`` times. Only pairs with a new symbol gain places.
-    may = symbols != end_id
-    may[:-1] &= may[1:]
-    may[-1:] = False
-    rules, length, floor = [], np.ones(first, np.uint32), len(symbols)
+    may = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+    at = np.flatnonzero(may)
+    bucket = np.zeros(size, np.uint32)
+    bucket[at] = _bucket_of(symbols[at], symbols[at + 1])
+    counts = np.bincount(bucket[at], minlength=1 << _HASH_BITS)
+
+    def uncounted(*groups: np.ndarray) -> None:
+        """Places that are no places of pairs any more."""
+        lost = []
+        for places in groups:
+            lost.append(bucket[places[may[places]]])
+            may[places] = False
+        np.subtract(counts, np.bincount(np.concatenate(lost), minlength=len(counts)), out=counts)
+
+    def counted(*groups: np.ndarray) -> None:
+        """Places with new pairs; those beside an end id hold none."""
+        found = []
+        for places in groups:
+            left, right = symbols[places], symbols[after[places]]
+            free = ~may[places] & (left != end_id) & (right != end_id)
+            places = places[free]
+            may[places] = True
+            found.append(_bucket_of(left[free], right[free]))
+            bucket[places] = found[-1]
+        np.add(counts, np.bincount(np.concatenate(found), minlength=len(counts)), out=counts)
+
+    rules, length, floor = [], np.ones(first, np.uint32), size
     while len(at := np.flatnonzero(may)):
-        left, right = symbols[at], symbols[at + 1]
-        hashed = _bucket_of(left, right)
         # What a bucket holds is no less than what each of its pairs holds.
-        held = np.bincount(hashed, minlength=1 << _HASH_BITS)[hashed]
-        floor = max(least, min(floor, int(held.max()) // 2))
-        may[at[held < least]] = False
-        full = np.flatnonzero(held >= floor)
-        at, left, right = at[full], left[full], right[full]
-        even = _even_in_run(at, left == right)
-        at, left, right = at[even], left[even], right[even]
-        keys = left.astype(np.uint64) << np.uint64(32) | right
+        floor = max(least, min(floor, int(counts.max()) // STEP))
+        level = (counts >= least).view("u1") + (counts >= floor).view("u1")
+        found = level[bucket[at]]
+        alone, at = at[found == 0], at[found == 2]
+        may[alone], counts[bucket[alone]] = False, 0
+        left, right = symbols[at], symbols[after[at]]
+        even = _even_in_run(at, after, left == right)
+        at = at[even]
+        keys = left[even].astype(np.uint64) << np.uint64(32) | right[even]
         order = np.argsort(keys)
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
         pairs, n = keys[starts], np.diff(starts, append=len(keys))
-        new = _choose(pairs, n, floor, first + sum(map(len, rules)))
-        symbol = np.repeat(new, n)
-        may[at[order[np.repeat(n < least, n)]]] = False
+        new = _choose(pairs, n, floor, len(length))
+        uncounted(at[order[np.repeat(n < least, n)]])
         chosen = np.flatnonzero(new)
         if not len(chosen) and floor == least:
             break
         if len(chosen) < FEW:
-            floor = max(least, floor // 2)
+            floor = max(least, floor // STEP)
         if not len(chosen):
             continue
-        chosen = chosen[np.argsort(new[chosen])]
         a, b = pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)
         made = np.stack([a, b, length[a] + length[b]], axis=1).astype(np.uint32)
         rules.append(made)
         length = np.concatenate([length, made[:, 2]])
+        symbol = np.repeat(new, n)
         hit = at[order[symbol > 0]]
+        gone = after[hit]
         symbols[hit] = symbol[symbol > 0]
-        fresh, stay = np.zeros(len(symbols), bool), np.ones(len(symbols), bool)
-        fresh[hit], stay[hit + 1] = True, False
-        stay = np.flatnonzero(stay)
-        symbols, may, fresh = symbols[stay], may[stay], np.flatnonzero(fresh[stay])
-        free = np.append(symbols != end_id, False)
-        may[fresh] = free[fresh + 1]
-        before = fresh[fresh > 0] - 1
-        may[before] = free[before]
-    return symbols, np.concatenate([np.empty((0, 3), np.uint32), *rules])
-
-
-def _even_in_run(at: np.ndarray, same: np.ndarray) -> np.ndarray:
+        alive[gone] = False
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        left_of = before[hit]
+        left_of = left_of[left_of >= 0]
+        uncounted(hit, gone, left_of)
+        counted(hit, left_of)
+    return symbols[:-1][alive], np.concatenate([np.empty((0, 3), np.uint32), *rules])
+
+
+def _even_in_run(at: np.ndarray, after: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Drops every second place of a run of equal symbols: there pairs would overlap."""
     keep = np.ones(len(at), bool)
     places = np.flatnonzero(same)
     if len(places):
         where = at[places]
-        starts = np.append(True, np.diff(where) != 1)
-        begin = np.maximum.accumulate(np.where(starts, where, 0))
-        keep[places] = (where - begin) % 2 == 0
+        starts = np.append(True, after[where[:-1]] != where[1:])
+        order = np.arange(len(places))
+        begin = np.maximum.accumulate(np.where(starts, order, 0))
+        keep[places] = (order - begin) % 2 == 0
     return keep
 
 
 def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarray:
     """New symbols from ``top`` on for pairs that come ``floor`` times, most frequent first; else 0.
 
-    No symbol is both a left and a right one, except in a pair of its own, so places of chosen
+    New symbols go by the order of ``pairs``. No symbol is both a left and a right one, except in a pair of its own, so places of chosen
     pairs never overlap.
     """
     new = np.zeros(len(pairs), np.uint32)
@@ -208,7 +242,7 @@ def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarra
             side[a] |= 1
             side[b] |= 2
             chosen.append(i)
-    new[chosen] = np.arange(top, top + len(chosen))
+    new[np.sort(np.array(chosen, np.int64))] = np.arange(top, top + len(chosen))
     return new
 
 
@@ -228,6 +262,47 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """A packed column: the width of a value, then all values in that many bits."""
+    values = values.astype("<u8")
+    width = int(values.max(initial=0)).bit_length()
+    kind = np.dtype("<u4" if width <= 32 else "<u8")
+    bits = np.unpackbits(values.astype(kind).view("u1").reshape(len(values), kind.itemsize),
+                         axis=1, count=width, bitorder="little")
+    return bytes([width]) + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _short(values: np.ndarray) -> bytes:
+    """A short column: a byte for each value, then those that do not fit, packed."""
+    return np.minimum(values, 255).astype("u1").tobytes() + _packed(values[values >= 255])
+
+
+def _steps(values: np.ndarray, kind: str) -> np.ndarray:
+    return np.diff(values.astype(kind), prepend=np.zeros(1, kind))
+
+
+class _Packed:
+    """Any run of values of a packed column, unpacked from their own bytes."""
+
+    def __init__(self, raw: bytes, at: int, count: int):
+        self.raw, self.at, self.width, self.count = raw, at + 1, raw[at], count
+        self.end = self.at + (count * self.width + 7) // 8
+
+    def run(self, a: int, b: int) -> np.ndarray:
+        kind = "<u4" if self.width <= 32 else "<u8"
+        if a >= b or not self.width:
+            return np.zeros(max(0, b - a), kind)
+        bit, stop = a * self.width, b * self.width
+        some = np.frombuffer(self.raw, "u1", (stop + 7) // 8 - bit // 8, self.at + bit // 8)
+        bits = np.unpackbits(some, bitorder="little")[bit % 8:][:stop - bit]
+        whole = np.zeros((b - a, 8 * np.dtype(kind).itemsize), "u1")
+        whole[:, :self.width] = bits.reshape(b - a, self.width)
+        return np.packbits(whole, axis=1, bitorder="little").view(kind).ravel()
+
+    def all(self) -> np.ndarray:
+        return self.run(0, self.count)
+
+
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], end_id: int, first: int) -> bytes:
     """The bytes of a shard; ``ids`` of each document close with the end id."""
     whole = np.concatenate(ids)
@@ -236,13 +311,19 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], end_id: int, first: i
     lengths = np.concatenate([np.ones(first, np.int64), rules[:, 2].astype(np.int64)])[symbols]
     sizes = np.array([len(x) for x in ids], np.int64)
     last = np.searchsorted(np.cumsum(lengths), np.cumsum(sizes)) + 1
-    wide = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
-    head = np.array([len(ids), len(whole), len(symbols), len(rules), first, end_id], "<u8")
+    used = np.flatnonzero(np.bincount(whole, minlength=first))
+    dense = np.zeros(first + len(rules), np.uint32)
+    dense[used] = np.arange(len(used))
+    dense[first:] = np.arange(len(used), len(used) + len(rules))
+    head = [len(ids), len(whole), len(symbols), len(rules), first, end_id, len(used)]
     return b"".join([
-        MAGIC, head.tobytes(), np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
-        np.array([i is not None for i in doc_ids], "u1").tobytes(),
-        np.diff(last, prepend=0).astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
-        rules.astype("<u4").T.tobytes(), symbols.astype(wide).tobytes()])
+        MAGIC, np.array(head, "<u8").tobytes(),
+        _packed(_steps(used, "<u8")),
+        _packed(_steps(np.array([i or 0 for i in doc_ids], "<i8"), "<u8")),
+        _packed(np.array([i is not None for i in doc_ids])),
+        _packed(np.diff(last, prepend=0)), _packed(sizes),
+        _short(_steps(dense[rules[:, 0]], "<u4")), _packed(dense[rules[:, 1]]), _short(rules[:, 2]),
+        _packed(dense[symbols])])
 
 
 class Shard:
@@ -251,21 +332,34 @@ class Shard:
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
             raise ValueError("not a shard")
-        n, self.n_ids, m, r, self.first, self.end_id = np.frombuffer(raw, "<u8", 6, 8).tolist()
-        at = 56
+        n, self.n_ids, m, r, self.first, self.end_id, k = np.frombuffer(raw, "<u8", 7, 8).tolist()
+        at = 64
+
+        def packed(count: int) -> _Packed:
+            nonlocal at
+            column = _Packed(raw, at, count)
+            at = column.end
+            return column
 
-        def take(dtype: str, count: int) -> np.ndarray:
+        def short(count: int) -> np.ndarray:
             nonlocal at
-            got = np.frombuffer(raw, dtype, count, at)
-            at += got.nbytes
+            got = np.frombuffer(raw, "u1", count, at).astype(np.uint32)
+            at += count
+            long = got == 255
+            got[long] = packed(int(long.sum())).all()
             return got
 
-        ids, known = take("<i8", n), take("u1", n)
-        self.doc_ids = [int(i) if k else None for i, k in zip(ids, known)]
-        self.ends = np.cumsum(take("<u4", n).astype(np.int64))
-        self.sizes = take("<u4", n)
-        self.rules = take("<u4", 3 * r).reshape(3, r).T
-        self.symbols = take("<u2" if self.first + r <= 1 << 16 else "<u4", m)
+        used = np.cumsum(packed(k).all(), dtype=np.uint64).astype(np.uint32)
+        # Symbols as ids and, from ``first`` on, rules.
+        self._symbol = np.concatenate([used, np.arange(self.first, self.first + r, dtype=np.uint32)])
+        ids = np.cumsum(packed(n).all(), dtype=np.uint64).astype(np.int64)
+        self.doc_ids = [i if known else None for i, known in zip(ids.tolist(), packed(n).all())]
+        self.ends = np.cumsum(packed(n).all().astype(np.int64))
+        self.sizes = packed(n).all()
+        left = np.cumsum(short(r), dtype=np.uint32)
+        right = packed(r).all()
+        self.rules = np.stack([self._symbol[left], self._symbol[right], short(r)], axis=1)
+        self._symbols = packed(m)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -276,8 +370,9 @@ class Shard:
 
     def run(self, a: int, b: int) -> np.ndarray:
         """The ids of documents ``a`` to ``b - 1``, one after another."""
-        start = self.ends[a - 1] if a else 0
-        return expand(self.symbols[start:self.ends[b - 1]], self.rules, self.first)
+        start = int(self.ends[a - 1]) if a else 0
+        symbols = self._symbols.run(start, int(self.ends[b - 1]))
+        return expand(self._symbol[symbols], self.rules, self.first)
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,

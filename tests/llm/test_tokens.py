@@ -159,6 +159,37 @@ def test_no_pair_is_left_that_comes_twice():
     assert len(repair.compress(many, 2, 50_257)[1]) > 4_096
 
 
+def test_packed_columns():
+    rng = np.random.default_rng(4)
+    for bits in (0, 1, 7, 8, 17, 32, 33, 63, 64):
+        for n in (0, 1, 3, 100):
+            values = rng.integers(0, 2 ** bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(
+                0, 2 ** 64 - 1, n, np.uint64, endpoint=True)
+            column = repair._Packed(b"xyz" + repair._packed(values), 3, n)
+            assert column.end == 3 + len(repair._packed(values))
+            assert column.all().tolist() == values.tolist()
+            for a, b in ((0, 0), (n // 3, n // 2), (n // 2, n)):
+                assert column.run(a, b).tolist() == values[a:b].tolist()
+
+
+def test_any_ids_of_documents_and_steps_of_rules():
+    ids = [-2 ** 63, -5, None, 0, 7, 7, 2 ** 63 - 1]
+    texts = [np.append(np.tile([9, 300 * i + 8, 60_000], 40), 2).astype("<u4") for i in range(len(ids))]
+    shard = repair.Shard(repair.pack(ids, texts, 2, 70_000))
+    assert shard.doc_ids == ids
+    assert all((shard.ids(i) == t).all() for i, t in enumerate(texts))
+
+
+def test_shards_of_whole_texts_are_small(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toPandas()
+    own = repair.encoder(JSON)
+    ids = [np.append(own.encode(t or ""), 2).astype(own.dtype) for t in table["text"]]
+    raw = repair.pack(list(range(len(ids))), ids, 2, own.library.get_vocab_size())
+    assert len(raw) <= 0.6 * 2 * sum(map(len, ids))
+    shard = repair.Shard(raw)
+    assert all((shard.ids(i) == x).all() for i, x in enumerate(ids))
+
+
 def test_digest_of_shards(spark, docs, library):
     got = by_id(repair.digests(docs, JSON))
     ids = np.array([*library.encode(TEXTS[12], add_special_tokens=False).ids, 2], "<u4")
