@@ -2,9 +2,14 @@
 
 Each line with a word is content or boilerplate. A conditional random field scores a labelling by
 line features and by the labels of neighbouring lines; it learns its few weights from a bounded
-sample of texts, whose lines take their text's quality label, by gradient steps on the exact
-conditional likelihood. Viterbi decoding gives the best labelling of a whole text. A text stays
-if it passes the base rules and at least half of its words stand in content lines.
+sample of texts. Their lines have no labels of their own, only the text has: line labels are
+hidden. At first lines take their text's label and are learnt one by one; then, in a few rounds,
+the chain's own expected labels take their place, tilted just so far that a good text keeps at
+least ``GOOD_CONTENT`` of its lines as content and a poor one at most ``POOR_CONTENT``. So a good
+text may hold boilerplate and a poor one content, and moves between labels are learnt from
+expected moves. Gradients are those of the exact conditional likelihood. Viterbi decoding gives the
+best labelling of a whole text. A text stays if it passes the base rules and at least half of its
+words stand in content lines.
 
 Null and empty texts have no words and fail the base rules. A line of no-break or other Unicode
 spaces has words by the rule above all (only ASCII white space parts words) and is labelled like
@@ -32,7 +37,13 @@ SAMPLE_ROWS = 2_500
 SAMPLE_CHARS = 8_000_000
 #: Lines of a training window; windows cover the whole text. Decoding knows no windows.
 TRAIN_LINES = 64
-STEPS = 100
+#: Gradient steps on the texts' labels, rounds with hidden labels, and steps of a round.
+STEPS = 60
+ROUNDS = 3
+ROUND_STEPS = 30
+#: Least share of content lines in a good text, and largest in a poor one, while learning.
+GOOD_CONTENT = 0.75
+POOR_CONTENT = 0.25
 PENALTY = 1e-3
 N_FEATURES = 12
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -124,54 +135,113 @@ class Field:
         return np.array(out[::-1])
 
 
+def chain_sums(e: np.ndarray, move: np.ndarray, mask: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the log sum over all labellings, expected labels and expected moves.
+
+    ``e`` has the scores of both labels of each line, ``mask`` 1 for lines and 0 behind the last.
+    """
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    longest = e.shape[1]
+    forward[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        new = np.logaddexp(*(forward[:, t - 1, k, None] + move[k] for k in (0, 1))) + e[:, t]
+        forward[:, t] = np.where(mask[:, t, None] > 0, new, forward[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        new = np.logaddexp(*(move[:, k] + (e[:, t + 1, k] + backward[:, t + 1, k])[:, None]
+                             for k in (0, 1)))
+        backward[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
+    z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    labels = np.exp(forward + backward - z[:, None, None]) * mask[:, :, None]
+    both = mask[:, 1:] * mask[:, :-1]
+    # Behind the last line there is nothing to be expected; the scores there may be of any size.
+    log_moves = np.where(both[:, :, None, None] > 0, forward[:, :-1, :, None] + move
+                         + (e + backward)[:, 1:, None, :] - z[:, None, None, None], -np.inf)
+    return z, labels, np.exp(log_moves)
+
+
+def loss(emit: np.ndarray, move: np.ndarray, x: np.ndarray, mask: np.ndarray,
+         labels: np.ndarray, moves: np.ndarray, weight: np.ndarray
+         ) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log-likelihood of (expected) labels and moves, and its two gradients."""
+    e = x @ emit
+    z, own_labels, own_moves = chain_sums(e, move, mask)
+    given = (e * labels).sum(axis=(1, 2)) + (move * moves).sum(axis=(1, 2, 3))
+    value = weight @ (z - given) + PENALTY / 2 * ((emit ** 2).sum() + (move ** 2).sum())
+    g_emit = np.einsum("ntf,ntk,n->fk", x, own_labels - labels, weight, optimize=True)
+    g_move = np.einsum("ntjk,n->jk", own_moves - moves, weight)
+    return float(value), g_emit + PENALTY * emit, g_move + PENALTY * move
+
+
+def _climb(field: Field, steps: int, moves_too: bool, *data: np.ndarray) -> Field:
+    emit, move = field.emit, field.move
+    m, v = np.zeros(emit.size + 4), np.zeros(emit.size + 4)
+    for step in range(1, steps + 1):
+        _, g_emit, g_move = loss(emit, move, *data)
+        g = np.concatenate([g_emit.ravel(), g_move.ravel() * moves_too])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        d = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        emit, move = emit - d[:-4].reshape(emit.shape), move - d[-4:].reshape(2, 2)
+    return Field(emit, move)
+
+
+def hidden_labels(field: Field, x: np.ndarray, mask: np.ndarray, text: np.ndarray,
+                  good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected labels and moves of windows, as near to the field's as their texts' labels allow.
+
+    ``text`` is the number of a window's text, ``good`` the label of each text. All lines of a text
+    that breaks its bound get the same addition to the score of content, found by halving.
+    """
+    e = x @ field.emit
+    n = np.bincount(text, weights=mask.sum(axis=1))
+    sign = np.where(good == 1, 1.0, -1.0)
+    bound = np.where(good == 1, GOOD_CONTENT, POOR_CONTENT)
+
+    def expected(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tilted = e.copy()
+        tilted[:, :, 1] += (sign * tilt)[text][:, None]
+        _, labels, moves = chain_sums(tilted, field.move, mask)
+        share = np.bincount(text, weights=labels[:, :, 1].sum(axis=1)) / n
+        return sign * (share - bound) >= 0, labels, moves
+
+    low = np.zeros(len(n))
+    high = np.where(expected(low)[0], 0.0, 40.0)
+    for _ in range(10 if high.any() else 0):
+        middle = (low + high) / 2
+        enough = expected(middle)[0]
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return expected(high)[1:]
+
+
 def fit(sample: list[tuple[str, int]]) -> Field:
-    """Maximum conditional likelihood over ``(text, quality)`` by forward and backward sums."""
+    """The field of a sample of ``(text, quality)``; line labels are hidden."""
     texts = [(line_features(visible_lines(t)), q) for t, q in sample]
     texts = [(x, q) for x, q in texts if len(x)]
-    kinds = np.array([q for _, q in texts])
-    if len(set(kinds.tolist())) < 2:
+    good = np.array([q for _, q in texts])
+    if len(set(good.tolist())) < 2:
         return Field()
     # Windows one after another cover a text; only links from one to the next are not learnt.
-    windows = [(f[a:a + TRAIN_LINES], q, len(f)) for f, q in texts
+    windows = [(f[a:a + TRAIN_LINES], i) for i, (f, _) in enumerate(texts)
                for a in range(0, len(f), TRAIN_LINES)]
-    longest, n = max(len(x) for x, _, _ in windows), len(windows)
+    longest, n = max(len(x) for x, _ in windows), len(windows)
     x = np.zeros((n, longest, N_FEATURES))
     mask = np.zeros((n, longest))
-    y = np.array([q for _, q, _ in windows])
-    for i, (f, _, _) in enumerate(windows):
+    text = np.array([i for _, i in windows])
+    for i, (f, _) in enumerate(windows):
         x[i, :len(f)], mask[i, :len(f)] = f, 1
     # Both kinds of text weigh the same, and a long text no more than a short one.
-    each = np.array([lines for _, _, lines in windows], float)
-    share = np.where(y == 1, 0.5 / (kinds == 1).sum(), 0.5 / (kinds == 0).sum())
-    emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    m, v = np.zeros(2 * N_FEATURES + 4), np.zeros(2 * N_FEATURES + 4)
-    for step in range(1, STEPS + 1):
-        e = x @ emit
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp(*(forward[:, t - 1, k, None] + move[k] for k in (0, 1))) + e[:, t]
-            forward[:, t] = np.where(mask[:, t, None] > 0, new, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = np.logaddexp(*(move[:, k] + (e[:, t + 1, k] + backward[:, t + 1, k])[:, None]
-                                 for k in (0, 1)))
-            backward[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
-        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        node = np.exp(forward + backward - z[:, None, None]) * mask[:, :, None]
-        want = np.eye(2)[y][:, None, :] * mask[:, :, None]
-        weight = (share / each)[:, None, None]
-        g_emit = np.einsum("ntf,ntk->fk", x, (node - want) * weight)
-        both = mask[:, 1:] * mask[:, :-1]
-        pair = np.exp(forward[:, :-1, :, None] + move + (e + backward)[:, 1:, None, :]
-                      - z[:, None, None, None]) * both[:, :, None, None]
-        seen = np.zeros_like(pair)
-        seen[np.arange(n), :, y, y] = both
-        g_move = ((pair - seen) * weight[..., None]).sum(axis=(0, 1))
-        g = np.concatenate([(g_emit + PENALTY * emit).ravel(), (g_move + PENALTY * move).ravel()])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        d = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        emit, move = emit - d[:-4].reshape(emit.shape), move - d[-4:].reshape(2, 2)
-    return Field(emit, move)
+    lines = np.array([len(f) for f, _ in texts], float)
+    share = np.where(good == 1, 0.5 / (good == 1).sum(), 0.5 / (good == 0).sum())
+    weight = (share / lines)[text]
+    labels = np.eye(2)[good[text]][:, None, :] * mask[:, :, None]
+    field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    # Without moves the labels of a text's other lines say nothing, so each line is learnt alone.
+    no_moves = np.zeros((n, longest - 1, 2, 2))
+    field = _climb(field, STEPS, False, x, mask, labels, no_moves, weight)
+    for _ in range(ROUNDS):
+        labels, moves = hidden_labels(field, x, mask, text, good)
+        field = _climb(field, ROUND_STEPS, True, x, mask, labels, moves, weight)
+    return field
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,

@@ -103,6 +103,88 @@ def test_the_field_learns_its_gradient_well_enough(docs, labels):
     assert all(r.kept for r in good if not r.base_failed)
 
 
+def windows_of(lengths, rng):
+    x = rng.random((len(lengths), max(lengths), crf_lines.N_FEATURES))
+    mask = (np.arange(max(lengths)) < np.array(lengths)[:, None]).astype(float)
+    return x * mask[:, :, None], mask
+
+
+def test_chain_sums_equal_all_labellings():
+    rng = np.random.default_rng(5)
+    lengths = [1, 3, 5]
+    x, mask = windows_of(lengths, rng)
+    e, move = x @ rng.normal(size=(crf_lines.N_FEATURES, 2)), rng.normal(size=(2, 2))
+    z, labels, moves = crf_lines.chain_sums(e, move, mask)
+    for i, n in enumerate(lengths):
+        ways = list(itertools.product((0, 1), repeat=n))
+        w = np.array([np.exp(sum(e[i, t, k] for t, k in enumerate(y)) + sum(
+            move[a, b] for a, b in itertools.pairwise(y))) for y in ways])
+        assert z[i] == pytest.approx(np.log(w.sum()))
+        for t in range(max(lengths)):
+            for k in (0, 1):
+                here = sum(v for v, y in zip(w, ways) if t < n and y[t] == k) / w.sum()
+                assert labels[i, t, k] == pytest.approx(here)
+                for j in (0, 1):
+                    if t + 1 < max(lengths):
+                        both = sum(v for v, y in zip(w, ways) if t + 1 < n and y[t:t + 2] == (j, k))
+                        assert moves[i, t, j, k] == pytest.approx(both / w.sum())
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(6)
+    x, mask = windows_of([4, 1, 6, 2], rng)
+    emit, move = rng.normal(size=(crf_lines.N_FEATURES, 2)), rng.normal(size=(2, 2))
+    _, labels, moves = crf_lines.chain_sums(x @ rng.normal(size=emit.shape), rng.normal(size=(2, 2)), mask)
+    data = x, mask, labels, moves, rng.random(4)
+    _, g_emit, g_move = crf_lines.loss(emit, move, *data)
+    for i in np.ndindex(emit.shape):
+        d = np.zeros_like(emit)
+        d[i] = 1e-5
+        up, down = crf_lines.loss(emit + d, move, *data)[0], crf_lines.loss(emit - d, move, *data)[0]
+        assert g_emit[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+    for i in np.ndindex(2, 2):
+        d = np.zeros_like(move)
+        d[i] = 1e-5
+        up, down = crf_lines.loss(emit, move + d, *data)[0], crf_lines.loss(emit, move - d, *data)[0]
+        assert g_move[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_hidden_labels_keep_to_the_texts_labels():
+    rng = np.random.default_rng(7)
+    x, mask = windows_of([5, 5, 3, 7, 2, 6], rng)
+    text, good = np.array([0, 0, 1, 2, 3, 3]), np.array([1, 0, 1, 0])
+    for _ in range(5):
+        field = crf_lines.Field(3 * rng.normal(size=(crf_lines.N_FEATURES, 2)), rng.normal(size=(2, 2)))
+        labels, moves = crf_lines.hidden_labels(field, x, mask, text, good)
+        content = np.bincount(text, labels[:, :, 1].sum(axis=1)) / np.bincount(text, mask.sum(axis=1))
+        assert (content[good == 1] >= crf_lines.GOOD_CONTENT).all()
+        assert (content[good == 0] <= crf_lines.POOR_CONTENT).all()
+        assert labels.sum(axis=2) == pytest.approx(mask)
+        assert moves.sum(axis=(2, 3)) == pytest.approx(mask[:, 1:])
+
+
+def test_lines_get_labels_of_their_own(docs, labels):
+    field = crf_lines.learn(docs, labels)
+    known = docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()
+    held = [r for r in known if common.held_out(r.doc_id) and r.text]
+    rough = [line for r in held if not r.quality for line in r.text.split("\n") if line.split() and (
+        sum(map(line.count, crf_lines.SYMBOLS)) * 2 > len(line.split()) or line.isupper())]
+    rng = np.random.default_rng(8)
+    right = lines = 0
+    for r in held:
+        whole = [line for line in r.text.split("\n") if line.split()]
+        if r.quality and len(whole) > 3:
+            at, n = int(rng.integers(1, len(whole))), int(rng.integers(1, 4))
+            block = [rough[i] for i in rng.integers(0, len(rough), n)]
+            spliced = crf_lines.visible_lines("\n".join([*whole[:at], *block, *whole[at:]]))
+            want = [1] * at + [0] * n + [1] * (len(whole) - at)
+            right += sum(map(int.__eq__, field.labels(crf_lines.line_features(spliced)).tolist(), want))
+            lines += len(want)
+    assert lines > 300 and right >= 0.95 * lines
+    shares = [crf_lines.judge(r.text, field)[6] for r in known if not r.quality]
+    assert sum(0 < s < 1 for s in shares) >= 0.05 * len(shares)
+
+
 def test_quality_of_odd_rows(odd):
     field = crf_lines.Field()
     rows = crf_lines.judged(odd, field).collect()
