@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from leadloom.operators import conversations as CV
 from leadloom.plans.inputs import table, with_ctes
 from leadloom.plans.registry import query
+from leadloom.session import fresh_path
 from leadloom.streaming import conversations as SC, jobs
 
 # the given conversations are short, so the limits are small as well
@@ -129,6 +130,36 @@ def compaction_stream(spark, d):
         "new_summary_chars")
 
 
+# Sessions start at one of ten times; turns come 0, 60 or 120 minutes after they were said, so those
+# of a session arrive out of order, in files of 200 minutes each. The last two hours still wait.
+_SQL_SAID = _SQL_TURNS.replace(
+    "turns AS (SELECT", "said AS (SELECT conv_id % 10 * 100 + turn * 10 AS minute,", 1)
+_SQL_SETTLED = "turns AS (SELECT * FROM said WHERE minute < (SELECT max(minute) FROM said) - 120)"
+
+
+def _fed(spark, d) -> DataFrame:
+    minute = F.col("session_id").cast("long") % 10 * 100 + F.col("turn") * 10
+    delay = (F.col("session_id").cast("long") + F.col("turn") * 7) % 3 * 60
+    said = turns(spark, d).withColumns({
+        "timestamp": F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60),
+        "file": F.floor((minute + delay) / 200)})
+    path = fresh_path(spark, "feed")
+    for i in range(6):
+        said.filter(F.col("file") == i).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query("r06_compaction_event_time", _recursive(
+    _SQL_SAID, _SQL_SETTLED, _SQL_WALK, select=_SQL_EVENTS[_SQL_EVENTS.rindex("SELECT session_id"):]))
+def compaction_event_time(spark, d):
+    with jobs.rocksdb(spark):
+        out = jobs.drain(spark, SC.compact_by_time(_fed(spark, d), **_LIMITS, lateness="2 hours"),
+                         "compaction", "update")
+    return SC.rolling_summaries(out.filter("kind = 'compacted'"), ["batch", "turn"]).select(
+        "session_id", F.col("turn").alias("pos"), "turns_compacted", "summary_preview",
+        "new_summary_chars")
+
+
 @query("w07_context_with_summary", _recursive(
     _SQL_TURNS, _SQL_WALK, """ended AS (SELECT session_id, s, CASE WHEN s = '' THEN 0 ELSE
     greatest(1, (length(s) + 41) // 4) END AS taken

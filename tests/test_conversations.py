@@ -96,6 +96,69 @@ def test_stream_in_pieces_equals_batch(spark, tmp_path):
     assert got == {s: e for s, e in want.items() if e}
 
 
+def said(spark, tmp_path, files):
+    """A stream of files, one a batch; rows of (session, minute, turn, words)."""
+    schema = "session_id string, minute long, turn long, role string, content string"
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(s, m, t, "user", c) for s, m, t, c in rows], schema)
+        df.withColumn("timestamp", F.timestamp_seconds(F.col("minute") * 60 + 1_704_067_200)).coalesce(
+            1).write.parquet(str(tmp_path / f"said/{i}.parquet"))
+    return spark.readStream.schema(schema + ", timestamp timestamp").option(
+        "maxFilesPerTrigger", 1).parquet(str(tmp_path / "said/*.parquet"))
+
+
+def written(spark, stream, path):
+    q = jobs.start(stream, path, "update")
+    q.awaitTermination()
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out"), jobs.state_rows(q)
+
+
+def test_turns_out_of_order_give_the_batch_result(spark, tmp_path):
+    data = {s: ts[:30] for s, ts in sessions(11, 6).items()}
+    rows = [(s, 10 * i + 3 * k, i, c) for k, (s, ts) in enumerate(data.items())
+            for i, (_, c) in enumerate(ts)]
+    rnd = random.Random(2)
+    files = [[] for _ in range(5)]
+    for r in rows:  # up to 100 minutes behind
+        files[min(3, (r[1] + rnd.randint(0, 100)) // 100)].append(r)
+    for f in files:
+        rnd.shuffle(f)
+    files[4] = [("end", 10_000, 0, "w")]  # moves the watermark past all turns
+    with jobs.rocksdb(spark):
+        out, held = written(spark, SC.compact_by_time(
+            said(spark, tmp_path, files), 60, 8, 3, lateness="100 minutes", ttl_ms=3_600_000),
+            str(tmp_path / "o"))
+    got = {}
+    for r in SC.rolling_summaries(out.filter("kind = 'compacted'"), ["batch", "turn"]).orderBy(
+            "turn").collect():
+        got.setdefault(r.session_id, []).append((r.turn, r.summary_preview, r.new_summary_chars))
+    want = {s: compact_by_hand([("user", c) for _, c in ts], 60, 8, 3) for s, ts in data.items()}
+    assert got == {s: w[0] for s, w in want.items() if w[0]}
+    assert out.filter("kind = 'late'").count() == 0
+    # all sessions but the last have been quiet for an hour: told once, then forgotten
+    ends = {r.session_id: (r.turns_in_buffer, r.estimated_tokens)
+            for r in out.filter("kind = 'expired'").collect()}
+    assert ends == {s: w[1:3] for s, w in want.items()}
+    assert max(held) > held[-1]
+
+
+def test_turns_behind_the_watermark_come_out_as_late(spark, tmp_path):
+    word = "w" * 40
+    files = [[("a", 0, 0, word), ("a", 20, 2, word), (None, 5, 0, word)], [("b", 200, 0, word)],
+             [("b", 201, 1, None)], [("a", 10, 1, "lost. ever"), ("a", 210, 3, word)],
+             [("b", 500, 2, word), ("b", 499, 2, word)], [("b", 501, 3, word)]]
+    with jobs.rocksdb(spark):
+        out, held = written(spark, SC.compact_by_time(
+            said(spark, tmp_path, files), 25, 8, 3, lateness="30 minutes"), str(tmp_path / "o"))
+    rows = [(r.session_id, r.kind, r.turn, r.summary) for r in out.filter("kind <> 'state'").collect()]
+    assert sorted(rows, key=str) == [
+        ("a", "compacted", 3, f"user: {word}\nuser: {word}\nuser: {word}"),
+        ("a", "late", 1, "user: lost. ever")]
+    state = jobs.latest_rows(out.filter("kind = 'state'"), "session_id")
+    assert {r.session_id: (r.turn, r.turns_in_buffer) for r in state.collect()} == {
+        None: (0, 1), "a": (3, 0), "b": (1, 2)}
+
+
 @pytest.mark.parametrize("budget,kept", [(3, 1), (4, 2), (5, 2), (100, 3), (1, 0)])
 def test_context_budget(spark, budget, kept):
     df = spark.createDataFrame(

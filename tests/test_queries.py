@@ -15,7 +15,7 @@ PARITY = [
     "a02_merge_and_rank", "a22_query_report", "w05_expand_domains_wide", "x30_parse_queries",
     "x37_full_plan", "j07_directory_match", "j08_job_match", "w09_research_text",
     "j10_company_upsert", "j12_decision_maker_upsert", "j05_session_summary",
-    "j17_purge_sessions", "k02_leads_csv", "r06_compaction_events", "w07_context_with_summary",
+    "j17_purge_sessions", "k02_leads_csv", "r06_compaction_events", "r06_compaction_event_time", "w07_context_with_summary",
     "a14_event_metrics", "r09_stage_funnel_stream", "v01_model_scorer", "v04_contact_extractor",
 ]
 
