@@ -15,7 +15,7 @@ _SQL: dict[str, str] = {}
 MODULES = [
     "text_queries", "page_queries", "scoring_queries", "search_queries", "crawl_queries",
     "profile_queries", "match_queries", "company_queries", "store_queries",
-    "conversation_queries", "event_queries", "hook_queries",
+    "conversation_queries", "event_queries", "hook_queries", "run_queries",
 ]
 
 
