@@ -19,10 +19,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 100
                ) -> DataFrame:
-    """Stream over parquet files of one table; the schema is that of the files present."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """Stream over parquet files of one table; the schema is that of the files present.
+
+    What ``pattern`` names may be files or folders of files. It stands in braces, a glob even for a
+    plain name: a stream takes a path without one for a folder.
+    """
+    path = f"{folder.rstrip('/')}/{{{pattern}}}"
+    schema = spark.read.parquet(path).schema
+    return (spark.readStream.schema(schema)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
 class _Seen(StatefulProcessor):

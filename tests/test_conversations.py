@@ -175,3 +175,25 @@ def test_summarizer_failure_leaves_a_note(spark):
     df = spark.createDataFrame([("a\nb\nc",)], "t string")
     assert df.select(CV.safe_summarizer(bad)(F.col("t")).alias("s")).head().s == \
         "[3 turns summarized]"
+
+
+def test_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    made = spark.range(6).selectExpr("id % 2 AS conv_id", "id AS turn")
+    made.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    made.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "file/conversations.parquet")
+    for where in ("folder", "file"):
+        made.write.mode("overwrite").parquet(f"{tmp_path}/{where}/other.parquet")
+        for pattern in ("conversations.parquet", "conv*.parquet"):
+            stream = jobs.read_files(spark, f"{tmp_path}/{where}", pattern)
+            read = jobs.drain(spark, stream, "read")
+            assert sorted(r.turn for r in read.collect()) == list(range(6))
+
+
+def test_bounded_history_keeps_fifty_turns(spark, tmp_path):
+    from leadloom.plans.conversation_queries import bounded
+
+    spark.range(60).selectExpr("1 AS conv_id", "id AS turn", "'user' AS role", "'x' AS text").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    assert sorted(r.turn for r in bounded(spark, str(tmp_path)).collect()) == list(range(10, 60))
