@@ -145,7 +145,7 @@ def _fed(spark, d) -> DataFrame:
         "file": F.floor((minute + delay) / 200)})
     path = fresh_path(spark, "feed")
     for i in range(6):
-        said.filter(F.col("file") == i).coalesce(1).write.parquet(f"{path}/{i}")
+        said.filter(F.col("file") == i).repartition(1).write.parquet(f"{path}/{i}")
     return spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 

@@ -265,7 +265,8 @@ def _fed(spark, d) -> DataFrame:
     raw = raw.withColumn("file", F.least(F.lit(5), days + late))
     schema = as_pipeline_events(raw).schema
     for i in range(6):
-        as_pipeline_events(raw.filter(F.col("file") == i)).coalesce(1).write.parquet(f"{path}/{i}")
+        # all tasks read and parse; one writes the file of this arrival
+        as_pipeline_events(raw.filter(F.col("file") == i)).repartition(1).write.parquet(f"{path}/{i}")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 

@@ -171,57 +171,96 @@ def funnel_windows(events: DataFrame, window: str = "1 day", lateness: str = LAT
 
 
 class _Status(StatefulProcessor):
-    """The last status event of a session and what its finished run told; dropped when the session
-    was quiet for longer than its time to live."""
+    """Per bucket of sessions: the last status event of each kind of a session, and its newest time.
+    A session is dropped when it was quiet for longer than its time to live.
+
+    Buckets, because a call and its state cost the same for one session as for hundreds.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "newest long, rows string")
+        self._held = handle.getValueState("held", "sessions string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest, held = self._last.get() if self._last.exists() else (-1, "[]")
-        frames = [pd.DataFrame(json.loads(held), columns=_STATUS_EVENTS), *rows]
-        e = pd.concat([f[_STATUS_EVENTS] for f in frames if len(f)]).sort_values(
-            ["us", "event_type", "payload"], kind="stable")
-        e = e[~e.duplicated("event_type", keep="last")]
-        newest = max(newest, int(e["us"].max()))
-        self._last.update((newest, json.dumps(e.values.tolist())))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(newest // 1000 + self._ttl + 1)
-        yield pd.DataFrame({"session_id": key[0], **{c: e[c] for c in _STATUS_EVENTS},
-                            "expired": False})
+        sessions, touched = self._sessions(), set()
+        for frame in rows:
+            for session, *event in zip(*[frame[c].tolist() for c in ["session_id", *_STATUS_EVENTS]]):
+                us, kind, payload = event = [None if pd.isna(x) else x for x in event]
+                us = event[0] = None if us is None else int(us)
+                newest, last = sessions.get(session, (-1, {}))
+                held = last.get(kind)
+                if held is None or _place(held) <= _place(event):
+                    last[kind] = event
+                sessions[session] = (newest if us is None else max(newest, us), last)
+                touched.add(session)
+        self._keep(sessions)
+        yield _status_rows({s: sessions[s] for s in touched}, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        _, held = self._last.get()
-        self._last.clear()
-        e = pd.DataFrame(json.loads(held), columns=_STATUS_EVENTS)
-        yield pd.DataFrame({"session_id": key[0], **{c: e[c] for c in _STATUS_EVENTS},
-                            "expired": True})
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, fired)
+        sessions = self._sessions()
+        gone = {s: x for s, x in sessions.items() if self._ends(x[0]) <= passed}
+        # the timer that fired is deleted after this call; the one for the rest is another
+        self._keep({s: x for s, x in sessions.items() if s not in gone}, fired)
+        yield _status_rows(gone, True)
 
     def close(self) -> None:
         pass
 
+    def _ends(self, newest: int) -> int:
+        return newest // 1000 + self._ttl + 1
+
+    def _sessions(self) -> dict:
+        held = json.loads(self._held.get()[0]) if self._held.exists() else []
+        return {s: (newest, {e[1]: e for e in events}) for s, newest, events in held}
+
+    def _keep(self, sessions: dict, fired: int | None = None) -> None:
+        """Store the sessions, and one timer for the first of them to end."""
+        for timer in list(self._handle.listTimers()):
+            if timer != fired:
+                self._handle.deleteTimer(timer)
+        if not sessions:
+            self._held.clear()
+            return
+        self._held.update((json.dumps(
+            [[s, newest, list(last.values())] for s, (newest, last) in sessions.items()]),))
+        self._handle.registerTimer(self._ends(min(newest for newest, _ in sessions.values())))
+
+
+def _place(event: list) -> tuple:
+    """Order of a session's events of one kind; those without a time or payload come last."""
+    us, _, payload = event
+    return us is None, us or 0, payload is None, payload or ""
+
+
+def _status_rows(sessions: dict, expired: bool) -> pd.DataFrame:
+    return pd.DataFrame(
+        [(s, *e, expired) for s, (_, last) in sessions.items() for e in last.values()],
+        columns=["session_id", *_STATUS_EVENTS, "expired"], dtype=object)
+
 
 _STATUS_EVENTS = ["us", "event_type", "payload"]
 
 
 def session_states(events: DataFrame, ttl_seconds: int = 7 * 86_400,
-                   lateness: str = LATENESS) -> DataFrame:
+                   lateness: str = LATENESS, buckets: int = 256) -> DataFrame:
     """The events that decide a session's status: at most one of each kind per session.
 
     With each batch the sessions that it touched come out whole, so the newest batch of a session
     stands for it: ``status_of`` what was written is its status. A session that was quiet for
     ``ttl_seconds`` (the watermark tells) comes out a last time with ``expired`` and leaves the
-    state. Events that the watermark has passed do not count. Needs the RocksDB state store.
+    state. Events that the watermark has passed do not count. State is kept by bucket of sessions, and
+    ``buckets`` is not to change under a checkpoint. Needs the RocksDB state store.
     """
     slim = E.of_types(events, E.STATUS_EVENTS).select(
         "session_id", "timestamp", F.unix_micros("timestamp").alias("us"), "event_type",
-        "payload").withWatermark("timestamp", lateness)
-    return slim.groupBy("session_id").transformWithStateInPandas(
+        "payload", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    ).withWatermark("timestamp", lateness)
+    return slim.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Status(ttl_seconds * 1000),
         outputStructType="session_id string, us long, event_type string, payload string, "
                          "expired boolean",
