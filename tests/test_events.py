@@ -169,3 +169,16 @@ def test_quiet_sessions_leave_the_state(spark, tmp_path):
                    "e": ("running", 0, 0, None, False)}
     held = jobs.state_rows(q)
     assert max(held) > held[-1]
+
+
+def test_state_holds_buckets_of_sessions(spark, tmp_path):
+    batches = [[("SessionCreated", f"s{i}", i, {}) for i in range(40)],
+               [("PipelineStarted", f"s{i}", 50 + i, {}) for i in range(0, 40, 2)]]
+    with jobs.rocksdb(spark):
+        q = jobs.start(jobs.session_states(fed(spark, tmp_path, batches), buckets=4), str(tmp_path / "s"), "update")
+        q.awaitTermination()
+    path = str(tmp_path / "s/out")
+    got = {r.session_id: r.status
+           for r in jobs.status_of(spark.read.option("basePath", path).parquet(path)).collect()}
+    assert got == {f"s{i}": "created" if i % 2 else "running" for i in range(40)}
+    assert jobs.state_rows(q)[-1] < 40
