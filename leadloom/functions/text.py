@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions import lexicons as lx
@@ -168,6 +168,10 @@ def keyword_hits(text_lower: Column | str, lexicon: list[str] | Column,
     return bound(t, lambda x: F.filter(words, lambda k: F.contains(x, k)))
 
 
+#: Texts that a search turns into Python strings at once.
+_TEXTS = 256
+
+
 def bulk_keyword_hits(text_lower: Column, words: list[str]) -> Column:
     """``keyword_hits`` for large lexicons: one automaton pass per text, Arrow-batched.
 
@@ -175,17 +179,21 @@ def bulk_keyword_hits(text_lower: Column, words: list[str]) -> Column:
     """
     lexicon = sorted(set(words))
 
-    @F.pandas_udf("array<string>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for w in lexicon:
             automaton.add_word(w, w)
         automaton.make_automaton()
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else sorted(
-                {w for _, w in automaton.iter(t)} if lexicon else ()))
+        kind = pa.list_(pa.string())
+        for texts in batches:  # a batch's texts become Python strings a few at a time
+            found = [pa.array([None if t is None else sorted(
+                {w for _, w in automaton.iter(t)} if lexicon else ())
+                for t in texts.slice(at, _TEXTS).to_pylist()], kind)
+                for at in range(0, len(texts), _TEXTS)]
+            yield pa.concat_arrays(found) if found else pa.array([], kind)
 
     return scan(text_lower)
 
