@@ -162,3 +162,41 @@ def test_pages_are_read_once_for_any_number_of_profiles(spark):
         assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
         assert out.count() == 60 * icps.count()
     assert S.enrich(df, profiles(spark).limit(0), now(), 0.0).count() == 0
+
+
+def test_pairs_look_up_what_the_page_has_of_a_set(spark):
+    """Term sets are compared once for a page and a block, whatever profiles share them."""
+    base = profiles(spark)
+    sizes = F.array(F.lit(None).cast("string"), F.lit("startup"))
+    odd = base.filter("icp_id = 'tech'").withColumn("icp_id", F.lit("odd")).withColumn(
+        "target_company", F.col("target_company").withField("size", sizes))
+    icps = base.unionByName(base.withColumn("icp_id", F.concat("icp_id", F.lit("2")))).unionByName(odd)
+    rows = some_pages()
+    out = S.enrich(frame(spark, rows), icps, now(), 0.1).select("n", "icp_id", "composite")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    kept = [x for x in plan.splitlines() if " Filter " in x and "0.1)" in x]
+    assert kept and not any("array_intersect" in x or "arrays_overlap" in x for x in kept)
+    got = {(r.n, r.icp_id): r.composite for r in out.collect()}
+    people = {p.icp_id: p for p in base.collect()}
+    people |= {f"{k}2": p for k, p in people.items()} | {"odd": people["tech"]}
+    want = {(n, k): s for n, _, _, text, date in rows for k, p in people.items()
+            if (s := score_by_hand(text, date, p)) >= 0.1}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_first_leads_are_those_of_all_leads(spark):
+    """Ties, null places and profiles that come twice; details as without ``first``."""
+    rows = some_pages(90)
+    rows += [(100 + i, None, None, t, d) for i, (_, _, _, t, d) in enumerate(rows[:5])]
+    base = profiles(spark)
+    icps = base.unionByName(base.filter("icp_id = 'open'"))
+    tie = ["domain", "url", "n"]
+    for least in (lx.MIN_LEAD_SCORE, 0.0):
+        every = S.enrich(frame(spark, rows), icps, now(), least)
+        want = S.top_n(every, ["icp_id"], S.best_first(*tie), 7)
+        got = S.enrich(frame(spark, rows), icps, now(), least, first=7, tie=tie)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    slim = S.enrich(frame(spark, rows), icps.limit(0), now(), first=7, tie=tie)
+    assert slim.count() == 0
