@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leadloom import session
-from leadloom.llm.pretokens import PartCache, unsafe
+from leadloom.llm.pretokens import unsafe
 from leadloom.llm.token_counts import special_tokens, split_specials
 
 MAGIC = b"RPAIR002"
@@ -45,6 +45,8 @@ END_ID = 2
 SHARD_IDS = 2_000_000
 #: A pair that comes less often is left alone; 2 is plain Re-Pair.
 LEAST = 2
+#: Bytes of text that are cut and looked up together; a longer text by itself.
+TOGETHER = 4 << 20
 #: A round of fewer rules is the last at its count; what it leaves is replaced at lower counts.
 FEW = 1_000
 #: Pairs of a round come at least this part of the greatest count.
@@ -52,12 +54,47 @@ STEP = 4
 _HASH_BITS = 18
 
 
+def _classes() -> bytes:
+    table = bytearray(256)
+    for b in range(0x21, 0x7F):
+        table[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    table[ord("'")] = _QUOTE
+    for b in b"\t\n\v\f\r ":
+        table[b] = _SPACE
+    return bytes(table)
+
+
+#: Kinds of bytes; 0 for those of which a single byte says too little. From ``_QUOTE`` on visible.
+_SPACE, _QUOTE, _DIGIT, _MARK, _LETTER = 1, 2, 3, 4, 5
+_CLASSES = _classes()
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places of UTF-8 text where a piece of the byte-level pattern ends whatever stands around.
+
+    These lie before white space that follows a visible character, between a letter and a mark
+    (but the quote), and between a letter and the line break before it if it stands alone.
+    """
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_CLASSES)), "u1")
+    # U+00C0 to U+00FF: letters but for two signs.
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    sign = (data[second] == 0x97) | (data[second] == 0xB7)
+    kind[second] = np.where(sign, _QUOTE, _LETTER)
+    left, right = kind[:-1], kind[1:]
+    cut = (left >= _QUOTE) & (right == _SPACE)
+    line = np.flatnonzero((data[1:-1] == 10) & cut[:-1]) + 1
+    cut |= (left == _LETTER) & (right == _MARK)
+    cut[line[right[line] == _LETTER]] = True
+    return cut
+
+
 class Encoder:
     """Ids of texts with one byte-level vocabulary file; each different part is encoded once.
 
-    The parts of a text that are new go to the library as one string. Each starts with a space and
-    ends with a visible character, so no token spans two of them, and the bytes of the tokens say
-    where a part ends.
+    Texts are cut where the pattern always ends a piece, see ``_cuts``. Arrow numbers the different
+    parts of many texts, and those that are new go to the library. Parts that start with a space
+    and end with a visible character go as one string: no token spans two of them, and the bytes of
+    the tokens say where a part ends.
     """
 
     def __init__(self, path: str):
@@ -70,54 +107,103 @@ class Encoder:
         self.specials = {s: self.library.token_to_id(s) for s in special_tokens(path)}
         small = self.library.get_vocab_size() < 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self.parts = PartCache(self._part, None)
+        self.parts = Parts()
         # A byte-level token is written with one character for each of its bytes.
         self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.n_bytes[i] = len(token)
         self.joins = not any(" " in s for s in self.specials)
 
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, dtype=self.dtype)
-
-    def _part(self, part: str) -> bytes:
-        return self._ids(part).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Fill the cache with different parts that start and end with visible characters."""
-        ids = self._ids(" " + " ".join(new))
-        raw = ids.tobytes()
-        sizes = np.array([1 + (len(p) if p.isascii() else len(p.encode())) for p in new])
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
-        ends = (ends * self.dtype.itemsize).tolist()
-        self.parts.put(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
-
-    def _plain(self, text: str) -> list[bytes]:
-        """Ids of a text without special strings."""
-        head, *rest = text.split(" ")
-        if not self.joins or unsafe(head):
-            return self.parts.values_of(text)
-        got = list(map(self.parts.get, rest))
-        if None in got:
-            at = [i for i, g in enumerate(got) if g is None]
-            new = [p for p in dict.fromkeys([rest[i] for i in at]) if not unsafe(p)]
-            if new:
-                self._learn(new)
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, dtype=self.dtype) for f in found]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of different parts."""
+        texts = [p.decode() for p in new]
+        join = [self.joins and t[0] == " " and not unsafe(t[1:]) for t in texts]
+        alone = [i for i, j in enumerate(join) if not j]
+        found = {new[i]: x.tobytes() for i, x in zip(alone, self._library([texts[i] for i in alone]))}
+        if len(alone) < len(new):
+            ids, = self._library(["".join(t for t, j in zip(texts, join) if j)])
+            joined = [p for p, j in zip(new, join) if j]
+            sizes = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), sizes) + 1
+            ends, raw = (ends * self.dtype.itemsize).tolist(), ids.tobytes()
+            found.update(zip(joined, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        return found
+
+    def _plain(self, offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts without special strings, as offsets into their bytes."""
+        if not len(data):
+            return [np.empty(0, self.dtype)] * (len(offsets) - 1)
+        cut = np.append(_cuts(data), True)
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        cut[inner - 1] = True
+        ends = np.append(0, np.flatnonzero(cut) + 1)
+        parts = pa.Array.from_buffers(
+            pa.large_binary(), len(ends) - 1,
+            [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(data)]).dictionary_encode()
+        places, stops = parts.indices.to_numpy(), np.frombuffer(parts.dictionary.buffers()[1], "<i8")
+        raw = parts.dictionary.buffers()[2].to_pybytes()
+        stops = stops[:len(parts.dictionary) + 1].tolist()
+        keys = [raw[a:b] for a, b in zip(stops, stops[1:])]
+        values = list(map(self.parts.get, keys))
+        at = [i for i, v in enumerate(values) if v is None]
+        if at:
+            found = self._learn([keys[i] for i in at])
             for i in at:
-                got[i] = self.parts[rest[i]]
-            if None in got:
-                return self.parts.values_of(text)
-        return [self.parts.first(head), *got]
+                values[i] = found[keys[i]]
+            self.parts.put(found)
+        n = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        # Where the ids of a place's part lie among those of all parts, less where they go.
+        size = n[places]
+        to = np.append(0, np.cumsum(size))
+        shift = (np.cumsum(n) - n)[places] - to[:-1]
+        ids = np.frombuffer(b"".join(values), self.dtype)[np.repeat(shift, size) + np.arange(to[-1])]
+        stops = to[np.searchsorted(ends, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string array, null as empty; ``TOGETHER`` bytes of text at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset:][:len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", "u1")
+        a = 0
+        while a < len(texts):
+            b = int(np.searchsorted(offsets, offsets[a] + TOGETHER, "right")) - 1
+            b = min(max(b, a + 1), len(texts))
+            some = data[offsets[a]:offsets[b]]
+            if any(s.encode() in some.tobytes() for s in self.specials):
+                yield from map(self._with_specials, texts[a:b].cast(pa.large_string()).to_pylist())
+            else:
+                yield from self._plain(offsets[a:b + 1] - offsets[a], some)
+            a = b
 
-    def encode(self, text: str) -> np.ndarray:
+    def _with_specials(self, text: str) -> np.ndarray:
         out = []
         for t in split_specials(text, list(self.specials)):
             if t in self.specials:
-                out.append(np.array([self.specials[t]], self.dtype).tobytes())
+                out.append(np.array([self.specials[t]], self.dtype))
             else:
-                out += self._plain(t)
-        return np.frombuffer(b"".join(out), self.dtype)
+                raw = np.frombuffer(t.encode(), "u1")
+                out += self._plain(np.array([0, len(raw)]), raw)
+        return np.concatenate(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        found, = self.encode_all(pa.array([text], pa.string()))
+        return found
+
+
+class Parts(dict):
+    """Ids of parts. Holds ``limit`` parts or those of one call: when full it starts again."""
+
+    limit = 1_000_000
+
+    def put(self, found: dict[bytes, bytes]) -> None:
+        if len(self) + len(found) > self.limit:
+            self.clear()
+        self.update(found)
 
 
 @cache
@@ -180,11 +266,7 @@ def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
         left, right = symbols[at], symbols[after[at]]
         even = _even_in_run(at, after, left == right)
         at = at[even]
-        keys = left[even].astype(np.uint64) << np.uint64(32) | right[even]
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
-        pairs, n = keys[starts], np.diff(starts, append=len(keys))
+        pairs, n, order = _grouped(left[even], right[even])
         new = _choose(pairs, n, floor, len(length))
         uncounted(at[order[np.repeat(n < least, n)]])
         chosen = np.flatnonzero(new)
@@ -198,10 +280,13 @@ def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
         made = np.stack([a, b, length[a] + length[b]], axis=1).astype(np.uint32)
         rules.append(made)
         length = np.concatenate([length, made[:, 2]])
-        symbol = np.repeat(new, n)
-        hit = at[order[symbol > 0]]
+        # In the order of the places: their neighbours lie beside them.
+        symbol = np.empty(len(at), np.uint32)
+        symbol[order] = np.repeat(new, n)
+        found = np.flatnonzero(symbol)
+        hit = at[found]
         gone = after[hit]
-        symbols[hit] = symbol[symbol > 0]
+        symbols[hit] = symbol[found]
         alive[gone] = False
         after[hit] = after[gone]
         before[after[hit]] = hit
@@ -225,6 +310,27 @@ def _even_in_run(at: np.ndarray, after: np.ndarray, same: np.ndarray) -> np.ndar
     return keep
 
 
+def _grouped(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, how often each comes, and the places in the order of their pairs."""
+    size, width = len(left), int(right.max(initial=0)).bit_length()
+    low = size.bit_length()
+    if int(left.max(initial=0)).bit_length() + width + low <= 64:
+        # Pair and place in one number: numbers sort faster than their places.
+        both = (left.astype(np.uint64) << np.uint64(width) | right) << np.uint64(low)
+        both |= np.arange(size, dtype=np.uint64)
+        both.sort()
+        order = (both & np.uint64((1 << low) - 1)).view(np.int64)
+        keys = both >> np.uint64(low)
+    else:
+        keys = left.astype(np.uint64) << np.uint64(width) | right
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:size])
+    found = keys[starts]
+    pairs = found >> np.uint64(width) << np.uint64(32) | found & np.uint64((1 << width) - 1)
+    return pairs, np.diff(starts, append=size), order
+
+
 def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarray:
     """New symbols from ``top`` on for pairs that come ``floor`` times, most frequent first; else 0.
 
@@ -234,13 +340,12 @@ def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarra
     new = np.zeros(len(pairs), np.uint32)
     able = np.flatnonzero(n >= floor)
     able = able[np.argsort(-n[able], kind="stable")]
-    side, chosen = bytearray(top), []
+    on_left, on_right, chosen = bytearray(top), bytearray(top), []
     lefts = (pairs[able] >> np.uint64(32)).tolist()
     rights = (pairs[able] & np.uint64(0xFFFFFFFF)).tolist()
     for i, a, b in zip(able.tolist(), lefts, rights):
-        if not side[a] & 2 and not side[b] & 1:
-            side[a] |= 1
-            side[b] |= 2
+        if not on_right[a] and not on_left[b]:
+            on_left[a] = on_right[b] = 1
             chosen.append(i)
     new[np.sort(np.array(chosen, np.int64))] = np.arange(top, top + len(chosen))
     return new
@@ -401,9 +506,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
         store.create_dir(base, recursive=True)
         end = np.array([end_id], own.dtype)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(),
-                                    batch.column("text").to_pylist()):
-                got = np.concatenate([own.encode(text or ""), end])
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(),
+                                   own.encode_all(batch.column("text"))):
+                got = np.concatenate([got, end])
                 doc_ids.append(doc_id)
                 ids.append(got)
                 held += len(got)

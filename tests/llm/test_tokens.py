@@ -105,6 +105,50 @@ def test_merges_equal_repeated_lowest_rank_merging():
         assert token_counts.count_merges(symbols, merges) == n
 
 
+def test_texts_encoded_together_equal_whole_texts(library, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    letters = [*"aBz09  \n\n\t\r'.,-$éÉß×÷\x85\xa0\u200a\u3000日\x1c\x00ªñā\u0301²", "'s", "<|endoftext|>", "<|endo"]
+    for k in range(60):
+        own = repair.Encoder(JSON)
+        some = ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(40)] + [None, ""]
+        own.parts.limit = rng.choice([5, 1_000_000])
+        monkeypatch.setattr(repair, "TOGETHER", rng.choice([1, 60, 1 << 20]))
+        column = pa.array(["cut off", *some], pa.large_string() if k % 2 else pa.string()).slice(1)
+        for t, ids in zip(some, own.encode_all(column), strict=True):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_the_library_gets_words_without_marks_and_line_breaks(library):
+    class Counted:
+        def __init__(self):
+            self.chars = 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.chars += sum(map(len, texts))
+            return library.encode_batch_fast(texts, **more)
+
+    own, rng = repair.Encoder(JSON), random.Random(9)
+    own.library = Counted()
+    words = ["".join(rng.choice("abdéßt") for _ in range(12)) for _ in range(200)]
+    for w in words:
+        text = f"{w}, {w}. {w}; {w}\n{w}: {w}"
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.library.chars < 2.5 * sum(map(len, words))
+
+
+def test_pairs_grouped_by_one_sort_or_by_places():
+    rng = np.random.default_rng(6)
+    for top in (1, 2, 300, 1 << 17, 1 << 32):
+        for size in (0, 1, 500):
+            left, right = (rng.integers(0, top, size, np.uint64).astype(np.uint32) // 7 * 7 for _ in range(2))
+            pairs, n, order = repair._grouped(left, right)
+            plain = left.astype(np.uint64) << np.uint64(32) | right
+            assert [x.tolist() for x in np.unique(plain, return_counts=True)] == [pairs.tolist(), n.tolist()]
+            assert order.tolist() == np.argsort(plain, kind="stable").tolist()
+
+
 def test_shards_round_trip(docs, library, tmp_path):
     folder = f"file://{tmp_path}/shards"
     shards = repair.write(docs, JSON, folder, shard_ids=700).cache()
