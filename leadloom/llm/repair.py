@@ -6,11 +6,13 @@ rules (left, right, and the number of ids a symbol stands for), the symbols, and
 symbols of each document, so that one document is decoded without the others. The end id closes
 each document and is part of no rule, so no symbol reaches into the next document.
 
-Rounds go on until no pair comes twice in the shard. Places of the shard are linked, and hash
-buckets count their pairs; a replacement touches the counts of its neighbours only. A round counts
-the pairs of the fullest buckets exactly and replaces those of at least a quarter of the greatest count
-at once; pairs of a round share no symbol between a left and a right place, so replacements never
-overlap. A run of one symbol is replaced left to right.
+Rounds go on until no pair comes twice in the shard. Places of the shard are linked, and each keeps
+how often its pair comes at most, by hash buckets or counted exactly. Rounds replace pairs that come
+at least a quarter of the greatest count, until few are left; then that floor falls, and only then
+all places are looked at again. In between a round counts exactly the pairs left over by the one
+before and those with its new symbols, as no other pair gains places. Pairs of a round share no
+symbol between a left and a right place, so replacements never overlap. A run of one symbol is
+replaced left to right.
 
 A file: 8 bytes ``RPAIR002``; seven unsigned 64-bit numbers (documents, ids, symbols, rules, first
 rule's symbol, end id, different ids); then packed columns: different ids of the shard (steps); document ids
@@ -27,8 +29,9 @@ order of their texts; rows without an id come first.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,10 @@ FEW = 1_000
 #: Pairs of a round come at least this part of the greatest count.
 STEP = 4
 _HASH_BITS = 18
+#: Places keep counts up to this.
+_MOST = (1 << 16) - 1
+#: In place of a new symbol: the pair is frequent but not chosen in this round.
+_WAITS = (1 << 32) - 1
 
 
 def _classes() -> bytes:
@@ -107,31 +114,33 @@ class Encoder:
         self.specials = {s: self.library.token_to_id(s) for s in special_tokens(path)}
         small = self.library.get_vocab_size() < 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self.parts = Parts()
+        self.parts = Parts(self.dtype)
         # A byte-level token is written with one character for each of its bytes.
         self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.n_bytes[i] = len(token)
         self.joins = not any(" " in s for s in self.specials)
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, dtype=self.dtype) for f in found]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has."""
+        found = [f.ids for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(n.sum())), n
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of different parts."""
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different parts and how many each has; the parts come in the order of ``new``."""
         texts = [p.decode() for p in new]
-        join = [self.joins and t[0] == " " and not unsafe(t[1:]) for t in texts]
-        alone = [i for i, j in enumerate(join) if not j]
-        found = {new[i]: x.tobytes() for i, x in zip(alone, self._library([texts[i] for i in alone]))}
+        join = np.array([self.joins and t[0] == " " and not unsafe(t[1:]) for t in texts], bool)
+        alone = np.flatnonzero(~join)
+        ids, n = self._library([texts[i] for i in alone])
         if len(alone) < len(new):
-            ids, = self._library(["".join(t for t, j in zip(texts, join) if j)])
-            joined = [p for p, j in zip(new, join) if j]
-            sizes = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), sizes) + 1
-            ends, raw = (ends * self.dtype.itemsize).tolist(), ids.tobytes()
-            found.update(zip(joined, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        return found
+            joined, _ = self._library(["".join(t for t, j in zip(texts, join) if j)])
+            sizes = np.fromiter(map(len, new), np.int64, len(new))[join]
+            ends = np.searchsorted(np.cumsum(self.n_bytes[joined]), np.cumsum(sizes)) + 1
+            ids, n = np.concatenate([ids, joined]), np.append(n, np.diff(ends, prepend=0))
+            order = np.argsort(np.append(alone, np.flatnonzero(join)))
+            ids, n = _taken(ids, (np.cumsum(n) - n)[order], n[order]), n[order]
+        return ids, n
 
     def _plain(self, offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
         """Ids of texts without special strings, as offsets into their bytes."""
@@ -147,20 +156,9 @@ class Encoder:
         places, stops = parts.indices.to_numpy(), np.frombuffer(parts.dictionary.buffers()[1], "<i8")
         raw = parts.dictionary.buffers()[2].to_pybytes()
         stops = stops[:len(parts.dictionary) + 1].tolist()
-        keys = [raw[a:b] for a, b in zip(stops, stops[1:])]
-        values = list(map(self.parts.get, keys))
-        at = [i for i, v in enumerate(values) if v is None]
-        if at:
-            found = self._learn([keys[i] for i in at])
-            for i in at:
-                values[i] = found[keys[i]]
-            self.parts.put(found)
-        n = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        # Where the ids of a place's part lie among those of all parts, less where they go.
-        size = n[places]
-        to = np.append(0, np.cumsum(size))
-        shift = (np.cumsum(n) - n)[places] - to[:-1]
-        ids = np.frombuffer(b"".join(values), self.dtype)[np.repeat(shift, size) + np.arange(to[-1])]
+        known = self.parts.places([raw[a:b] for a, b in zip(stops, stops[1:])], self._learn)[places]
+        start, size = self.parts.ends[known], np.diff(self.parts.ends)[known]
+        ids, to = _taken(self.parts.ids, start, size), np.append(0, np.cumsum(size))
         stops = to[np.searchsorted(ends, offsets)].tolist()
         return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
@@ -195,15 +193,44 @@ class Encoder:
         return found
 
 
+def _taken(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``size`` values from ``start`` on, one after another."""
+    to = np.cumsum(size)
+    return values[np.repeat(start - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+
+
 class Parts(dict):
-    """Ids of parts. Holds ``limit`` parts or those of one call: when full it starts again."""
+    """The number of each known part, and the ids of all in one array.
+
+    Holds ``limit`` parts or those of one call: when full it starts again with those of the call.
+    """
 
     limit = 1_000_000
 
-    def put(self, found: dict[bytes, bytes]) -> None:
-        if len(self) + len(found) > self.limit:
+    def __init__(self, dtype: np.dtype):
+        super().__init__()
+        self.ids, self.ends = np.empty(0, dtype), np.zeros(1, np.int64)
+
+    def places(self, keys: list[bytes], learn: Callable) -> np.ndarray:
+        """The numbers of different parts; ``learn`` gives ids and sizes of those not known."""
+        found = list(map(self.get, keys))
+        new = [k for k, i in zip(keys, found) if i is None]
+        if new and len(self) + len(new) > self.limit:
+            old = [k for k, i in zip(keys, found) if i is not None]
+            kept = np.array([i for i in found if i is not None], np.int64)
+            size = np.diff(self.ends)[kept]
+            self.ids, self.ends = _taken(self.ids, self.ends[kept], size), np.append(0, np.cumsum(size))
             self.clear()
-        self.update(found)
+            self.update(zip(old, range(len(old))))
+            found = list(map(self.get, keys))
+        if new:
+            ids, n = learn(new)
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(n))
+            fresh = iter(range(len(self) - len(new), len(self)))
+            found = [next(fresh) if i is None else i for i in found]
+        return np.array(found, np.int64)
 
 
 @cache
@@ -216,6 +243,12 @@ def _bucket_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed >> np.uint32(32 - _HASH_BITS)
 
 
+def _bucket_sizes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair how many of all come to its hash bucket."""
+    bucket = _bucket_of(left, right)
+    return np.bincount(bucket, minlength=1 << _HASH_BITS)[bucket]
+
+
 def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
              ) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right, length) of a run of ids below ``first``.
@@ -228,72 +261,63 @@ def compress(ids: np.ndarray, end_id: int, first: int, least: int = LEAST
     symbols = np.append(ids.astype(np.uint32), np.uint32(end_id))
     after, before = np.arange(1, size + 2, dtype=place), np.arange(-1, size, dtype=place)
     alive = np.ones(size, bool)
-    # Places whose pair may still come ``least`` times. Only pairs with a new symbol gain places.
-    may = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
-    at = np.flatnonzero(may)
-    bucket = np.zeros(size, np.uint32)
-    bucket[at] = _bucket_of(symbols[at], symbols[at + 1])
-    counts = np.bincount(bucket[at], minlength=1 << _HASH_BITS)
-
-    def uncounted(*groups: np.ndarray) -> None:
-        """Places that are no places of pairs any more."""
-        lost = []
-        for places in groups:
-            lost.append(bucket[places[may[places]]])
-            may[places] = False
-        np.subtract(counts, np.bincount(np.concatenate(lost), minlength=len(counts)), out=counts)
-
-    def counted(*groups: np.ndarray) -> None:
-        """Places with new pairs; those beside an end id hold none."""
-        found = []
-        for places in groups:
-            left, right = symbols[places], symbols[after[places]]
-            free = ~may[places] & (left != end_id) & (right != end_id)
-            places = places[free]
-            may[places] = True
-            found.append(_bucket_of(left[free], right[free]))
-            bucket[places] = found[-1]
-        np.add(counts, np.bincount(np.concatenate(found), minlength=len(counts)), out=counts)
-
+    # How often a place's pair comes at most, up to ``_MOST``; 0 beside an end id. Only pairs with a
+    # new symbol gain places, all in the round that makes it.
+    most = np.zeros(size + 1, np.uint16)
+    at = np.flatnonzero((symbols[:-1] != end_id) & (symbols[1:] != end_id))
+    most[at] = np.minimum(_bucket_sizes(symbols[at], symbols[at + 1]), _MOST)
     rules, length, floor = [], np.ones(first, np.uint32), size
-    while len(at := np.flatnonzero(may)):
+    while floor > least:
+        floor = max(least, min(floor, int(most.max())) // STEP)
+        at = np.flatnonzero(most >= floor)
         # What a bucket holds is no less than what each of its pairs holds.
-        floor = max(least, min(floor, int(counts.max()) // STEP))
-        level = (counts >= least).view("u1") + (counts >= floor).view("u1")
-        found = level[bucket[at]]
-        alone, at = at[found == 0], at[found == 2]
-        may[alone], counts[bucket[alone]] = False, 0
-        left, right = symbols[at], symbols[after[at]]
-        even = _even_in_run(at, after, left == right)
-        at = at[even]
-        pairs, n, order = _grouped(left[even], right[even])
-        new = _choose(pairs, n, floor, len(length))
-        uncounted(at[order[np.repeat(n < least, n)]])
-        chosen = np.flatnonzero(new)
-        if not len(chosen) and floor == least:
-            break
-        if len(chosen) < FEW:
-            floor = max(least, floor // STEP)
-        if not len(chosen):
-            continue
-        a, b = pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)
-        made = np.stack([a, b, length[a] + length[b]], axis=1).astype(np.uint32)
-        rules.append(made)
-        length = np.concatenate([length, made[:, 2]])
-        # In the order of the places: their neighbours lie beside them.
-        symbol = np.empty(len(at), np.uint32)
-        symbol[order] = np.repeat(new, n)
-        found = np.flatnonzero(symbol)
-        hit = at[found]
-        gone = after[hit]
-        symbols[hit] = symbol[found]
-        alive[gone] = False
-        after[hit] = after[gone]
-        before[after[hit]] = hit
-        left_of = before[hit]
-        left_of = left_of[left_of >= 0]
-        uncounted(hit, gone, left_of)
-        counted(hit, left_of)
+        held = _bucket_sizes(symbols[at], symbols[after[at]])
+        most[at] = np.minimum(held, _MOST)
+        at = at[held >= floor]
+        while len(at):
+            left, right, top = symbols[at], symbols[after[at]], len(length)
+            even = _even_in_run(at, after, left == right)
+            odd, at = at[~even], at[even]
+            pairs, n, order = _grouped(left[even], right[even])
+            new = _choose(pairs, n, floor, top)
+            chosen = np.flatnonzero(new)
+            a, b = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+            # Runs stay as they are, for the places between.
+            rare = (n < floor) & (a != b)
+            most[at[order[np.repeat(rare, n)]]] = np.repeat(np.minimum(n[rare], _MOST), n[rare])
+            a, b = a[chosen], b[chosen]
+            made = np.stack([a, b, length[a] + length[b]], axis=1).astype(np.uint32)
+            rules.append(made)
+            length = np.concatenate([length, made[:, 2]])
+            new[(n >= floor) & (new == 0)] = _WAITS
+            # In the order of the places: their neighbours lie beside them.
+            symbol = np.empty(len(at), np.uint32)
+            symbol[order] = np.repeat(new, n)
+            rest = np.concatenate([at[symbol == _WAITS], odd])
+            found = np.flatnonzero((symbol > 0) & (symbol < _WAITS))
+            hit, symbol = at[found], symbol[found]
+            gone = after[hit]
+            right_of = after[gone]
+            symbols[hit] = symbol
+            alive[gone] = False
+            after[hit] = right_of
+            before[right_of] = hit
+            left_of = before[hit]
+            most[hit] = most[gone] = most[left_of] = 0
+            rest = rest[most[rest] > 0]
+            # All places of pairs with a new symbol, those of two new symbols once.
+            left = symbols[left_of]
+            old = left < top
+            fresh = np.concatenate([hit, left_of[old]])
+            left = np.concatenate([symbol, left[old]])
+            right = np.concatenate([symbols[right_of], symbol[old]])
+            free = (left != end_id) & (right != end_id)
+            fresh = fresh[free]
+            held = _bucket_sizes(left[free], right[free])
+            most[fresh] = np.minimum(held, _MOST)
+            if len(chosen) < (1 if floor == least else FEW):
+                break
+            at = np.sort(np.concatenate([rest, fresh[held >= floor]]))
     return symbols[:-1][alive], np.concatenate([np.empty((0, 3), np.uint32), *rules])
 
 
@@ -334,20 +358,31 @@ def _grouped(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _choose(pairs: np.ndarray, n: np.ndarray, floor: int, top: int) -> np.ndarray:
     """New symbols from ``top`` on for pairs that come ``floor`` times, most frequent first; else 0.
 
-    New symbols go by the order of ``pairs``. No symbol is both a left and a right one, except in a pair of its own, so places of chosen
-    pairs never overlap.
+    New symbols go by the order of ``pairs``. No symbol is both a left and a right one, except in a
+    pair of its own, so places of chosen pairs never overlap.
     """
-    new = np.zeros(len(pairs), np.uint32)
     able = np.flatnonzero(n >= floor)
     able = able[np.argsort(-n[able], kind="stable")]
-    on_left, on_right, chosen = bytearray(top), bytearray(top), []
-    lefts = (pairs[able] >> np.uint64(32)).tolist()
-    rights = (pairs[able] & np.uint64(0xFFFFFFFF)).tolist()
-    for i, a, b in zip(able.tolist(), lefts, rights):
+    lefts = (pairs[able] >> np.uint64(32)).astype(np.int64)
+    rights = (pairs[able] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    on_left, on_right, chosen = np.zeros(top, bool), np.zeros(top, bool), np.zeros(len(able), bool)
+    none, rank = len(able), np.arange(len(able))
+    # Pairs that no open pair before them stands against, all at once; what is left, one by one.
+    for _ in range(6):
+        a, b = lefts[rank], rights[rank]
+        first_left, first_right = np.full(top, none), np.full(top, none)
+        np.minimum.at(first_left, a, rank)
+        np.minimum.at(first_right, b, rank)
+        free = (first_right[a] >= rank) & (first_left[b] >= rank)
+        chosen[rank[free]] = on_left[a[free]] = on_right[b[free]] = True
+        rank = rank[~(free | on_right[a] | on_left[b])]
+    on_left, on_right = bytearray(on_left), bytearray(on_right)
+    for i, a, b in zip(rank.tolist(), lefts[rank].tolist(), rights[rank].tolist()):
         if not on_right[a] and not on_left[b]:
             on_left[a] = on_right[b] = 1
-            chosen.append(i)
-    new[np.sort(np.array(chosen, np.int64))] = np.arange(top, top + len(chosen))
+            chosen[i] = True
+    new = np.zeros(len(pairs), np.uint32)
+    new[np.sort(able[chosen])] = np.arange(top, top + np.count_nonzero(chosen))
     return new
 
 

@@ -138,6 +138,26 @@ def test_the_library_gets_words_without_marks_and_line_breaks(library):
     assert own.library.chars < 2.5 * sum(map(len, words))
 
 
+def test_a_full_cache_starts_again_with_all_parts_of_the_call(library):
+    class Counted:
+        def __init__(self):
+            self.chars = 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.chars += sum(map(len, texts))
+            return library.encode_batch_fast(texts, **more)
+
+    own, rng = repair.Encoder(JSON), random.Random(10)
+    own.library, own.parts.limit = Counted(), 250
+    words = ["".join(rng.choice("abdéßt") for _ in range(12)) for _ in range(300)]
+    first, text = " ".join(words[:200]), " ".join(words[100:])
+    for t in (first, text):
+        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    before = own.library.chars
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.library.chars == before and len(own.parts) <= 250
+
+
 def test_pairs_grouped_by_one_sort_or_by_places():
     rng = np.random.default_rng(6)
     for top in (1, 2, 300, 1 << 17, 1 << 32):
@@ -203,6 +223,37 @@ def test_no_pair_is_left_that_comes_twice():
     assert len(repair.compress(many, 2, 50_257)[1]) > 4_096
 
 
+def test_all_places_of_a_shard_are_looked_at_only_when_the_floor_falls(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [rng.integers(3, 5_000, rng.integers(1, 6)) for _ in range(3_000)]
+    often = 1 / np.arange(1, len(words) + 1)
+    ids = np.concatenate([words[i] for i in rng.choice(len(words), 66_000, p=often / often.sum())]).astype("<u2")
+    looked, plain = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda a: looked.append(len(a)) or plain(a))
+    symbols, rules = repair.compress(ids, 2, 50_257)
+    monkeypatch.undo()
+    assert (repair.expand(symbols, rules, 50_257) == ids).all()
+    assert sum(looked) < 16 * len(ids)
+
+
+def test_pairs_are_chosen_as_one_after_the_other():
+    rng = np.random.default_rng(12)
+    for top in (1, 2, 5, 40, 900):
+        for size in (0, 1, 30, 2_000):
+            pairs = np.unique(rng.integers(0, top, size) << 32 | rng.integers(0, top, size)).astype(np.uint64)
+            if top == 900 and size == 30:  # a chain, each pair against the next
+                pairs = (np.arange(800) << 32 | np.arange(1, 801)).astype(np.uint64)
+            n = np.sort(rng.integers(1, 900, len(pairs)))[::-1] if top == 900 else rng.integers(1, 9, len(pairs))
+            lefts, rights, chosen = set(), set(), []
+            for i in sorted(range(len(pairs)), key=lambda i: -n[i]):
+                a, b = divmod(int(pairs[i]), 1 << 32)
+                if n[i] >= 3 and a not in rights and b not in lefts:
+                    lefts.add(a), rights.add(b), chosen.append(i)
+            new = repair._choose(pairs, n, 3, top)
+            assert np.flatnonzero(new).tolist() == sorted(chosen)
+            assert new[new > 0].tolist() == list(range(top, top + len(chosen)))
+
+
 def test_packed_columns():
     rng = np.random.default_rng(4)
     for bits in (0, 1, 7, 8, 17, 32, 33, 63, 64):
