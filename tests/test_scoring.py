@@ -3,6 +3,7 @@ import random
 from leadloom.functions import lexicons as lx
 from leadloom.operators import discovery as D, scoring as S
 from leadloom.plans.inputs import profiles
+from leadloom.session import fresh_path
 from pyspark.sql import functions as F
 
 def now():
@@ -200,3 +201,17 @@ def test_first_leads_are_those_of_all_leads(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     slim = S.enrich(frame(spark, rows), icps.limit(0), now(), first=7, tie=tie)
     assert slim.count() == 0
+
+
+def test_dealt_profiles_are_never_broadcast(spark):
+    """However small Spark takes them to be: it goes by files, not by packed and copied blocks."""
+    path = fresh_path(spark, "profiles")
+    S.profile_terms(profiles(spark)).write.parquet(path)
+    icps = spark.read.parquet(path)
+    facts = S._facts(S.page_signals(frame(spark, some_pages()), S.dictionary(icps)), [], now())
+    dealt = S._met(facts, icps, 3, 1 << 40, 1, 0)
+    join = [x for x in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(join) == 1 and "SortMergeJoin" in join[0]
+    both = [sorted((r.n, r.p.icp_id) for r in met.select("n", "p").collect())
+            for met in (dealt, S._met(facts, icps, 3, 0, 1, 1))]
+    assert both[0] == both[1] and len(both[0]) == 60 * 3
