@@ -215,3 +215,17 @@ def test_dealt_profiles_are_never_broadcast(spark):
     both = [sorted((r.n, r.p.icp_id) for r in met.select("n", "p").collect())
             for met in (dealt, S._met(facts, icps, 3, 0, 1, 1))]
     assert both[0] == both[1] and len(both[0]) == 60 * 3
+
+
+def test_ranking_does_not_broadcast_dealt_profiles(spark):
+    """Not the written profiles either; the leads are those of broadcast blocks."""
+    path = fresh_path(spark, "profiles")
+    profiles(spark).write.parquet(path)
+    icps, df = spark.read.parquet(path), frame(spark, some_pages())
+    how = dict(first=3, tie=["n"])
+    dealt = S.enrich(df, icps, now(), block=1, broadcast_bytes=0, **how)
+    plan = dealt._jdf.queryExecution().executedPlan().toString().splitlines()
+    meeting = [x for x in plan if "Join [_block" in x]
+    assert len(meeting) == 1 and "SortMergeJoin" in meeting[0]
+    want = sorted(map(key, S.enrich(df, icps, now(), **how).collect()))
+    assert sorted(map(key, dealt.collect())) == want and want
