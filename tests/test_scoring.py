@@ -218,14 +218,15 @@ def test_dealt_profiles_are_never_broadcast(spark):
 
 
 def test_ranking_does_not_broadcast_dealt_profiles(spark):
-    """Not the written profiles either; the leads are those of broadcast blocks."""
+    """Nor the best pairs or what is joined to them; the leads are those of broadcast blocks."""
     path = fresh_path(spark, "profiles")
     profiles(spark).write.parquet(path)
     icps, df = spark.read.parquet(path), frame(spark, some_pages())
     how = dict(first=3, tie=["n"])
     dealt = S.enrich(df, icps, now(), block=1, broadcast_bytes=0, **how)
     plan = dealt._jdf.queryExecution().executedPlan().toString().splitlines()
-    meeting = [x for x in plan if "Join [_block" in x]
-    assert len(meeting) == 1 and "SortMergeJoin" in meeting[0]
+    for on in ("_block", "_profile", "_page"):
+        meeting = [x for x in plan if f"Join [{on}#" in x]
+        assert len(meeting) == 1 and "SortMergeJoin" in meeting[0], on
     want = sorted(map(key, S.enrich(df, icps, now(), **how).collect()))
     assert sorted(map(key, dealt.collect())) == want and want
